@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a vectorised operator holds at a time.
 SLICE_BYTES = 4 << 20
@@ -54,3 +55,57 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+class HashIndex:
+    """An open-addressed table from distinct non-negative int64 keys to their positions, for vectorised lookups."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        bits = max(4, int(len(keys) * 3).bit_length())
+        self.shift = np.uint64(64 - bits)
+        # free slots hold -1; the chains at the end run on into spare slots
+        spare = 4096
+        self.keys, self.at = np.full((1 << bits) + spare, -1, np.int64), np.full((1 << bits) + spare, -1, np.int64)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] == -1]
+            self.keys[slot[free]] = keys[free]  # of several for one slot, the last stays
+            placed = self.keys[slot[left]] == keys[left]
+            self.at[slot[left[placed]]] = left[placed]
+            left = left[~placed]
+            slot[left] += 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The position of each key, -1 if it has none. Keys of -2 are never found."""
+        slot = self._slot(keys)
+        found = self.keys[slot]
+        out = np.where(found == keys, self.at[slot], -1)
+        left = np.flatnonzero((found != keys) & (found != -1) & (keys != -2))
+        while len(left):
+            slot[left] += 1
+            found = self.keys[slot[left]]
+            hit = found == keys[left]
+            out[left[hit]] = self.at[slot[left[hit]]]
+            left = left[~hit & (found != -1)]
+        return out
+
+
+class Known(dict):
+    """Values of words; those asked for in vain count as nothing and are noted in ``missing``."""
+
+    def __init__(self, nothing) -> None:  # noqa: ANN001
+        super().__init__()
+        self.nothing = nothing
+        self.missing: list[str] = []
+
+    def __missing__(self, word: str):  # noqa: ANN204
+        self.missing.append(word)
+        return self.nothing
+
+
+def crc_mod(column: str, n: int):  # noqa: ANN201
+    """crc32 of an id's decimal text, modulo n."""
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))

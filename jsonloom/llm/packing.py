@@ -21,23 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, slices
+from .common import Known, checkpoint, slices
 
 #: Words whose ids a worker remembers.
 CACHE = 400_000
-_encoders: dict[str, tuple[object, dict[str, bytes]]] = {}
-
-
-class Ids(dict):
-    """Ids of words as bytes; those asked for in vain are noted."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.missing: list[str] = []
-
-    def __missing__(self, word: str) -> bytes:
-        self.missing.append(word)
-        return b""
+_encoders: dict[str, tuple[object, Known]] = {}
 
 
 def encode(texts: list[str | None], tokenizer_path: str, end_id: int) -> list[bytes]:
@@ -50,7 +38,7 @@ def encode(texts: list[str | None], tokenizer_path: str, end_id: int) -> list[by
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _encoders[tokenizer_path] = Tokenizer.from_file(tokenizer_path), Ids()
+        _encoders[tokenizer_path] = Tokenizer.from_file(tokenizer_path), Known(b"")
     tokenizer, known = _encoders[tokenizer_path]
     if len(known) > CACHE:
         known.clear()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import HashIndex, Known, slices
 
 MARK = "▁"
 #: Pre-tokens whose counts a worker remembers.
@@ -59,7 +59,7 @@ class MergeTable:
                 if left is not None and right is not None:
                     keys.append(left * self.n + right)
                     made.append(r)
-        self._hash(np.array(keys, np.int64), np.array(made, np.int64))
+        self.pairs, self.made = HashIndex(np.array(keys, np.int64)), np.append(np.array(made, np.int64), NONE)
         self.char_rank = np.full(0x110000, -1, np.int32)
         self.char_rank[[ord(c) for c in self.chars]] = list(self.chars.values())
         self.char_bytes = np.ones(0x110000, np.int8)
@@ -67,37 +67,9 @@ class MergeTable:
             for least, width in ((0x80, 2), (0x800, 3), (0x10000, 4)):
                 self.char_bytes[least:] = width
 
-    def _hash(self, keys: np.ndarray, made: np.ndarray) -> None:
-        """An open-addressed table of the pairs; a slot's key is -1 if it is free."""
-        self.shift = np.uint64(64 - max(4, int(len(keys) * 3).bit_length()))
-        size = 1 << (64 - int(self.shift))
-        self.keys, self.made = np.full(size + 64, -1, np.int64), np.full(size + 64, NONE, np.int64)
-        slot, left = self._slot(keys), np.arange(len(keys))
-        while len(left):
-            free = left[self.keys[slot[left]] == -1]
-            self.keys[slot[free]] = keys[free]  # of several for one slot, the last stays
-            placed = self.keys[slot[left]] == keys[left]
-            self.made[slot[left[placed]]] = made[left[placed]]
-            left = left[~placed]
-            slot[left] += 1
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
     def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of what a pair becomes; NONE if it never merges. Unknown symbols are negative."""
-        key = np.where((left >= 0) & (right >= 0), left * self.n + right, -2)
-        slot = self._slot(key)
-        found = self.keys[slot]
-        out = np.where(found == key, self.made[slot], NONE)
-        open_ = np.flatnonzero((found != key) & (found != -1) & (key != -2))
-        while len(open_):
-            slot[open_] += 1
-            found = self.keys[slot[open_]]
-            hit = found == key[open_]
-            out[open_[hit]] = self.made[slot[open_[hit]]]
-            open_ = open_[~hit & (found != -1)]
-        return out
+        return self.made[self.pairs.find(np.where((left >= 0) & (right >= 0), left * self.n + right, -2))]
 
     def count(self, words: list[str]) -> np.ndarray:
         """Tokens of each pre-token."""
@@ -150,27 +122,15 @@ def pretokens(text: str) -> list[str]:
     return (MARK + text.replace(" ", " " + MARK).replace("\n", " \n ")).split(" ")
 
 
-class Known(dict):
-    """Counts of pre-tokens; those asked for in vain count 0 and are noted."""
-
-    def __init__(self) -> None:
-        super().__init__({"": 0})
-        self.missing: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self.missing.append(word)
-        return 0
-
-
 _tables: dict[str, tuple[MergeTable, Known]] = {}
 
 
 def counts(texts: list[str | None], model_path: str) -> np.ndarray:
     """Tokens of each text."""
     if model_path not in _tables:
-        _tables[model_path] = MergeTable(model_path), Known()
+        _tables[model_path] = MergeTable(model_path), Known(0)
     merges, known = _tables[model_path]
-    if len(known) > CACHE:
+    if not known or len(known) > CACHE:
         known.clear()
         known[""] = 0
     found, ends = [], []

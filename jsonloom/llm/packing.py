@@ -12,7 +12,9 @@ itself. Other columns are dropped, so their names cannot clash.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +23,91 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Known, checkpoint, slices
+from .common import HashIndex, checkpoint, slices
+from .merging import NONE, merge
 
+#: The split that ``Encoder`` knows: contractions, runs of letters, single digits, runs of other signs.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words whose ids a worker remembers.
 CACHE = 400_000
-_encoders: dict[str, tuple[object, Known]] = {}
+#: Letters of Latin-1 in lower case, then signs of ASCII: two pre-tokens of which neither merges into the other.
+PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+_encoders: dict[str, Encoder] = {}
+
+
+class Encoder:
+    """Ids of words as the tokenizers library gives them.
+
+    Words of plain letters, with signs after them, are merged here in numpy when the model is a
+    byte-level one with word ends, as their normal form and pre-tokens are plain to see; all others
+    go through the library.
+    """
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {}, {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model = spec["model"]
+        splits = [x.get("pattern", {}).get("Regex", "") for x in spec["pre_tokenizer"].get("pretokenizers", [])] if spec["pre_tokenizer"] else []
+        kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        self.own = model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not model["dropout"] and kinds == ["NFC", "Replace", "Lowercase"] and splits[:1] == [SPLIT]
+        if not self.own:
+            return
+        vocab, bytes_ = model["vocab"], byte_characters()
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.n = len(vocab)
+        self.pairs = HashIndex(np.array([vocab[a] * self.n + vocab[b] for a, b in pairs], np.int64))
+        self.product = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.inner = np.array([vocab[c] for c in bytes_], np.int64)
+        self.last = np.array([vocab[c + "</w>"] for c in bytes_], np.int64)
+
+    def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        rank = self.pairs.find(left * self.n + right)
+        return np.where(rank >= 0, rank, NONE)
+
+    def merged(self, parts: list[str]) -> list[bytes]:
+        """Ids of pre-tokens."""
+        raw = [p.encode() for p in parts]
+        lens = np.fromiter(map(len, raw), np.int64, len(raw))
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        sym, ends = self.inner[data], np.cumsum(lens)
+        sym[ends - 1] = self.last[data[ends - 1]]
+        sym, seq = merge(sym, np.repeat(np.arange(len(raw)), lens), self.pair, self.product)
+        out, to = sym.astype("<u4").tobytes(), (4 * np.cumsum(np.bincount(seq, minlength=len(raw)))).tolist()
+        return [out[a:b] for a, b in zip([0, *to], to, strict=False)]
+
+    def learn(self, words: list[str]) -> None:
+        """Put the ids of the words into ``known``."""
+        plain, rest = [], []
+        for w in words:
+            try:
+                w.encode("latin-1")
+                m = PLAIN.fullmatch(w.lower()) if self.own else None
+            except UnicodeEncodeError:
+                m = None
+            if m:
+                plain.append((w, m[1], m[2]))
+            else:
+                rest.append(w)
+        if len(self.parts) > CACHE:
+            self.parts = {}
+        new = list({p for _, a, b in plain for p in (a, b) if p and p not in self.parts})
+        if new:
+            self.parts.update(zip(new, self.merged(new), strict=True))
+        self.known.update((w, self.parts[a] + self.parts[b] if b else self.parts[a]) for w, a, b in plain)
+        if rest:
+            ids = self.tokenizer.encode_batch(rest, add_special_tokens=False)
+            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest, ids, strict=True))
+
+
+def byte_characters() -> list[str]:
+    """The character that byte-level models write for each byte: itself if it shows, else one from 256 on."""
+    shows = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shows]
+    return [chr(b) if b in shows else chr(256 + hidden.index(b)) for b in range(256)]
 
 
 def encode(texts: list[str | None], tokenizer_path: str, end_id: int) -> list[bytes]:
@@ -35,28 +117,31 @@ def encode(texts: list[str | None], tokenizer_path: str, end_id: int) -> list[by
     of a blank or line feed, so words between those are encoded once each.
     """
     if tokenizer_path not in _encoders:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _encoders[tokenizer_path] = Tokenizer.from_file(tokenizer_path), Known(b"")
-    tokenizer, known = _encoders[tokenizer_path]
+        _encoders[tokenizer_path] = Encoder(tokenizer_path)
+    encoder = _encoders[tokenizer_path]
+    known = encoder.known
     if len(known) > CACHE:
         known.clear()
     end = int(end_id).to_bytes(4, "little")
-    out, late = [], []
-    for i, text in enumerate(texts):
+    found, new = [], set()
+    for text in texts:
         words = text.replace("\n", " ").split(" ") if text else []
-        before = len(known.missing)
-        out.append(b"".join(map(known.__getitem__, words)) + end)
-        if len(known.missing) > before:
-            late.append((i, words))
-    if late:
-        new = list(set(known.missing))
-        known.missing = []
-        ids = tokenizer.encode_batch(new, add_special_tokens=False)
-        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, ids, strict=True))
-        for i, words in late:
-            out[i] = b"".join(map(known.__getitem__, words)) + end
+        ids = list(map(known.get, words))
+        gaps = []
+        at = -1
+        for _ in range(ids.count(None)):
+            at = ids.index(None, at + 1)
+            gaps.append((at, words[at]))
+            new.add(words[at])
+        found.append((ids, gaps))
+    if new:
+        encoder.learn(list(new))
+    out = []
+    for ids, gaps in found:
+        for at, word in gaps:
+            ids[at] = known[word]
+        ids.append(end)
+        out.append(b"".join(ids))
     return out
 
 

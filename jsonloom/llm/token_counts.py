@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import HashIndex, Known, slices
+from .merging import NONE, merge
 
 MARK = "▁"
 #: Pre-tokens whose counts a worker remembers.
 CACHE = 600_000
 PRETOKEN = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-NONE = np.int64(1) << 40
 
 
 class MergeTable:
@@ -77,40 +77,9 @@ class MergeTable:
         points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         sym = self.char_rank[points].astype(np.int64)
         seq = np.repeat(np.arange(len(words)), lens)
-        total = np.bincount(seq, np.where(sym < 0, self.char_bytes[points], 1), len(words)).astype(np.int64)
-        rank = np.full(len(sym), NONE)
-        if len(sym) > 1:
-            inside = np.flatnonzero(seq[1:] == seq[:-1])
-            rank[inside] = self.pair(sym[inside], sym[inside + 1])
-        return self._merge(sym, seq, rank, total)
-
-    def _merge(self, sym: np.ndarray, seq: np.ndarray, rank: np.ndarray, total: np.ndarray) -> np.ndarray:
-        while len(sym):
-            first = np.flatnonzero(np.append(True, seq[1:] != seq[:-1]))
-            order = np.where(rank < NONE, rank * len(sym) + np.arange(len(sym)), np.iinfo(np.int64).max)
-            best = np.minimum.reduceat(order, first)
-            live = best < np.iinfo(np.int64).max
-            if not live.any():
-                break
-            at = best[live] % len(sym)
-            total[seq[at]] -= 1
-            sym[at] = rank[at]
-            keep = np.repeat(live, np.diff(np.append(first, len(sym))))
-            keep[at + 1] = False
-            moved = np.cumsum(keep) - 1
-            rank[at] = rank[at + 1]
-            sym, seq, rank, at = sym[keep], seq[keep], rank[keep], moved[at]
-            # only pairs beside the new symbols have changed
-            right = at[(at + 1 < len(sym))]
-            right = right[seq[right + 1] == seq[right]]
-            ended = np.ones(len(sym), bool)
-            ended[right] = False
-            rank[at[ended[at]]] = NONE
-            rank[right] = self.pair(sym[right], sym[right + 1])
-            left = at[at > 0]
-            left = left[seq[left - 1] == seq[left]] - 1
-            rank[left] = self.pair(sym[left], sym[left + 1])
-        return total
+        # unknown characters never merge; each stands for its bytes
+        extra = np.bincount(seq, np.where(sym < 0, self.char_bytes[points] - 1, 0), len(words)).astype(np.int64)
+        return extra + np.bincount(merge(sym, seq, self.pair)[1], minlength=len(words))
 
 
 def pretokens(text: str) -> list[str]:

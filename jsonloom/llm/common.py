@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a vectorised operator holds at a time.
@@ -23,10 +25,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
     Only a session that names none (as in tests) gets a folder of its own.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="jsonloom-checkpoint-"))
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -109,3 +108,51 @@ class Known(dict):
 def crc_mod(column: str, n: int):  # noqa: ANN201
     """crc32 of an id's decimal text, modulo n."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for checkpoints, as ``checkpoint`` uses it."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="jsonloom-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write a large intermediate result as a Parquet table in the shared folder; the table and its path, for ``discard``."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str | None = None) -> None:
+    """Delete a stored table that nothing reads any more, and let Spark drop the shuffles of plans that are gone."""
+    jvm = spark.sparkContext._jvm
+    if path:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    gc.collect()
+    jvm.System.gc()
+
+
+def row_order(docs: DataFrame) -> DataFrame:
+    """Add ``ordinal``, a number in [0, 2**35) that orders documents by doc_id; rows that agree in doc_id and text share it.
+
+    Ids that are such numbers and unique are taken as they are. Otherwise ids
+    and hashes of texts are sorted by range and numbered from the sizes of the
+    ranges, null ids first.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+    if kind in ("bigint", "int", "smallint", "tinyint"):
+        found = docs.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.min("doc_id"), F.max("doc_id"), F.max("n"), F.count_if(F.isnull("doc_id"))).first()
+        if found[0] is None or (found[0] >= 0 and found[1] < 1 << 35 and found[2] == 1 and not found[3]):
+            return docs.withColumn("ordinal", F.col("doc_id").cast("long"))
+    docs = docs.withColumn("text_key", F.xxhash64("text"))
+    keys = checkpoint(docs.select("doc_id", "text_key").distinct().sort(F.asc_nulls_first("doc_id"), "text_key").withColumn("row", F.monotonically_increasing_id()))
+    # the sort has laid out ranges in order; within one, the lower bits count the rows
+    part, place = F.shiftright("row", 33), F.col("row").bitwiseAND((1 << 33) - 1)
+    sizes = keys.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    numbered = keys.withColumn("part", part).join(starts, "part").select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), (F.col("start") + place).alias("ordinal"))
+    joined = docs.join(numbered, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key")))
+    return joined.drop("own_id", "own_key", "text_key")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, sharding, token_counts, toxicity
+from . import language_id, near_dedup, packing, sharding, substring_dedup, token_counts, toxicity
 from .common import table
 
 QUERIES: dict = {}
@@ -17,6 +17,18 @@ def query(f):  # noqa: ANN001, ANN201
     return f
 
 
+@query
+def op2_level_wise_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op4_prob_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), similarity=0.8)
+    return out.select("doc_id", F.col("component").alias("class_id"), "kept", "n_links", "copies")
+
+
 @query
 def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=40)

@@ -118,26 +118,40 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def stored(df: DataFrame) -> tuple[DataFrame, str]:
+_stored: list[str] = []
+
+
+def stored(df: DataFrame, sweep_later: bool = True) -> tuple[DataFrame, str]:
     """Write a large intermediate result as a Parquet table in the shared folder; the table and its path, for ``discard``."""
     path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    if sweep_later:
+        _stored.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def discard(spark: SparkSession, path: str | None = None) -> None:
-    """Delete a stored table that nothing reads any more, and let Spark drop the shuffles of plans that are gone."""
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete stored tables that nothing reads any more, and let Spark drop the shuffles of plans that are gone."""
     jvm = spark.sparkContext._jvm
-    if path:
+    for path in paths:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        if path in _stored:
+            _stored.remove(path)
     gc.collect()
     jvm.System.gc()
 
 
+def sweep(spark: SparkSession) -> None:
+    """Discard what operators have stored so far: for a caller who has written their results."""
+    discard(spark, *list(_stored))
+
+
 def row_order(docs: DataFrame) -> DataFrame:
     """Add ``ordinal``, a number in [0, 2**35) that orders documents by doc_id; rows that agree in doc_id and text share it.
 
+    Where they may do so, a column ``text_key`` is added, too.
+
     Ids that are such numbers and unique are taken as they are. Otherwise ids
     and hashes of texts are sorted by range and numbered from the sizes of the
     ranges, null ids first.
@@ -155,4 +169,4 @@ def row_order(docs: DataFrame) -> DataFrame:
     starts = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     numbered = keys.withColumn("part", part).join(starts, "part").select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), (F.col("start") + place).alias("ordinal"))
     joined = docs.join(numbered, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key")))
-    return joined.drop("own_id", "own_key", "text_key")
+    return joined.drop("own_id", "own_key")

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, discard, mix, row_order, slices, stored
@@ -185,8 +185,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     names = base.select("ordinal", F.col("doc_id").alias("first_id")).dropDuplicates(["ordinal"])
     found = found.join(names, F.col("component") == F.col("ordinal")).drop("ordinal")
     out = base.join(found, F.col("ordinal") == F.col("own"), "left")
+    # of equal rows one stays; where ids are unique there are none
+    first_row = F.lit(True) if "text_key" not in base.columns else F.row_number().over(Window.partitionBy("ordinal").orderBy("text_key")) == 1
     out = out.select(
         "doc_id", *carried, F.when(F.isnull("own"), F.col("doc_id")).otherwise(F.col("first_id")).alias("component"),
-        F.coalesce(F.col("component") == F.col("ordinal"), F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"),
+        (F.coalesce(F.col("component") == F.col("ordinal"), F.lit(True)) & first_row).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"),
     )
     return out.withColumnsRenamed(dict(zip(carried, extra, strict=True)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, near_dedup, packing, sharding, substring_dedup, token_counts, toxicity
+from . import decontamination, language_id, near_dedup, packing, sharding, substring_dedup, token_counts, toxicity
 from .common import table
 
 QUERIES: dict = {}
@@ -17,6 +17,11 @@ def query(f):  # noqa: ANN001, ANN201
     return f
 
 
+@query
+def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op2_level_wise_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=20)

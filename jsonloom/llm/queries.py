@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, near_dedup, packing, sharding, substring_dedup, token_counts, toxicity
+from . import decontamination, html_extract, language_id, near_dedup, nearest, packing, sharding, substring_dedup, token_counts, toxicity
 from .common import table
 
 QUERIES: dict = {}
@@ -28,12 +28,22 @@ def op2_level_wise_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op3_equivalence_class_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op4_prob_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), similarity=0.8)
     return out.select("doc_id", F.col("component").alias("class_id"), "kept", "n_links", "copies")
 
 
+@query
+def op5_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 @query
 def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=40)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -138,8 +139,10 @@ def discard(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
         if path in _stored:
             _stored.remove(path)
-    gc.collect()
-    jvm.System.gc()
+    for _ in range(2):  # what the first round frees holds what the second one does
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.3)
 
 
 def sweep(spark: SparkSession) -> None:

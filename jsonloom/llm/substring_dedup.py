@@ -98,15 +98,17 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     carried = [f"keep_{i}" for i in range(len(extra))]  # so that no name clashes
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(k) for c, k in zip(extra, carried, strict=True)))
     base = row_order(base)
-    short, short_path = stored(short_windows(base, window))
+    # what a level has found is written before the next one starts, so that its shuffles can go
+    short, path = stored(short_windows(base, window))
     again = short.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    repeated = by_document(short.join(again, "hash", "left_semi"), "repeated")
-    joined = base.join(repeated, F.col("ordinal") == F.col("own"), "left").drop("own")
-    marked, _ = stored(joined)
-    del again, repeated, joined
-    discard(spark, short_path)
+    repeated, _ = stored(by_document(short.join(again, "hash", "left_semi"), "repeated"))
+    del again
+    discard(spark, path)
+    marked, _ = stored(base.join(repeated, F.col("ordinal") == F.col("own"), "left").drop("own"))
+    discard(spark)
     doubtful = marked.where("repeated IS NOT NULL")
-    first = by_document(long_windows(doubtful, window).groupBy("hash").agg(F.min("at").alias("at")), "firsts")
+    first, _ = stored(by_document(long_windows(doubtful, window).groupBy("hash").agg(F.min("at").alias("at")), "firsts"))
+    discard(spark)
     judged = doubtful.join(first, F.col("ordinal") == F.col("own"), "left").select("doc_id", *carried, "text", "repeated", "firsts")
     clean = marked.where("repeated IS NULL").select("doc_id", *carried, "text", "repeated", F.lit(None).cast("array<int>").alias("firsts"))
 

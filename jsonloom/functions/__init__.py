@@ -1 +1,613 @@
-"""jsonloom.functions"""
+"""Functions on columns that hold documents.
+
+Documents are VARIANT columns; ``parse`` makes them from text, ``decode`` from
+wire bytes. Most functions are Catalyst expressions. Those that recurse, compare
+by bytes or print exactly run in Arrow batches (section "in Python"). A NULL
+document gives NULL.
+"""
+
+from __future__ import annotations
+
+import random
+from collections.abc import Callable
+from decimal import Decimal
+from functools import lru_cache
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, IntegerType, StringType, VariantType, VariantVal
+
+from .. import values
+from ..plans import compile as plan
+from ..plans import evaluate
+from ..plans.paths import parse_key_path, parse_path
+from ..values import JsonError, Value
+from . import documents
+
+U64 = (1 << 64) - 1
+
+
+def _col(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def _arg(x: Any) -> Column:
+    """An argument: a Column, or a constant."""
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def _fail(ok: Column, out: Column, what: str, strict: bool) -> Column:
+    return F.when(ok, out).otherwise(F.raise_error(F.lit(what))) if strict else F.when(ok, out)
+
+
+# ---------------------------------------------------------------- in Python
+
+
+def from_variant(v: VariantVal) -> Value:
+    return _kept(v.toPython())
+
+
+def _kept(x: Any) -> Value:
+    if isinstance(x, Decimal):
+        if x.as_tuple().exponent < 0:
+            return float(x)
+        return int(x) if -(1 << 63) <= x <= U64 else float(x)
+    if isinstance(x, dict):
+        return {k: _kept(v) for k, v in x.items()}
+    if isinstance(x, list):
+        return [_kept(v) for v in x]
+    if x is None or isinstance(x, (bool, int, float, str)):
+        return x
+    return str(x)
+
+
+def _wide(x: Value) -> str:
+    """Text that parses to the same document, infinite numbers as ones too large."""
+    return values.render(x).replace("inf", "1e999") if isinstance(x, float) else _wide_container(x)
+
+
+def _wide_container(x: Value) -> str:
+    if isinstance(x, list):
+        return f"[{','.join(map(_wide, x))}]"
+    if isinstance(x, dict):
+        return f"{{{','.join(f'{_strict(k)}:{_wide(v)}' for k, v in x.items())}}}"
+    return _strict(x) if isinstance(x, str) else values.render(x)
+
+
+def _strict(s: str) -> str:
+    import json
+
+    return json.dumps(s, ensure_ascii=False)
+
+
+def _python(f: Callable, returns: DataType, *args: Column, document: bool = False, strict: bool = True) -> Column:
+    """Apply f to rows in Arrow batches; VARIANT arguments come as values, NULL in any gives NULL."""
+
+    def one(row: tuple) -> Any:
+        if any(x is None for x in row):
+            return None
+        try:
+            out = f(*(from_variant(x) if isinstance(x, VariantVal) else x for x in row))
+        except JsonError:
+            if strict:
+                raise
+            return None
+        return _wide(out) if document else out
+
+    def run(*cols: pd.Series) -> pd.Series:
+        return pd.Series([one(row) for row in zip(*cols, strict=True)], dtype=object)
+
+    out = F.pandas_udf(run, StringType() if document else returns)(*args)
+    return F.parse_json(out) if document else out
+
+
+DOCUMENT = VariantType()
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+
+def parse(text: Column | str, lenient: bool = False) -> Column:
+    """Text to document; not JSON gives NULL. ``lenient`` also takes what ``values.parse`` takes, in Python."""
+    c = _col(text)
+    if not lenient:
+        return F.try_parse_json(c)
+    return F.coalesce(F.try_parse_json(c), _python(values.parse, DOCUMENT, c, document=True, strict=False))
+
+
+def parse_error(text: Column | str) -> Column:
+    """What is wrong with a text, with the byte it shows at; NULL if it is a document."""
+
+    def run(s: str) -> str | None:
+        try:
+            values.parse(s)
+        except JsonError as e:
+            return str(e)
+        return None
+
+    return _python(run, StringType(), _col(text))
+
+
+def encode(doc: Column | str) -> Column:
+    """Document to wire bytes: equal documents have equal bytes."""
+    return _python(values.encode, BinaryType(), _col(doc))
+
+
+def decode(data: Column | str, text_too: bool = True) -> Column:
+    """Wire bytes to document; also from text, unless ``text_too`` is false."""
+    return _python(lambda b: (values.from_slice if text_too else values.decode)(bytes(b)), DOCUMENT, _col(data), document=True)
+
+
+def to_string(doc: Column | str) -> Column:
+    """Compact text, members in the order of their names."""
+    return _python(values.render, StringType(), _col(doc))
+
+
+def to_pretty_string(doc: Column | str) -> Column:
+    return _python(lambda v: values.render(v, pretty=True), StringType(), _col(doc))
+
+
+def to_json(doc: Column | str) -> Column:
+    """Strict JSON text; an error for numbers that are not finite."""
+    return _python(lambda v: values.render(values.plain(v)), StringType(), _col(doc))
+
+
+def to_json_object(doc: Column | str) -> Column:
+    """As ``to_json`` for objects; NULL for anything else."""
+    return F.when(is_object(doc), to_json(doc))
+
+
+def from_native(c: Column | str) -> Column:
+    """A Spark value as document; maps, structs and arrays become objects and arrays."""
+    return F.try_variant_get(F.to_variant_object(F.array(_col(c))), "$[0]", "variant")
+
+
+def rand_value(seed: int) -> Column:
+    """A random document for each row; rows differ, and a seed repeats them for a given number of rows in a partition."""
+    return _python(lambda n: documents.random_value(random.Random(n)), DOCUMENT, F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), document=True)
+
+
+# ---------------------------------------------------------------- path selection
+
+
+@lru_cache(maxsize=1024)
+def _path(text: str):  # noqa: ANN202
+    return parse_path(text)
+
+
+def _selected(doc: Column | str, path: str | Column) -> plan.Nodes:
+    if isinstance(path, Column):
+        hits = _python(lambda v, p: [_wide(x) for x in evaluate.select(_path(p), v)], ArrayType(StringType()), _col(doc), path)
+        return plan.Nodes(many=F.transform(hits, lambda s: F.parse_json(s)))
+    return plan.select(_path(path), _col(doc))
+
+
+def get_by_path(doc: Column | str, path: str | Column) -> Column:
+    """No hit: NULL; one: the hit; several: an array of them."""
+    nodes = _selected(doc, path)
+    if nodes.many is None:
+        return nodes.single()
+    a = nodes.many
+    return F.when(F.size(a) == 1, F.get(a, F.lit(0))).when(F.size(a) > 1, F.to_variant_object(a))
+
+
+def get_by_path_first(doc: Column | str, path: str | Column) -> Column:
+    nodes = _selected(doc, path)
+    return nodes.single() if nodes.many is None else F.get(nodes.many, F.lit(0))
+
+
+def get_by_path_array(doc: Column | str, path: str | Column) -> Column:
+    """An array of the hits, empty if there is none."""
+    return F.when(F.isnotnull(_col(doc)), F.to_variant_object(_selected(doc, path).array()))
+
+
+def get_by_path_all(doc: Column | str, path: str | Column) -> Column:
+    """The hits as ARRAY<VARIANT>, for ``explode``."""
+    return F.when(F.isnotnull(_col(doc)), _selected(doc, path).array())
+
+
+def path_exists(doc: Column | str, path: str | Column) -> Column:
+    if isinstance(path, Column):
+        return _python(lambda v, p: evaluate.exists(_path(p), v), BooleanType(), _col(doc), path)
+    return plan.exists(_path(path), _col(doc))
+
+
+def path_match(doc: Column | str, path: str | Column) -> Column:
+    """The truth of a predicate; other paths are an error."""
+    if isinstance(path, Column):
+        return _python(lambda v, p: evaluate.match(_path(p), v), BooleanType(), _col(doc), path)
+    return plan.match(_path(path), _col(doc))
+
+
+# ---------------------------------------------------------------- access
+
+
+def get_by_index(doc: Column | str, index: int | Column) -> Column:
+    i = _arg(index)
+    return F.when(i >= 0, F.get(plan.elements(_col(doc)), i))
+
+
+def get_by_name(doc: Column | str, name: str | Column, ignore_case: bool = False) -> Column:
+    """A member; with ``ignore_case`` the exact one, or else the first whose name differs in ASCII case alone."""
+    v = _col(doc)
+    if isinstance(name, str) and plan.plain_name(name) and not ignore_case:
+        return F.try_variant_get(v, f'$["{name}"]', "variant")
+    m, n = plan.members(v), _arg(name)
+    exact = F.try_element_at(m, n)
+    if not ignore_case:
+        return exact
+    lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.coalesce(exact, F.try_element_at(m, F.get(F.array_sort(F.filter(F.map_keys(m), lambda k: lower(k) == lower(n))), F.lit(0))))
+
+
+def get_by_keypath(doc: Column | str, path: str | Column) -> Column:
+    if isinstance(path, Column):
+        return F.parse_json(_python(lambda v, p: (lambda ok, x: _wide(x) if ok else None)(*evaluate.get_key(v, _key_path(p))), StringType(), _col(doc), path))
+    v = _col(doc)
+    for key in _key_path(path).keys:
+        if isinstance(key.value, str) or key.quoted:
+            v = get_by_name(v, str(key.value))
+        else:
+            a = plan.elements(v)
+            v = F.get(a, F.lit(key.value) if key.value >= 0 else F.size(a) + key.value)
+    return v
+
+
+@lru_cache(maxsize=1024)
+def _key_path(text: str):  # noqa: ANN202
+    return parse_key_path(text)
+
+
+def object_keys(doc: Column | str) -> Column:
+    """Names of members in the order of their bytes, as ARRAY<STRING>; NULL for other documents."""
+    return F.array_sort(F.map_keys(plan.members(_col(doc))))
+
+
+def object_each(doc: Column | str) -> Column:
+    """Members as ARRAY<STRUCT<key, value>> in the order of their names, for ``explode`` or ``inline``."""
+    m = plan.members(_col(doc))
+    return F.transform(F.array_sort(F.map_keys(m)), lambda k: F.struct(k.alias("key"), F.element_at(m, k).alias("value")))
+
+
+def array_values(doc: Column | str) -> Column:
+    """Elements as ARRAY<VARIANT>; NULL for other documents."""
+    return plan.elements(_col(doc))
+
+
+def array_length(doc: Column | str) -> Column:
+    a = plan.elements(_col(doc))
+    return F.when(F.isnotnull(a), F.size(a))
+
+
+# ---------------------------------------------------------------- predicates
+
+
+def contains(left: Column | str, right: Column | str) -> Column:
+    return _python(documents.contains, BooleanType(), _col(left), _col(right))
+
+
+def _names(doc: Column | str) -> Column:
+    v = _col(doc)
+    strings = F.transform(F.filter(plan.elements(v), lambda x: F.schema_of_variant(x) == "STRING"), lambda x: plan.get(x, "string"))
+    return F.coalesce(F.map_keys(plan.members(v)), strings, F.when(F.isnotnull(v), F.array().cast("array<string>")))
+
+
+def _keys(keys: list[str] | Column) -> Column:
+    return keys if isinstance(keys, Column) else F.array(*map(F.lit, keys)).cast("array<string>")
+
+
+def exists_all_keys(doc: Column | str, keys: list[str] | Column) -> Column:
+    names = _names(doc)
+    return F.forall(_keys(keys), lambda k: F.array_contains(names, k)) & plan.is_container(_col(doc))
+
+
+def exists_any_keys(doc: Column | str, keys: list[str] | Column) -> Column:
+    names = _names(doc)
+    return F.exists(_keys(keys), lambda k: F.array_contains(names, k))
+
+
+def traverse_check_string(doc: Column | str, test: Callable[[str], bool]) -> Column:
+    """Whether the test holds for any string in the document, names of members included."""
+    return _python(lambda v: documents.any_string(v, test), BooleanType(), _col(doc))
+
+
+# ---------------------------------------------------------------- kinds and casts
+
+
+def type_of(doc: Column | str) -> Column:
+    return plan.kind(_col(doc))
+
+
+def _is(doc: Column | str, kind: str) -> Column:
+    return plan.kind(_col(doc)) == kind
+
+
+def is_null(doc: Column | str) -> Column:
+    v = _col(doc)
+    return F.when(F.isnotnull(v), F.is_variant_null(v))
+
+
+def is_boolean(doc: Column | str) -> Column:
+    return _is(doc, "boolean")
+
+
+def is_number(doc: Column | str) -> Column:
+    return _is(doc, "number")
+
+
+def is_string(doc: Column | str) -> Column:
+    return _is(doc, "string")
+
+
+def is_array(doc: Column | str) -> Column:
+    v = _col(doc)
+    return F.when(F.isnotnull(v), F.isnotnull(plan.elements(v)))
+
+
+def is_object(doc: Column | str) -> Column:
+    v = _col(doc)
+    return F.when(F.isnotnull(v), F.isnotnull(plan.members(v)))
+
+
+def is_i64(doc: Column | str) -> Column:
+    v = _col(doc)
+    return F.when(F.isnotnull(v), F.isnotnull(as_i64(v)))
+
+
+def is_u64(doc: Column | str) -> Column:
+    v = _col(doc)
+    return F.when(F.isnotnull(v), F.isnotnull(as_u64(v)))
+
+
+def is_f64(doc: Column | str) -> Column:
+    return is_number(doc)
+
+
+def as_null(doc: Column | str) -> Column:
+    """TRUE for null, else NULL."""
+    return F.when(F.is_variant_null(_col(doc)), F.lit(True))
+
+
+def as_bool(doc: Column | str) -> Column:
+    v = _col(doc)
+    return F.when(F.schema_of_variant(v) == "BOOLEAN", plan.get(v, "boolean"))
+
+
+def as_number(doc: Column | str) -> Column:
+    """A number as document, else NULL."""
+    v = _col(doc)
+    return F.when(is_number(v), v)
+
+
+def as_i64(doc: Column | str) -> Column:
+    return plan.integer(_col(doc))
+
+
+def as_u64(doc: Column | str) -> Column:
+    """DECIMAL(20, 0)."""
+    v = _col(doc)
+    s = F.schema_of_variant(v)
+    n = F.when((s == "BIGINT") | s.rlike(r"^DECIMAL\(\d+,0\)$"), plan.get(v, "decimal(38,0)"))
+    return F.when((n >= 0) & (n <= F.lit(Decimal(U64))), n.cast("decimal(20,0)"))
+
+
+def as_f64(doc: Column | str) -> Column:
+    v = _col(doc)
+    return F.when(is_number(v), plan.get(v, "double"))
+
+
+def as_str(doc: Column | str) -> Column:
+    v = _col(doc)
+    return F.when(is_string(v), plan.get(v, "string"))
+
+
+def _cast(doc: Column | str, out: Column, strict: bool) -> Column:
+    v = _col(doc)
+    if not strict:
+        return out
+    return F.when(F.isnull(v), F.lit(None)).when(F.isnotnull(out), out).otherwise(F.raise_error(F.lit("InvalidCast")))
+
+
+def _to_bool(v: Column) -> Column:
+    s = F.lower(as_str(v))
+    return F.coalesce(as_bool(v), F.when(s == "true", True).when(s == "false", False))
+
+
+def _to_int(v: Column, own: Column, kind: str, pattern: str) -> Column:
+    s = as_str(v)
+    return F.coalesce(own, as_bool(v).cast("int").cast(kind), F.when(s.rlike(pattern), s.try_cast(kind)))
+
+
+def _to_u64(v: Column) -> Column:
+    n = _to_int(v, as_u64(v), "decimal(20,0)", r"^\+?[0-9]+$")
+    return F.when(n <= F.lit(Decimal(U64)), n)
+
+
+FLOAT = r"^[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?)$"
+
+
+def _to_f64(v: Column) -> Column:
+    s = as_str(v)
+    low = F.lower(s)
+    odd = F.when(low.rlike(r"^\+?inf(inity)?$"), F.lit(float("inf"))).when(low.rlike(r"^-inf(inity)?$"), F.lit(float("-inf"))).when(low.rlike(r"^[+-]?nan$"), F.lit(float("nan")))
+    return F.coalesce(as_f64(v), as_bool(v).cast("int").cast("double"), F.when(s.rlike(FLOAT), s.try_cast("double")), odd)
+
+
+def to_bool(doc: Column | str) -> Column:
+    return _cast(doc, _to_bool(_col(doc)), True)
+
+
+def try_to_bool(doc: Column | str) -> Column:
+    return _to_bool(_col(doc))
+
+
+def to_i64(doc: Column | str) -> Column:
+    return _cast(doc, try_to_i64(doc), True)
+
+
+def try_to_i64(doc: Column | str) -> Column:
+    v = _col(doc)
+    return _to_int(v, as_i64(v), "bigint", r"^[+-]?[0-9]+$")
+
+
+def to_u64(doc: Column | str) -> Column:
+    return _cast(doc, _to_u64(_col(doc)), True)
+
+
+def try_to_u64(doc: Column | str) -> Column:
+    return _to_u64(_col(doc))
+
+
+def to_f64(doc: Column | str) -> Column:
+    return _cast(doc, _to_f64(_col(doc)), True)
+
+
+def try_to_f64(doc: Column | str) -> Column:
+    return _to_f64(_col(doc))
+
+
+def to_str(doc: Column | str) -> Column:
+    """Text of a scalar; null, arrays and objects are an error."""
+    return _cast(doc, try_to_str(doc), True)
+
+
+def try_to_str(doc: Column | str) -> Column:
+    v = _col(doc)
+    number = F.when(is_number(v), _python(documents.text_of, StringType(), F.when(is_number(v), v)))
+    return F.coalesce(as_str(v), as_bool(v).cast("string"), as_i64(v).cast("string"), number)
+
+
+# ---------------------------------------------------------------- construction and change
+
+
+def build_array(*items: Column | str) -> Column:
+    return F.to_variant_object(F.array(*map(_col, items))) if items else F.parse_json(F.lit("[]"))
+
+
+def build_object(**members: Column | str) -> Column:
+    return build_object_from(F.array(*map(F.lit, members)).cast("array<string>"), F.array(*map(_col, members.values()))) if members else F.parse_json(F.lit("{}"))
+
+
+def build_object_from(keys: Column, items: Column) -> Column:
+    """Names and documents to an object; the last of equal names wins."""
+    pairs = F.arrays_zip(keys.alias("k"), items.alias("v"))
+    last = F.filter(F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i"))), lambda p: ~F.exists(F.slice(keys, p["i"] + 2, F.greatest(F.size(keys) - p["i"] - 1, F.lit(0))), lambda k: k == p["k"]))
+    return F.to_variant_object(F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], p["v"]))))
+
+
+def _wrapped(v: Column) -> Column:
+    return F.coalesce(plan.elements(v), F.array(v))
+
+
+def _from_members(m: Column) -> Column:
+    return F.to_variant_object(m)
+
+
+def concat(left: Column | str, right: Column | str) -> Column:
+    """Objects merge, the right wins; other documents become arrays that follow each other."""
+    a, b = _col(left), _col(right)
+    m, n = plan.members(a), plan.members(b)
+    merged = F.map_concat(F.map_filter(m, lambda k, _: ~F.map_contains_key(n, k)), n)
+    known = F.isnotnull(a) & F.isnotnull(b)
+    return F.when(known & F.isnotnull(m) & F.isnotnull(n), _from_members(merged)).when(known, F.to_variant_object(F.concat(_wrapped(a), _wrapped(b))))
+
+
+def delete_by_name(doc: Column | str, name: str | Column, strict: bool = True) -> Column:
+    """Without the member of that name, or the string elements that equal it."""
+    v, n = _col(doc), _arg(name)
+    m, a = plan.members(v), plan.elements(v)
+    fewer = F.filter(a, lambda x: ~F.coalesce((F.schema_of_variant(x) == "STRING") & (plan.get(x, "string") == n), F.lit(False)))
+    out = F.when(F.isnotnull(m), _from_members(F.map_filter(m, lambda k, _: k != n))).otherwise(F.to_variant_object(fewer))
+    return F.when(F.isnotnull(v), _fail(plan.is_container(v), out, "InvalidJsonType", strict))
+
+
+def delete_by_index(doc: Column | str, index: int | Column, strict: bool = True) -> Column:
+    v, i = _col(doc), _arg(index)
+    a = plan.elements(v)
+    at = F.when(i < 0, i + F.size(a)).otherwise(i)
+    return F.when(F.isnotnull(v), _fail(F.isnotnull(a), F.to_variant_object(F.filter(a, lambda _, k: k != at)), "InvalidJsonType", strict))
+
+
+def delete_by_keypath(doc: Column | str, path: str | Column, strict: bool = True) -> Column:
+    return _python(lambda v, p: documents.delete_by_keypath(v, _key_path(p)), DOCUMENT, _col(doc), _arg(path), document=True, strict=strict)
+
+
+def array_insert(doc: Column | str, pos: int | Column, new: Column | str) -> Column:
+    """A negative place counts from the end and comes before that element; beyond the ends goes to them."""
+    v, x, p = _col(doc), _col(new), _arg(pos)
+    a = _wrapped(v)
+    n = F.size(a)
+    at = F.least(F.greatest(F.when(p < 0, p + n).otherwise(p), F.lit(0)), n)
+    out = F.concat(F.slice(a, F.lit(1), at), F.array(x), F.slice(a, at + 1, n - at))
+    return F.when(F.isnotnull(v) & F.isnotnull(x) & F.isnotnull(p), F.to_variant_object(out))
+
+
+def object_insert(doc: Column | str, key: str | Column, new: Column | str, update: bool = False, strict: bool = True) -> Column:
+    v, k, x = _col(doc), _arg(key), _col(new)
+    m = plan.members(v)
+    out = _from_members(F.map_concat(F.map_filter(m, lambda own, _: own != k), F.create_map(k, x)))
+    if not update:
+        out = _fail(~F.map_contains_key(m, k), out, "ObjectDuplicateKey", strict)
+    return F.when(F.isnotnull(v) & F.isnotnull(x) & F.isnotnull(k), _fail(F.isnotnull(m), out, "InvalidObject", strict))
+
+
+def object_delete(doc: Column | str, keys: list[str] | Column, strict: bool = True) -> Column:
+    v, ks = _col(doc), _keys(keys)
+    m = plan.members(v)
+    return F.when(F.isnotnull(v), _fail(F.isnotnull(m), _from_members(F.map_filter(m, lambda k, _: ~F.array_contains(ks, k))), "InvalidObject", strict))
+
+
+def object_pick(doc: Column | str, keys: list[str] | Column, strict: bool = True) -> Column:
+    v, ks = _col(doc), _keys(keys)
+    m = plan.members(v)
+    return F.when(F.isnotnull(v), _fail(F.isnotnull(m), _from_members(F.map_filter(m, lambda k, _: F.array_contains(ks, k))), "InvalidObject", strict))
+
+
+def strip_nulls(doc: Column | str) -> Column:
+    return _python(documents.strip_nulls, DOCUMENT, _col(doc), document=True)
+
+
+# ---------------------------------------------------------------- arrays as multisets
+
+
+def array_distinct(doc: Column | str) -> Column:
+    return _python(documents.array_distinct, DOCUMENT, _col(doc), document=True)
+
+
+def array_intersection(left: Column | str, right: Column | str) -> Column:
+    return _python(documents.array_intersection, DOCUMENT, _col(left), _col(right), document=True)
+
+
+def array_except(left: Column | str, right: Column | str) -> Column:
+    return _python(documents.array_except, DOCUMENT, _col(left), _col(right), document=True)
+
+
+def array_overlap(left: Column | str, right: Column | str) -> Column:
+    return _python(documents.array_overlap, BooleanType(), _col(left), _col(right))
+
+
+# ---------------------------------------------------------------- order
+
+
+def compare(left: Column | str, right: Column | str) -> Column:
+    """-1, 0 or 1: null > array > object > string > number > true > false."""
+    return _python(values.compare, IntegerType(), _col(left), _col(right))
+
+
+def sort_key(doc: Column | str) -> Column:
+    """Bytes that sort as the documents do, for ORDER BY, GROUP BY and joins by numeric equality."""
+    return _python(values.sort_key, BinaryType(), _col(doc))
+
+
+def sort_key_of_text(text: Column | str) -> Column:
+    """As ``sort_key``, from text; what is no document sorts below all, by its bytes."""
+
+    def run(s: str) -> bytes:
+        try:
+            return values.sort_key(values.parse(s))
+        except JsonError:
+            return bytes([0, values.LEVELS["invalid"]]) + s.encode()
+
+    return _python(run, BinaryType(), _col(text))

@@ -487,7 +487,10 @@ def build_array(*items: Column | str) -> Column:
 
 
 def build_object(**members: Column | str) -> Column:
-    return build_object_from(F.array(*map(F.lit, members)).cast("array<string>"), F.array(*map(_col, members.values()))) if members else F.parse_json(F.lit("{}"))
+    if not members:
+        return F.parse_json(F.lit("{}"))
+    null = F.parse_json(F.lit("null"))
+    return F.to_variant_object(F.create_map(*[x for k, v in members.items() for x in (F.lit(k), F.coalesce(_col(v), null))]))
 
 
 def build_object_from(keys: Column, items: Column) -> Column:

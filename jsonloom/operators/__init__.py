@@ -1 +1,118 @@
-"""jsonloom.operators"""
+"""Relational operators on document columns.
+
+VARIANT can't be grouped, sorted or joined on. These operators put a BINARY key
+beside it (wire bytes: equal documents; sort key: order and numeric equality)
+and leave the rest to Catalyst, so aggregates combine before the shuffle and
+joins are hash or sort-merge joins.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .. import functions as J
+
+
+def _keyed(df: DataFrame, doc: str, key: str, numeric: bool) -> DataFrame:
+    return df.withColumn(key, J.sort_key(doc) if numeric else J.encode(doc))
+
+
+def group_by_document(df: DataFrame, doc: str, *aggregates: Column, numeric: bool = False) -> DataFrame:
+    """One row for each document: the document, and the aggregates. ``numeric``: 1 and 1.0 are one."""
+    out = _keyed(df, doc, "document_key", numeric).groupBy("document_key").agg(F.any_value(doc).alias(doc), *aggregates)
+    return out.drop("document_key")
+
+
+def distinct_documents(df: DataFrame, doc: str, numeric: bool = False) -> DataFrame:
+    return group_by_document(df.select(doc), doc, numeric=numeric)
+
+
+def order_by_document(df: DataFrame, doc: str, ascending: bool = True, limit: int | None = None) -> DataFrame:
+    """Sorted in the total order of documents; with a limit as a top-k, without a global sort."""
+    key = F.col("document_key")
+    out = _keyed(df, doc, "document_key", True).orderBy(key.asc() if ascending else key.desc())
+    return (out if limit is None else out.limit(limit)).drop("document_key")
+
+
+def join_on_document(left: DataFrame, right: DataFrame, left_doc: str, right_doc: str, how: str = "inner", numeric: bool = False) -> DataFrame:
+    """Equi-join on documents; for semi and anti joins only left columns come back."""
+    a, b = _keyed(left, left_doc, "left_key", numeric), _keyed(right, right_doc, "right_key", numeric)
+    return a.join(b, F.col("left_key") == F.col("right_key"), how).drop("left_key", "right_key")
+
+
+def join_on_path(left: DataFrame, right: DataFrame, left_doc: str, path: str, right_key: str, how: str = "inner") -> DataFrame:
+    """Join of what a path leads to, as text, with a string column: an ordinary equi-join."""
+    return left.withColumn("path_key", J.try_to_str(J.get_by_path_first(left_doc, path))).join(right, F.col("path_key") == F.col(right_key), how).drop("path_key")
+
+
+def join_on_containment(left: DataFrame, right: DataFrame, left_doc: str, right_doc: str) -> DataFrame:
+    """Pairs whose left document contains the right one.
+
+    A document with members or strings at the top only goes to those that share
+    one of them: pairs are found by an equi-join on names and string elements,
+    and checked. Right documents without any meet all left ones.
+    """
+    marks = lambda doc: F.coalesce(J.object_keys(doc), F.transform(J.array_values(doc), lambda x: F.to_json(x)))
+    a = left.withColumns({"left_row": F.monotonically_increasing_id(), "left_marks": marks(left_doc)})
+    mark = F.get(marks(right_doc), F.lit(0))
+    scalar = J.is_array(right_doc) | J.is_object(right_doc)
+    b = right.withColumn("mark", F.when(scalar & (J.is_object(right_doc) | F.forall(J.array_values(right_doc), lambda x: J.type_of(x).isin("string", "boolean", "null"))), mark))
+    some = a.withColumn("mark", F.explode(F.array_distinct("left_marks"))).join(b.where("mark IS NOT NULL"), "mark")
+    rest = a.crossJoin(F.broadcast(b.where("mark IS NULL"))) if b.where("mark IS NULL").limit(1).count() else None
+    out = some.drop("mark")
+    if rest is not None:
+        out = out.unionByName(rest.drop("mark"))
+    return out.where(J.contains(left_doc, right_doc)).drop("left_row", "left_marks")
+
+
+def union_documents(left: DataFrame, right: DataFrame, doc: str) -> DataFrame:
+    """Distinct documents of both."""
+    return distinct_documents(left.select(doc).unionByName(right.select(doc)), doc)
+
+
+def intersect_documents(left: DataFrame, right: DataFrame, doc: str) -> DataFrame:
+    b = right.select(J.encode(doc).alias("right_key")).distinct()
+    a = _keyed(left.select(doc), doc, "left_key", False)
+    return distinct_documents(a.join(b, F.col("left_key") == F.col("right_key"), "left_semi").select(doc), doc)
+
+
+def except_documents(left: DataFrame, right: DataFrame, doc: str) -> DataFrame:
+    b = right.select(J.encode(doc).alias("right_key")).distinct()
+    a = _keyed(left.select(doc), doc, "left_key", False)
+    return distinct_documents(a.join(b, F.col("left_key") == F.col("right_key"), "left_anti").select(doc), doc)
+
+
+def json_array_agg(doc: Column | str, order: Column | str) -> Column:
+    """An aggregate: an array of a group's documents in the given order; NULL counts as null."""
+    value = F.coalesce(J._col(doc), F.parse_json(F.lit("null")))
+    pairs = F.collect_list(F.struct(J._col(order).alias("o"), value.alias("v")))
+    return F.to_variant_object(F.transform(_sorted(pairs), lambda p: p["v"]))
+
+
+def json_object_agg(key: Column | str, doc: Column | str, order: Column | str) -> Column:
+    """An aggregate: an object of a group's names and documents; of equal names the last in the given order wins."""
+    value = F.coalesce(J._col(doc), F.parse_json(F.lit("null")))
+    pairs = _sorted(F.collect_list(F.struct(J._col(order).alias("o"), J._col(key).alias("k"), value.alias("v"))))
+    return J.build_object_from(F.transform(pairs, lambda p: p["k"]), F.transform(pairs, lambda p: p["v"]))
+
+
+def _sorted(pairs: Column) -> Column:
+    # documents have no order of their own, so only what is given is looked at
+    before = lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)
+    return F.array_sort(pairs, before)
+
+
+def explode_path(df: DataFrame, doc: str, path: str, name: str = "value") -> DataFrame:
+    """A row for each hit of a path."""
+    return df.withColumn(name, F.explode(J.get_by_path_all(doc, path)))
+
+
+def explode_members(df: DataFrame, doc: str) -> DataFrame:
+    """A row for each member, with columns key and value."""
+    return df.select("*", F.inline(J.object_each(doc)))
+
+
+def explode_elements(df: DataFrame, doc: str, name: str = "value") -> DataFrame:
+    """A row for each element, with its place ``pos``."""
+    return df.select("*", F.posexplode(J.array_values(doc)).alias("pos", name))

@@ -2,22 +2,455 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-QUERIES: dict = {}
+from . import functions as J
+from . import operators as R
+from .sql import configure
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(configure(spark), sf_dir)
+
+        QUERIES[f.__name__] = run
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---------------------------------------------------------------- documents made of rows
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, event_type, ts and the parsed props."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "user_id", "ts", J.parse("props").alias("doc"))
+
+
+def event_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id and {"id", "type", "user", "props"}."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    doc = F.to_variant_object(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"), F.col("user_id").alias("user"), F.parse_json("props").alias("props")))
+    return e.select(F.col("event_id").alias("id"), doc.alias("doc"))
+
+
+def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id and {"items": [{"flag", "n", "part"}, ...], "key", "status"}, items sorted by number, part and flag."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("flag")).alias("item"))
+    items = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    doc = F.to_variant_object(F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), "items"))
+    return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderkey").alias("id"), doc.alias("doc"))
+
+
+def sparse_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id and {"seg": segment, or null for every third customer, "nation": key}."""
+    seg = F.when(F.col("c_custkey") % 3 == 0, F.parse_json(F.lit("null"))).otherwise(J.from_native("c_mktsegment"))
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return c.select(F.col("c_custkey").alias("id"), J.build_object(seg=seg, nation=J.from_native("c_nationkey")).alias("doc"))
+
+
+def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, and the return flags of an order's first and other lines as arrays a and b."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    one = lambda test: F.to_variant_object(F.sort_array(F.collect_list(F.when(test, F.col("l_returnflag")))))
+    return lines.groupBy(F.col("l_orderkey").alias("id")).agg(one(F.col("l_linenumber") <= 3).alias("a"), one(F.col("l_linenumber") > 1).alias("b"))
+
+
+ITEMS = "items AS (SELECT l_orderkey AS id, list_sort(list({'n': l_linenumber, 'part': l_partkey, 'flag': l_returnflag})) AS items FROM lineitem GROUP BY 1), docs AS (SELECT id, o_orderstatus AS status, items FROM items JOIN orders ON o_orderkey = id)"
+EVENTS = "e AS (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)"
+SPARSE = "s AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS seg, c_nationkey AS nation FROM customer)"
+FLAGS = "f AS (SELECT l_orderkey AS id, coalesce(list_sort(list(l_returnflag) FILTER (l_linenumber <= 3)), []) AS a, coalesce(list_sort(list(l_returnflag) FILTER (l_linenumber > 1)), []) AS b FROM lineitem GROUP BY 1)"
+
+
+def lit(text: str) -> Column:
+    return F.parse_json(F.lit(text))
+
+
+# ---------------------------------------------------------------- selection
+
+
+@query(f"WITH {EVENTS} SELECT event_type, count(*) AS n, CAST(sum(k) AS BIGINT) AS sum_k FROM e WHERE k > 50 GROUP BY 1")
 def events_by_json_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose document has k > 50, counted and summed by type."""
-    k = F.variant_get(F.parse_json("props"), "$.k", "bigint")
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", k.alias("k"))
-    return events.where("k > 50").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("sum_k"))
+    hot = events(spark, sf_dir).where(J.path_match("doc", "$.k > 50"))
+    return hot.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(J.to_i64(J.get_by_path_first("doc", "$.k"))).alias("sum_k"))
+
+
+@query("SELECT event_id, CASE json_type(props) WHEN 'OBJECT' THEN 'object' END AS kind, CASE WHEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') THEN 'number' END AS k_kind FROM events")
+def parse_and_type_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).select("event_id", J.type_of("doc").alias("kind"), J.type_of(J.get_by_name("doc", "k")).alias("k_kind"))
+
+
+@query("SELECT event_id AS id, event_type AS type, user_id AS user_id FROM events")
+def get_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_docs(spark, sf_dir).select("id", J.as_str(J.get_by_name("doc", "type")).alias("type"), J.as_i64(J.get_by_name("doc", "user")).alias("user_id"))
+
+
+@query("SELECT event_id AS id, event_type AS type, CAST(NULL AS VARCHAR) AS exact FROM events")
+def get_by_name_ignore_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_docs(spark, sf_dir).select("id", J.as_str(J.get_by_name("doc", "TYPE", ignore_case=True)).alias("type"), J.as_str(J.get_by_name("doc", "TYPE")).alias("exact"))
+
+
+@query(f"WITH {ITEMS} SELECT id, items[1].part AS first_part, coalesce(items[4].part, -1) AS fourth_part FROM docs")
+def get_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda i: J.as_i64(J.get_by_name(J.get_by_index(J.get_by_name("doc", "items"), i), "part"))
+    return order_docs(spark, sf_dir).select("id", part(0).alias("first_part"), F.coalesce(part(3), F.lit(-1)).alias("fourth_part"))
+
+
+@query(f"WITH {ITEMS} SELECT id, items[-1].flag AS last_flag, coalesce(items[2].part, -1) AS second_part FROM docs")
+def get_by_keypath(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_docs(spark, sf_dir).select("id", J.as_str(J.get_by_keypath("doc", "{items,-1,flag}")).alias("last_flag"), F.coalesce(J.as_i64(J.get_by_keypath("doc", '{"items",1,part}')), F.lit(-1)).alias("second_part"))
+
+
+@query(f"WITH {ITEMS} SELECT id, items[1].part AS part, items[-1].flag AS last_flag FROM docs")
+def get_by_path_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_docs(spark, sf_dir).select("id", J.as_i64(J.get_by_path_first("doc", "$.items[*].part")).alias("part"), J.as_str(J.get_by_path_first("doc", "$.items[last].flag")).alias("last_flag"))
+
+
+@query(f"WITH {ITEMS} SELECT id, '[' || array_to_string(list_transform(items[1:2], lambda x: x.part), ',') || ']' AS parts FROM docs")
+def get_by_path_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_docs(spark, sf_dir).select("id", F.to_json(J.get_by_path_array("doc", "$.items[0 to 1].part")).alias("parts"))
+
+
+@query(f"WITH {ITEMS} SELECT id, CASE WHEN len(items) = 1 THEN CAST(items[1].n AS VARCHAR) ELSE '[' || array_to_string(list_transform(items, lambda x: x.n), ',') || ']' END AS numbers FROM docs")
+def get_by_path_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_docs(spark, sf_dir).select("id", F.to_json(J.get_by_path("doc", "items[*].n")).alias("numbers"))
+
+
+@query("SELECT l_orderkey AS id, l_partkey AS part FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+def get_by_path_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.explode_path(order_docs(spark, sf_dir), "doc", "$.items[*].part", "hit").select("id", J.as_i64("hit").alias("part"))
+
+
+@query("SELECT l_orderkey AS id, l_partkey AS part FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' AND l_linenumber > 2")
+def path_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.explode_path(order_docs(spark, sf_dir), "doc", '$.items[*]?(@.flag == "R" && @.n > 2).part', "hit").select("id", J.as_i64("hit").alias("part"))
+
+
+@query(f"WITH {ITEMS} SELECT id FROM docs WHERE len(list_filter(items, lambda x: x.flag = 'N')) > 0 AND len(items) > 0")
+def path_filter_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_docs(spark, sf_dir).where(F.isnotnull(J.get_by_path_first("doc", '$?(exists(@.items[*]?(@.flag == "N")))'))).select("id")
+
+
+@query(f"WITH {ITEMS} SELECT id, len(items) > 3 AS has_fourth, true AS predicate FROM docs")
+def path_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_docs(spark, sf_dir).select("id", J.path_exists("doc", "$.items[3]").alias("has_fourth"), J.path_exists("doc", "$.key < 0").alias("predicate"))
+
+
+@query(f"WITH {ITEMS} SELECT id, status = 'F' OR len(list_filter(items, lambda x: x.n = 6)) > 0 AS matches, len(list_filter(items, lambda x: x.part > id)) > 0 AS above FROM docs")
+def path_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_docs(spark, sf_dir).select("id", J.path_match("doc", '$.status == "F" || $.items[*].n == 6').alias("matches"), J.path_match("doc", "$.items[*].part > $.key").alias("above"))
+
+
+@query(f"WITH {EVENTS} SELECT event_id AS id, '[' || event_id || ',{{\"k\":' || k || '}},\"' || event_type || '\",' || user_id || ']' AS members FROM e")
+def path_wildcard_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_docs(spark, sf_dir).select("id", F.to_json(J.get_by_path_array("doc", "$.*")).alias("members"))
+
+
+@query("SELECT event_id AS id, CAST(CASE event_type WHEN 'click' THEN event_id ELSE user_id END AS BIGINT) AS value FROM events")
+def path_from_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.when(J.as_str(J.get_by_name("doc", "type")) == "click", "$.id").otherwise("$.user")
+    return event_docs(spark, sf_dir).select("id", J.as_i64(J.get_by_path_first("doc", path)).alias("value"))
+
+
+# ---------------------------------------------------------------- access
+
+
+@query("SELECT event_id AS id, 'id,props,type,user' AS keys FROM events")
+def object_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_docs(spark, sf_dir).select("id", F.array_join(J.object_keys("doc"), ",").alias("keys"))
+
+
+@query(
+    f"WITH {EVENTS} SELECT event_id AS id, 'id' AS key, CAST(event_id AS VARCHAR) AS value FROM e UNION ALL SELECT event_id, 'user', CAST(user_id AS VARCHAR) FROM e "
+    "UNION ALL SELECT event_id, 'type', '\"' || event_type || '\"' FROM e UNION ALL SELECT event_id, 'props', '{\"k\":' || k || '}' FROM e"
+)
+def object_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.explode_members(event_docs(spark, sf_dir), "doc").select("id", "key", F.to_json("value").alias("value"))
+
+
+@query(f"WITH {ITEMS}, u AS (SELECT id, unnest(items) AS item, generate_subscripts(items, 1) - 1 AS pos FROM docs) SELECT id, CAST(pos AS INTEGER) AS pos, item.part AS part FROM u")
+def array_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = R.explode_elements(order_docs(spark, sf_dir).select("id", J.get_by_name("doc", "items").alias("items")), "items")
+    return out.select("id", "pos", J.as_i64(J.get_by_name("value", "part")).alias("part"))
+
+
+@query(f"WITH {ITEMS} SELECT id, CAST(len(items) AS INTEGER) AS n, true AS none_of_object FROM docs")
+def array_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_docs(spark, sf_dir).select("id", J.array_length(J.get_by_name("doc", "items")).alias("n"), F.isnull(J.array_length("doc")).alias("none_of_object"))
+
+
+# ---------------------------------------------------------------- predicates
+
+
+@query(f"WITH {ITEMS} SELECT id, status = 'O' AS status_o, len(list_filter(items, lambda x: x.flag = 'A')) > 0 AS has_a FROM docs")
+def contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_docs(spark, sf_dir).select("id", J.contains("doc", lit('{"status":"O"}')).alias("status_o"), J.contains("doc", lit('{"items":[{"flag":"A"}]}')).alias("has_a"))
+
+
+@query(f"WITH {SPARSE} SELECT id, true AS all_keys, false AS more_keys FROM s")
+def exists_all_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse_docs(spark, sf_dir).select("id", J.exists_all_keys("doc", ["seg", "nation"]).alias("all_keys"), J.exists_all_keys("doc", ["seg", "x"]).alias("more_keys"))
+
+
+@query(f"WITH {FLAGS} SELECT id, list_contains(a, 'R') OR list_contains(a, 'X') AS any_key FROM f")
+def exists_any_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flags(spark, sf_dir).select("id", J.exists_any_keys("a", ["R", "X"]).alias("any_key"))
+
+
+@query(f"WITH {SPARSE} SELECT id, coalesce(seg = 'BUILDING', false) AS building, true AS has_name FROM s")
+def traverse_check_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse_docs(spark, sf_dir).select("id", J.traverse_check_string("doc", lambda s: s == "BUILDING").alias("building"), J.traverse_check_string("doc", lambda s: s == "nation").alias("has_name"))
+
+
+# ---------------------------------------------------------------- kinds and casts
+
+
+@query(
+    f"WITH {SPARSE} SELECT id, seg IS NULL AS seg_null, seg IS NOT NULL AS seg_string, true AS nation_number, true AS nation_i64, true AS nation_u64, true AS nation_f64, "
+    "false AS nation_boolean, true AS doc_object, false AS doc_array FROM s"
+)
+def is_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seg, nation = J.get_by_name("doc", "seg"), J.get_by_name("doc", "nation")
+    return sparse_docs(spark, sf_dir).select(
+        "id", J.is_null(seg).alias("seg_null"), J.is_string(seg).alias("seg_string"), J.is_number(nation).alias("nation_number"), J.is_i64(nation).alias("nation_i64"), J.is_u64(nation).alias("nation_u64"),
+        J.is_f64(nation).alias("nation_f64"), J.is_boolean(nation).alias("nation_boolean"), J.is_object("doc").alias("doc_object"), J.is_array("doc").alias("doc_array"),
+    )
+
+
+@query(f"WITH {SPARSE} SELECT id, seg IS NULL AS seg_null, seg AS seg_str, CAST(nation AS BIGINT) AS i64, CAST(nation AS DOUBLE) AS f64, CAST(nation AS VARCHAR) AS u64, true AS no_bool FROM s")
+def as_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seg, nation = J.get_by_name("doc", "seg"), J.get_by_name("doc", "nation")
+    return sparse_docs(spark, sf_dir).select("id", F.coalesce(J.as_null(seg), F.lit(False)).alias("seg_null"), J.as_str(seg).alias("seg_str"), J.as_i64(nation).alias("i64"), J.as_f64(nation).alias("f64"), J.as_u64(nation).cast("string").alias("u64"), F.isnull(J.as_bool(nation)).alias("no_bool"))
+
+
+@query("SELECT event_id AS id, CAST(event_id AS BIGINT) AS i64, CAST(event_id AS DOUBLE) AS f64, event_id % 2 = 0 AS flag, CAST(event_id AS VARCHAR) AS str, true AS no_i64 FROM events")
+def to_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = event_docs(spark, sf_dir).select("id", "doc", J.from_native(F.col("id").cast("string")).alias("text"), J.from_native(F.when(F.col("id") % 2 == 0, "TRUE").otherwise("False")).alias("flag"))
+    return made.select("id", J.to_i64("text").alias("i64"), J.to_f64("text").alias("f64"), J.to_bool("flag").alias("flag"), J.to_str(J.get_by_name("doc", "id")).alias("str"), F.isnull(J.try_to_i64("doc")).alias("no_i64"))
+
+
+# ---------------------------------------------------------------- construction and change
+
+
+@query("SELECT o_orderkey AS id, '[' || o_orderkey || ',\"' || o_orderstatus || '\",null]' AS doc FROM orders")
+def build_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select(F.col("o_orderkey").alias("id"), F.to_json(J.build_array(J.from_native("o_orderkey"), J.from_native("o_orderstatus"), lit("null"))).alias("doc"))
+
+
+@query("SELECT o_orderkey AS id, '{\"key\":' || o_orderkey || ',\"status\":\"' || o_orderstatus || '\"}' AS doc FROM orders")
+def build_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select(F.col("o_orderkey").alias("id"), F.to_json(J.build_object(status=J.from_native("o_orderstatus"), key=J.from_native("o_orderkey"))).alias("doc"))
+
+
+@query("SELECT n_regionkey AS id, '[' || string_agg('\"' || n_name || '\"', ',' ORDER BY n_nationkey) || ']' AS doc FROM nation GROUP BY 1")
+def json_array_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").withColumn("name", J.from_native("n_name"))
+    return n.groupBy(F.col("n_regionkey").alias("id")).agg(F.to_json(R.json_array_agg("name", "n_nationkey")).alias("doc"))
+
+
+@query("SELECT n_regionkey AS id, '{' || string_agg('\"' || n_name || '\":' || n_nationkey, ',' ORDER BY n_name) || '}' AS doc FROM nation GROUP BY 1")
+def json_object_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").withColumn("key", J.from_native("n_nationkey"))
+    return n.groupBy(F.col("n_regionkey").alias("id")).agg(F.to_json(R.json_object_agg("n_name", "key", "n_nationkey")).alias("doc"))
+
+
+@query(f"WITH {EVENTS} SELECT event_id AS id, '{{\"id\":-1,\"new\":true,\"props\":{{\"k\":' || k || '}},\"type\":\"' || event_type || '\",\"user\":' || user_id || '}}' AS doc FROM e")
+def concat_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_docs(spark, sf_dir).select("id", F.to_json(J.concat("doc", lit('{"new":true,"id":-1}'))).alias("doc"))
+
+
+@query(f"WITH {FLAGS} SELECT id, list_concat(a, b, ['Z']) AS doc FROM f")
+def concat_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = J.concat(J.concat("a", "b"), lit('"Z"'))
+    return flags(spark, sf_dir).select("id", F.transform(J.array_values(both), lambda x: J.as_str(x)).alias("doc"))
+
+
+@query(f"WITH {FLAGS} SELECT id, list_filter(a, lambda x: x <> 'R') AS doc FROM f")
+def delete_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flags(spark, sf_dir).select("id", F.transform(J.array_values(J.delete_by_name("a", "R")), lambda x: J.as_str(x)).alias("doc"))
+
+
+@query(f"WITH {FLAGS} SELECT id, CASE WHEN len(b) > 0 THEN b[1:len(b) - 1] ELSE b END AS doc FROM f")
+def delete_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flags(spark, sf_dir).select("id", F.transform(J.array_values(J.delete_by_index("b", -1)), lambda x: J.as_str(x)).alias("doc"))
+
+
+@query("SELECT event_id AS id, '{\"id\":' || event_id || ',\"props\":{},\"type\":\"' || event_type || '\",\"user\":' || user_id || '}' AS doc FROM events")
+def delete_by_keypath(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_docs(spark, sf_dir).select("id", J.to_string(J.delete_by_keypath("doc", "{props,k}")).alias("doc"))
+
+
+@query(f"WITH {FLAGS} SELECT id, list_concat(b[1:greatest(len(b) - 1, 0)], ['Z'], b[greatest(len(b), 1):]) AS doc FROM f")
+def array_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flags(spark, sf_dir).select("id", F.transform(J.array_values(J.array_insert("b", -1, lit('"Z"'))), lambda x: J.as_str(x)).alias("doc"))
+
+
+@query(f"WITH {SPARSE} SELECT id, '{{\"extra\":1,\"nation\":0,\"seg\":' || coalesce('\"' || seg || '\"', 'null') || '}}' AS doc FROM s")
+def object_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = J.object_insert(J.object_insert("doc", "extra", lit("1")), "nation", lit("0"), update=True)
+    return sparse_docs(spark, sf_dir).select("id", F.to_json(more).alias("doc"))
+
+
+@query(f"WITH {SPARSE} SELECT id, '{{\"nation\":' || nation || '}}' AS doc FROM s")
+def object_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse_docs(spark, sf_dir).select("id", F.to_json(J.object_delete("doc", ["seg", "none"])).alias("doc"))
+
+
+@query(f"WITH {SPARSE} SELECT id, '{{\"seg\":' || coalesce('\"' || seg || '\"', 'null') || '}}' AS doc FROM s")
+def object_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse_docs(spark, sf_dir).select("id", F.to_json(J.object_pick("doc", ["seg", "none"])).alias("doc"))
+
+
+@query(f"WITH {SPARSE} SELECT id, '{{\"nation\":' || nation || coalesce(',\"seg\":\"' || seg || '\"', '') || '}}' AS doc FROM s")
+def strip_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse_docs(spark, sf_dir).select("id", J.to_string(J.strip_nulls("doc")).alias("doc"))
+
+
+# ---------------------------------------------------------------- arrays as multisets
+
+
+@query(f"WITH {FLAGS} SELECT id, list_sort(list_distinct(a)) AS doc FROM f")
+def array_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flags(spark, sf_dir).select("id", F.transform(J.array_values(J.array_distinct("a")), lambda x: J.as_str(x)).alias("doc"))
+
+
+COUNTS = f"WITH {FLAGS}, c AS (SELECT id, a, b, unnest(['A', 'N', 'R']) AS x FROM f), n AS (SELECT id, x, len(list_filter(a, lambda y: y = x)) AS p, len(list_filter(b, lambda y: y = x)) AS q FROM c)"
+
+
+@query(f"{COUNTS} SELECT id, string_agg(repeat(x, CAST(least(p, q) AS BIGINT)), '' ORDER BY x) AS doc FROM n GROUP BY id")
+def array_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flags(spark, sf_dir).select("id", F.array_join(F.transform(J.array_values(J.array_intersection("a", "b")), lambda x: J.as_str(x)), "").alias("doc"))
+
+
+@query(f"{COUNTS} SELECT id, string_agg(repeat(x, CAST(greatest(p - q, 0) AS BIGINT)), '' ORDER BY x) AS doc FROM n GROUP BY id")
+def array_except(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flags(spark, sf_dir).select("id", F.array_join(F.transform(J.array_values(J.array_except("a", "b")), lambda x: J.as_str(x)), "").alias("doc"))
+
+
+@query(f"WITH {FLAGS} SELECT id, list_has_any(a, b) AS overlap FROM f")
+def array_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flags(spark, sf_dir).select("id", J.array_overlap("a", "b").alias("overlap"))
+
+
+# ---------------------------------------------------------------- order, groups, joins, sets
+
+
+@query(f"WITH {EVENTS} SELECT event_id, CAST(sign(k - 50) AS INTEGER) AS c FROM e")
+def compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).select("event_id", J.compare("doc", lit('{"k":50}')).alias("c"))
+
+
+@query(f"WITH {EVENTS} SELECT event_id, k FROM e ORDER BY k DESC, event_id LIMIT 20")
+def order_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).select("event_id", "doc", J.sort_key("doc").alias("key")).orderBy(F.desc("key"), "event_id").limit(20)
+    return e.select("event_id", J.as_i64(J.get_by_name("doc", "k")).alias("k"))
+
+
+@query(f"WITH {EVENTS} SELECT k, count(*) AS n, min(event_id) AS first_id FROM e GROUP BY 1")
+def group_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = R.group_by_document(events(spark, sf_dir), "doc", F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+    return out.select(J.as_i64(J.get_by_name("doc", "k")).alias("k"), "n", "first_id")
+
+
+@query(f"WITH {EVENTS} SELECT DISTINCT k FROM e")
+def distinct_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.distinct_documents(events(spark, sf_dir), "doc").select(J.as_i64(J.get_by_name("doc", "k")).alias("k"))
+
+
+@query(f"WITH {EVENTS}, w AS (SELECT k FROM e WHERE event_type = 'purchase' GROUP BY 1) SELECT event_id, k FROM e JOIN w USING (k)")
+def join_on_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir)
+    bought = R.distinct_documents(e.where("event_type = 'purchase'"), "doc").withColumnRenamed("doc", "other")
+    return R.join_on_document(e, bought, "doc", "other").select("event_id", J.as_i64(J.get_by_name("other", "k")).alias("k"))
+
+
+@query(f"WITH {EVENTS} SELECT event_id FROM e WHERE k NOT IN (SELECT k FROM e WHERE event_id < 50)")
+def anti_join_on_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir)
+    return R.join_on_document(e, e.where("event_id < 50").select(F.col("doc").alias("other")), "doc", "other", "left_anti").select("event_id")
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority AS priority FROM orders JOIN nation ON CAST(o_custkey % 25 AS INTEGER) = n_nationkey WHERE n_regionkey = 1")
+def join_on_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderpriority", J.build_object(nation=J.from_native(F.col("o_custkey") % 25)).alias("doc"))
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_regionkey = 1").select(F.col("n_nationkey").cast("string").alias("nation_key"))
+    return R.join_on_path(o, n, "doc", "$.nation", "nation_key").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"))
+
+
+@query(f"WITH {SPARSE} SELECT id, n_name AS name FROM s JOIN nation ON nation = n_nationkey WHERE n_regionkey = 2")
+def join_on_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_regionkey = 2").select("n_name", J.build_object(nation=J.from_native("n_nationkey")).alias("asked"))
+    return R.join_on_containment(sparse_docs(spark, sf_dir), n, "doc", "asked").select("id", F.col("n_name").alias("name"))
+
+
+@query(f"WITH {EVENTS} SELECT 'union' AS op, k FROM e WHERE event_id < 40 OR event_id % 7 = 0 GROUP BY k UNION ALL SELECT 'intersect', k FROM (SELECT k FROM e WHERE event_id < 40 INTERSECT SELECT k FROM e WHERE event_id % 7 = 0) UNION ALL SELECT 'except', k FROM (SELECT k FROM e WHERE event_id % 7 = 0 EXCEPT SELECT k FROM e WHERE event_id < 40)")
+def set_operations_on_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir)
+    a, b = e.where("event_id < 40"), e.where("event_id % 7 = 0")
+    sets = {"union": R.union_documents(a, b, "doc"), "intersect": R.intersect_documents(a, b, "doc"), "except": R.except_documents(b, a, "doc")}
+    parts = [d.select(F.lit(op).alias("op"), J.as_i64(J.get_by_name("doc", "k")).alias("k")) for op, d in sets.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# ---------------------------------------------------------------- text, wire, relational
+
+
+@query(f"WITH {EVENTS} SELECT event_id, '{{\"k\":' || k || '}}' AS doc FROM e")
+def to_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).select("event_id", J.to_string("doc").alias("doc"))
+
+
+@query(f"WITH {EVENTS} SELECT event_id, '{{' || chr(10) || '  \"k\": ' || k || chr(10) || '}}' AS doc FROM e")
+def to_pretty_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).select("event_id", J.to_pretty_string("doc").alias("doc"))
+
+
+@query(f"WITH {EVENTS} SELECT event_id, '{{\"k\":' || k || '}}' AS doc, lower(hex(blob '\\x40\\x00\\x00\\x01\\x10\\x00\\x00\\x01')) AS head FROM e")
+def encode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wire = events(spark, sf_dir).select("event_id", J.encode("doc").alias("wire"))
+    return wire.select("event_id", J.to_string(J.decode("wire")).alias("doc"), F.lower(F.hex(F.substring("wire", 1, 8))).alias("head"))
+
+
+@query(f"WITH {EVENTS} SELECT event_id, CAST(dense_rank() OVER (ORDER BY k) AS INTEGER) AS place FROM e WHERE event_id < 500")
+def sort_key_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).where("event_id < 500").withColumn("key", J.sort_key("doc"))
+    place = e.select("key").distinct().withColumn("place", F.dense_rank().over(Window.orderBy("key")))
+    return e.join(place, "key").select("event_id", "place")
+
+
+@query()
+def rand_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).select("event_id", J.to_string(J.rand_value(11)).alias("doc"))
+
+
+@query(f"WITH {EVENTS} SELECT event_type, event_id, k FROM e QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY k DESC, event_id) <= 3")
+def window_over_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).select("event_type", "event_id", J.to_i64(J.get_by_path_first("doc", "$.k")).alias("k"))
+    rank = F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("k"), "event_id"))
+    return e.withColumn("r", rank).where("r <= 3").drop("r")
+
+
+@query(f"WITH {EVENTS} SELECT event_id, k FROM e ORDER BY k DESC, event_id LIMIT 10")
+def relational_topk_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).select("event_id", J.to_i64(J.get_by_path_first("doc", "$.k")).alias("k")).orderBy(F.desc("k"), "event_id").limit(10)
 
 
-QUERIES["events_by_json_path"] = events_by_json_path
-ORACLE_SQL["events_by_json_path"] = """
-SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS sum_k
-FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 50 GROUP BY event_type
-"""
+@query("SELECT conv_id AS id, count(*) AS n, '[' || string_agg('\"' || role || '\"', ',' ORDER BY turn, role) || ']' AS roles FROM conversations GROUP BY 1")
+def conversation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role")))
+    docs = c.groupBy(F.col("conv_id").alias("id")).agg(F.to_variant_object(turns).alias("doc"))
+    return docs.select("id", J.array_length("doc").cast("bigint").alias("n"), F.to_json(J.get_by_path_array("doc", "$[*].role")).alias("roles"))

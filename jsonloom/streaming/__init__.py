@@ -1 +1,25 @@
-"""jsonloom.streaming"""
+"""Document functions in Structured Streaming.
+
+All functions of ``jsonloom.functions`` work on streaming DataFrames; keys for
+groups and deduplication are the BINARY ones of ``jsonloom.operators``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .. import functions as J
+
+
+def windowed_counts(df: DataFrame, time: str, doc: str, path: str, window: str = "7 days", late: str = "1 day") -> DataFrame:
+    """Rows by window of event time and by what a path leads to, as text; late rows are dropped beyond the watermark."""
+    key = J.try_to_str(J.get_by_path_first(doc, path))
+    stamped = df.withColumn("event_time", F.col(time).cast("timestamp")).withWatermark("event_time", late)
+    return stamped.groupBy(F.window("event_time", window), key.alias("key")).agg(F.count("*").alias("n"))
+
+
+def distinct_documents(df: DataFrame, time: str, doc: str, late: str = "1 day") -> DataFrame:
+    """Each document once as long as the watermark remembers it."""
+    stamped = df.withColumns({"event_time": F.col(time).cast("timestamp"), "document_key": J.encode(doc)}).withWatermark("event_time", late)
+    return stamped.dropDuplicatesWithinWatermark(["document_key"])

@@ -495,9 +495,9 @@ def build_object(**members: Column | str) -> Column:
 
 def build_object_from(keys: Column, items: Column) -> Column:
     """Names and documents to an object; the last of equal names wins."""
-    pairs = F.arrays_zip(keys.alias("k"), items.alias("v"))
-    last = F.filter(F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i"))), lambda p: ~F.exists(F.slice(keys, p["i"] + 2, F.greatest(F.size(keys) - p["i"] - 1, F.lit(0))), lambda k: k == p["k"]))
-    return F.to_variant_object(F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], p["v"]))))
+    names, values_ = F.reverse(keys), F.reverse(items)
+    last = lambda k: F.element_at(values_, F.array_position(names, k).cast("int"))
+    return F.to_variant_object(F.map_from_entries(F.transform(F.array_distinct(names), lambda k: F.struct(k.alias("k"), last(k).alias("v")))))
 
 
 def _wrapped(v: Column) -> Column:

@@ -131,7 +131,7 @@ def stored(df: DataFrame, sweep_later: bool = True) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def discard(spark: SparkSession, *paths: str) -> None:
+def discard(spark: SparkSession, *paths: str, rounds: int = 2) -> None:
     """Delete stored tables that nothing reads any more, and let Spark drop the shuffles of plans that are gone."""
     jvm = spark.sparkContext._jvm
     for path in paths:
@@ -139,10 +139,10 @@ def discard(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
         if path in _stored:
             _stored.remove(path)
-    for _ in range(2):  # what the first round frees holds what the second one does
+    for _ in range(rounds):  # what the first round frees may hold what the second one does
         gc.collect()
         jvm.System.gc()
-        time.sleep(0.3)
+        time.sleep(0.2)
 
 
 def sweep(spark: SparkSession) -> None:

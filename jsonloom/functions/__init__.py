@@ -320,6 +320,10 @@ def type_of(doc: Column | str) -> Column:
     return plan.kind(_col(doc))
 
 
+def same_kind(left: Column | str, right: Column | str) -> Column:
+    return type_of(left) == type_of(right)
+
+
 def _is(doc: Column | str, kind: str) -> Column:
     return plan.kind(_col(doc)) == kind
 

@@ -1,7 +1,8 @@
 """Document functions in SQL: temporary functions named ``jl_...``.
 
-Paths and key paths must be constants in Python, so SQL gets them through
-``register_path``; the rest takes columns.
+Access and the table functions are SQL bodies that Catalyst inlines. Paths are
+arguments here, so functions on them run in Python; where a path is constant,
+the functions of ``jsonloom.functions`` compile it instead.
 """
 
 from __future__ import annotations
@@ -27,6 +28,12 @@ NATIVE = {
     "jl_get_by_name": ("v VARIANT, n STRING", "VARIANT", "try_element_at(try_variant_get(v, '$', 'map<string,variant>'), n)"),
 }
 
+#: Table functions: a row for each member, or for each element with its place.
+TABLES = {
+    "jl_object_each": ("key STRING, value VARIANT", "SELECT m.key, m.value FROM (SELECT explode(try_variant_get(v, '$', 'map<string,variant>')) AS (key, value)) m"),
+    "jl_array_each": ("pos INT, value VARIANT", "SELECT e.pos, e.value FROM (SELECT posexplode(try_variant_get(v, '$', 'array<variant>')) AS (pos, value)) e"),
+}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
@@ -39,6 +46,8 @@ def register(spark: SparkSession) -> None:
     configure(spark)
     for name, (args, returns, body) in NATIVE.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {returns} RETURN {body}")
+    for name, (returns, body) in TABLES.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(v VARIANT) RETURNS TABLE({returns}) RETURN {body}")
     lifted = lambda f: lambda *a: None if any(x is None for x in a) else f(*(J.from_variant(x) if isinstance(x, J.VariantVal) else x for x in a))
     text = {
         "jl_to_string": values.render,

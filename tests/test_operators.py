@@ -66,6 +66,9 @@ def test_sql(spark):
     row = spark.sql("""SELECT jl_array_length(parse_json('[1,2]')) a, jl_to_string(jl_get_by_name(parse_json('{"x":[1]}'), 'x')) b, jl_path_match(parse_json('{"x":5}'), '$.x > 4') c,
         jl_contains(parse_json('[1,2]'), parse_json('[2]')) d, jl_get_by_path(parse_json('{"x":[1,2]}'), '$.x[*]') e, jl_compare(parse_json('1'), parse_json('2')) f, jl_parse_error('[1,]') g""").first()
     assert tuple(row) == (2, "[1]", True, True, "[1,2]", -1, "expected value, pos 4")
+    members = spark.sql("""SELECT t.id, e.key, to_json(e.value) v FROM (SELECT 7 id, parse_json('{"b":[1],"a":null}') d) t, LATERAL jl_object_each(t.d) e ORDER BY key""").collect()
+    assert [tuple(r) for r in members] == [(7, "a", "null"), (7, "b", "[1]")]
+    assert [r.pos for r in spark.sql("SELECT * FROM jl_array_each(parse_json('[5,6]'))").collect()] == [0, 1]
 
 
 @pytest.mark.parametrize("kind", ["counts", "distinct"])

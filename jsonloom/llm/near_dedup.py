@@ -10,9 +10,8 @@ one isn't, the horizon is doubled.
 
 Texts with equal sets of shingles form a class, and one of them stands for it.
 BANDS bands of ROWS registers put these into buckets. All pairs of a small bucket
-are candidates. In a large one, texts are compared with a centre, then with
-another one if they have not come together yet, until no round finds a link.
-Candidates are linked if the Jaccard similarity of their sets of shingles,
+are candidates. In a large one, texts are compared with a centre; what is then
+outside its largest component is compared with all of it, in blocks. Candidates are linked if the Jaccard similarity of their sets of shingles,
 computed exactly, is at least ``similarity``; linked classes form components.
 
 Null and empty texts have no shingle: each stands alone. Rows with equal doc_id
@@ -34,8 +33,8 @@ from .windows import Words, window_hashes
 
 BANDS, ROWS, WORDS = 20, 4, 5
 REGISTERS = BANDS * ROWS
-#: Buckets of up to so many classes are compared in full.
-SMALL = 8
+#: Buckets of up to so many classes are compared in full; larger ones with a centre first, and then in blocks of so many.
+SMALL, BLOCK = 8, 500
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -132,8 +131,8 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def link(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Classes (ordinal, member_of: the class's smallest ordinal) and links between classes (a > b)."""
+def link(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes (ordinal, member_of: the class's smallest ordinal), links between classes (a > b), components of these."""
     signed, signed_path = stored(sign(docs))
     lead = signed.groupBy("set_a", "set_b").agg(F.min("ordinal").alias("member_of"))
     classes = checkpoint(signed.join(lead, ["set_a", "set_b"]).select("ordinal", "member_of"))
@@ -151,33 +150,72 @@ def link(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     pairs = star.unionByName(within).where("a > b").distinct()
     links = checkpoint(verified(pairs, texts, similarity))
     large = checkpoint(members.where(F.col("n") > SMALL).select("bucket", "ordinal"))
-    rounds = 0
-    while large.limit(1).count():
-        rounds += 1
-        own = components(links)
-        of = large.join(own, large["ordinal"] == own["node"], "left").select("bucket", "ordinal", F.coalesce("component", "ordinal").alias("component"))
-        # a bucket that has come together is done with
-        place = F.xxhash64("ordinal", F.lit(rounds))
-        centres = of.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("ordinal", "component"), place).alias("c")).where("low < high")
-        open_ = checkpoint(of.join(centres.select("bucket", "c"), "bucket"))
-        apart = open_.where("component <> c.component")
-        pairs = apart.select(F.greatest("ordinal", "c.ordinal").alias("a"), F.least("ordinal", "c.ordinal").alias("b")).distinct()
-        found = checkpoint(verified(pairs, texts, similarity))
-        links = checkpoint(links.unionByName(found).distinct())
-        large = open_.select("bucket", "ordinal")
-        if rounds >= 2 and not found.limit(1).count():
-            break
-    return classes, links
+    del signed, lead, heads, keys, sizes, members, involved, star, small, other, within, pairs
+    discard(docs.sparkSession)
+    own = components(links)
+    if large.limit(1).count():
+        open_ = unsettled(large, own)
+        found = checkpoint(remaining(open_, texts, similarity))
+        if found.limit(1).count():
+            links = checkpoint(links.unionByName(found).distinct())
+            own = components(links)
+        del open_, found
+        discard(docs.sparkSession)
+    return classes, links, own
+
+
+def unsettled(large: DataFrame, own: DataFrame) -> DataFrame:
+    """bucket, ordinal and component of the members of buckets that have not come together."""
+    of = large.join(own, large["ordinal"] == own["node"], "left").select("bucket", "ordinal", F.coalesce("component", "ordinal").alias("component"))
+    apart = of.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return checkpoint(of.join(apart.select("bucket"), "bucket"))
+
+
+def remaining(open_: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links between different components of a bucket: those that join each member outside its largest component.
+
+    Such members go to all blocks of their bucket, and each other member to one.
+    In a block, texts are compared through an index of shingles, and of the
+    links of a member to a component one comes back, so rows are no more than
+    members times components.
+    """
+    sizes = open_.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    known = open_.join(most, "bucket").join(texts, "ordinal")
+    inside = known.select("bucket", F.pmod(F.xxhash64("ordinal"), F.col("blocks")).cast("int").alias("block"), "ordinal", "component", "text")
+    outside = known.where("component <> main").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("ordinal").alias("asked"), F.col("component").alias("kind"), F.col("text").alias("asked_text"))
+    outside = outside.withColumnsRenamed({"bucket": "of_bucket", "block": "of_block"})
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        if left.num_rows and right.num_rows:
+            ids, kinds = right.column("ordinal").to_numpy(), right.column("component").to_numpy()
+            of, sh, _ = shingles(right.column("text").to_pylist())
+            size, order = np.bincount(of, minlength=len(ids)), np.argsort(sh, kind="stable")
+            sh, of = sh[order], of[order]
+            asked, own, _ = shingles(left.column("asked_text").to_pylist())
+            ends = np.searchsorted(asked, np.arange(left.num_rows + 1))
+            for i, (me, kind) in enumerate(zip(left.column("asked").to_pylist(), left.column("kind").to_pylist(), strict=True)):
+                mine = own[ends[i] : ends[i + 1]]
+                low, high = np.searchsorted(sh, mine, "left"), np.searchsorted(sh, mine, "right")
+                n = high - low
+                hits = np.repeat(low - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+                common = np.bincount(of[hits], minlength=len(ids))
+                good = np.flatnonzero((common >= similarity * (size + len(mine) - common) - 1e-9) & (kinds != kind))
+                for other in good[np.unique(kinds[good], return_index=True)[1]]:
+                    found.append((max(me, ids[other]), min(me, ids[other])))
+        return pa.table([pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return outside.groupBy("of_bucket", "of_block").cogroup(inside.groupBy("bucket", "block")).applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns: doc_id, those in ``keep``, component (the smallest doc_id in it), kept (the first row of its component), n_links (of its class to others), copies (documents in its class)."""
+    """Columns: doc_id, those in ``keep``, component (the smallest doc_id in it), kept (the first row of its component), n_links (of its class to others, among the links that make the components), copies (documents in its class)."""
     extra = [c for c in keep or [] if c != id_col]
     carried = [f"keep_{i}" for i in range(len(extra))]
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(k) for c, k in zip(extra, carried, strict=True)))
     base = row_order(base)
-    classes, links = link(base, similarity)
-    own = components(links)
+    classes, links, own = link(base, similarity)
     degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links"))
     copies = classes.groupBy(F.col("member_of").alias("head")).agg(F.count("*").alias("copies"))
     found = classes.join(copies, F.col("member_of") == F.col("head")).join(degree, F.col("member_of") == F.col("a"), "left").join(own, F.col("member_of") == F.col("node"), "left")

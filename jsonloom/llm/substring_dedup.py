@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, row_order, slices, stored
+from .common import checkpoint, discard, row_order, slices, stored
 from .windows import TOP, Words, sliding, window_hashes
 
 SHIFT = 28
@@ -100,7 +100,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     base = row_order(base)
     # what a level has found is written before the next one starts, so that its shuffles can go
     short, path = stored(short_windows(base, window))
-    again = short.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    # a table of its own, so that the join below has plain shuffles on both sides and a hot hash is split
+    again = checkpoint(short.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
     repeated, _ = stored(by_document(short.join(again, "hash", "left_semi"), "repeated"))
     del again
     discard(spark, path)

@@ -171,7 +171,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *extra)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             langs, score = shared.value.predict(batch.column(1).to_pylist())
             kept = [batch.column(0), *([batch.column(1)] if "text" in (keep or []) else []), *batch.columns[2:]]
             yield pa.record_batch([*kept, pa.array(langs, pa.string()), pa.array(score)], names)

@@ -11,7 +11,10 @@ down, whatever holds most of the text that is not in links. Blocks in its slots
 are extracted; text nodes that belong to the template itself are not.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts
-and hidden elements are left out by tag, role or class name, wherever they are.
+and hidden elements are left out by tag, role, class or id, wherever they are.
+Classes and ids count as a whole, those of headings not at all; and an element
+is never left out for them if it holds more than half of a page's text outside
+links or, unless it is inside a main element itself, an article or main element.
 On pages whose host has no template, and on those that lack its main region,
 articles, main elements or else the whole body count.
 
@@ -40,7 +43,6 @@ MIN_PAGES, MIN_SHARE = 5, 0.9
 MAX_BROADCAST = 16 << 20
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg math iframe object canvas video audio textarea select title xmp".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -55,28 +57,29 @@ SIDE_WORDS = frozenset(
     "related recommended recommendations widget toolbar copyright disclaimer legal skip search tags toc".split()
 )
 MAIN_TAGS = frozenset(["article", "main"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape((m[2] or "").strip("\"'")) for m in ATTRIBUTE.finditer(text)}
 
 
-_kinds: dict[tuple[str, str], tuple[str, bool, bool]] = {}
+_kinds: dict[tuple[str, str], tuple[str, bool, bool, bool]] = {}
 
 
-def kind_of(tag: str, rest: str) -> tuple[str, bool, bool]:
-    """Name in paths, whether it is left out, whether it is a main element."""
+def kind_of(tag: str, rest: str) -> tuple[str, bool, bool, bool]:
+    """Name in paths, whether it is left out by tag or role, whether by class or id alone, whether it is a main element."""
     key = (tag, rest)
     if (known := _kinds.get(key)) is None:
         a = attributes(rest) if rest else {}
-        names = a.get("class", "") + " " + a.get("id", "")
-        words = {w.lower() for w in PART.findall(names)}
+        words = set() if tag in HEADINGS else set(f"{a.get('class', '')} {a.get('id', '')}".lower().split())
         role = a.get("role", "").lower()
         hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
         main = tag in MAIN_TAGS or role in ("main", "article") or a.get("itemprop", "") == "articleBody"
-        side = tag in SIDE_TAGS or role in SIDE_ROLES or hidden or (bool(words & SIDE_WORDS) and tag not in ("html", "body", "article", "main"))
+        side = tag in SIDE_TAGS or role in SIDE_ROLES or hidden
+        named = bool(words & SIDE_WORDS) and not side and not main and tag not in ("html", "body")
         classes = ".".join(sorted(c for c in a.get("class", "").split() if not any(x.isdigit() for x in c)))
-        known = (f"{tag}.{classes}" if classes else tag, side, main)
+        known = (f"{tag}.{classes}" if classes else tag, side, named, main)
         if len(_kinds) > 20_000:
             _kinds.clear()
         _kinds[key] = known
@@ -91,11 +94,23 @@ class Page:
     """
 
     def __init__(self, text: str) -> None:
+        #: Numbers of start tags that are not left out for their class or id.
+        self.spared: frozenset[int] = frozenset()
+        self.begin(text)
+        if spared := frozenset(i for i, size, holds in self.named if holds or 2 * size > self.stack[0][8] > 0):
+            self.spared = spared
+            self.begin(text)
+
+    def begin(self, text: str) -> None:
         self.elements: dict[str, list] = {}
         self.blocks: list[tuple[str, tuple[str, ...], bool]] = []
         self.buffer: list[str] = []
-        # of each open element: tag, path, left out, main, in a link, characters, in links
-        self.stack: list[list] = [["", "", False, False, False, 0, 0]]
+        self.opened = 0
+        # elements with such a class or id: number, characters outside links, whether they hold the main element
+        self.named: list[tuple[int, int, bool]] = []
+        # of each open element: tag, path, left out, main, in a link, characters, in links;
+        # left out by tag or role, characters outside links and such elements, whether a main element is inside, number if its class or id may leave it out, main with elements so left out
+        self.stack: list[list] = [["", "", False, False, False, 0, 0, False, 0, False, 0, False]]
         self.parse(text)
 
     def parse(self, text: str) -> None:
@@ -128,6 +143,8 @@ class Page:
 
     def text(self, text: str) -> None:
         top = self.stack[-1]
+        if not (top[7] or top[4]):
+            top[8] += len(text.strip())
         if not top[2]:
             self.buffer.append(text)
             size = len(text)
@@ -152,12 +169,15 @@ class Page:
                 elif self.stack[x][0] in rule[1]:
                     break
         top = self.stack[-1]
-        name, side, main = kind_of(tag, rest)
+        name, hard, named, main = kind_of(tag, rest)
         if tag == "header":
-            side = side or not top[3]
+            hard = hard or not top[11]
+        self.opened += 1
+        hard = hard or top[7]
+        side = hard or (named and self.opened not in self.spared)
         # inline elements do not make a path
         path = f"{top[1]}/{name}" if tag in BLOCK else top[1]
-        self.stack.append([tag, path, side or top[2], (main and not side) or top[3], tag == "a" or top[4], 0, 0])
+        self.stack.append([tag, path, side or top[2], (main and not side) or top[3], tag == "a" or top[4], 0, 0, hard, 0, main and not hard, self.opened if named and not hard else 0, (main and not hard) or top[11]])
         if tag in BLOCK:
             known = self.elements.setdefault(path, [0, 0, 0, main and not (side or top[2])])
             known[0] += 1
@@ -172,10 +192,14 @@ class Page:
                 return
 
     def pop(self) -> None:
-        tag, path, _, _, _, size, linked = self.stack.pop()
+        tag, path, _, _, _, size, linked, _, plain, holds, number, _ = self.stack.pop()
         top = self.stack[-1]
         top[5] += size
         top[6] += linked
+        top[8] += plain
+        top[9] = top[9] or holds
+        if number:
+            self.named.append((number, plain, holds and not top[11]))
         if tag in BLOCK:
             known = self.elements[path]
             known[1] += size

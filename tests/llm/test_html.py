@@ -52,3 +52,20 @@ def test_query_keeps_articles_whole(spark):
         body = h[h.index("<article>") : h.index("</article>") if "</article>" in h else len(h)].replace("<br>", " ")
         blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1|article)>", body)]
         assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+def test_class_words_do_not_lose_articles():
+    line = "Some words of the article that nobody should lose."
+    assert extract(f"<div class='layout sidebar'><article><p>{line}</p></article></div>", None) == line
+    assert extract(f"<div class='layout with-sidebar'><article><p>{line}</p></article></div>", None) == line
+    assert extract(f"<div class='content has-sidebar'><p>{line}</p></div>", None) == line
+    assert extract(f"<body><div class='widget'><p>{line}</p></div><p>low</p></body>", None) == f"{line}\n\nlow"
+    assert extract(f"<article><div class='post-header'><h1>T</h1></div><h2 id='search'>S</h2><h2 id='search-results'>R</h2><section id='related-work'>{line}</section></article>", None) == f"T\n\nS\n\nR\n\n{line}"
+    # what is only beside the article stays out
+    assert extract(f"<div class='sidebar'>links</div><article><p>{line}</p><div class='comments'><article>no</article></div></article>", None) == line
+
+
+def test_template_of_an_article_in_a_named_element(spark):
+    page = "<html><body><div class='top'>Home</div><div class='layout sidebar'><article><p>page {i} has text of its own</p></article></div><div class='ad'>Buy {i}</div></body></html>"
+    rows = [(i, f"https://a.example/{i}", page.format(i=i), "t", "h", 1) for i in range(8)]
+    assert {r.page_id: r.text for r in main_text(pages(spark, rows)).collect()} == {i: f"page {i} has text of its own" for i in range(8)}

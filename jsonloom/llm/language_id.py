@@ -12,8 +12,9 @@ them. Null texts and texts without letters are ``und`` with score 0. The score
 is the second smallest number of phrases over the sum of the two smallest; 1 if
 there is one language only. Without labelled rows all texts are ``und``.
 
-Automata are fitted on labelled rows in the order of a hash of their id, at most
-MAX_ROWS for a language, as long as they fit into BUDGET characters whole.
+Automata are fitted on labelled rows with letters in the order of a hash of
+their id, at most MAX_ROWS for a language, as long as they fit into BUDGET
+characters whole. A language that has only longer texts learns the shortest one.
 """
 
 from __future__ import annotations
@@ -85,11 +86,13 @@ class Parser:
         parts, self.roots, base = [], [], 0
         for lang in self.langs:
             symbols, left = [], budget
-            for text in taught[lang]:
-                x = self.symbols([text])[0].tolist()
+            texts = [self.symbols([text])[0].tolist() for text in taught[lang]]
+            for x in texts:
                 if len(x) < left:
                     symbols += [*x, SPACE]
                     left -= len(x) + 1
+            if texts and not symbols:
+                symbols = [*min(texts, key=len), SPACE]
             follow = suffix_automaton([x for x in symbols if x != OTHER])
             to = np.full((len(follow), self.width), -1, np.int64)
             for s, edges in enumerate(follow):
@@ -150,12 +153,15 @@ class Parser:
 
 def fit(docs: DataFrame, max_rows: int = MAX_ROWS, budget: int = BUDGET) -> Parser:
     """Learn from documents whose crc32(doc_id) modulo 4 is not 2; columns doc_id, text, lang."""
-    ids = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL").where(crc_mod("doc_id", 4) != 2)
-    # the first of each language by hash; only ids and languages are read and ranked
-    order = F.xxhash64(F.col("doc_id").cast("string"))
-    first = ids.select("doc_id", "lang", order.alias("place")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))).where(F.col("rank") <= max_rows)
-    texts = docs.select("doc_id", "text", F.col("lang").alias("own")).where(F.length("text") <= budget)
-    rows = texts.join(F.broadcast(first), "doc_id").where("own = lang").select("lang", "place", "doc_id", "text").collect()
+    usable = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL").where(crc_mod("doc_id", 4) != 2).where(F.col("text").rlike(r"\p{L}"))
+    # the first of each language by hash, longer texts after all others and by length; only ids, languages and lengths are ranked
+    size, over = F.length("text"), F.greatest(F.length("text") - budget, F.lit(0))
+    ids = usable.select("doc_id", "lang", size.alias("size"), over.alias("over"), F.xxhash64(F.col("doc_id").cast("string")).alias("place"))
+    order = Window.partitionBy("lang").orderBy("over", "place", "doc_id", "size")
+    first = ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_rows).where((F.col("over") == 0) | (F.col("rank") == 1))
+    first = first.select("doc_id", "lang", "size", "place").distinct()
+    texts = usable.select("doc_id", "text", F.col("lang").alias("own"), size.alias("length"))
+    rows = texts.join(F.broadcast(first), "doc_id").where("own = lang AND length = size").select("lang", "place", "doc_id", "text").collect()
     taught: dict[str, list[str]] = {}
     for row in sorted(rows, key=lambda r: (r.lang, r.place, str(r.doc_id), r.text)):
         taught.setdefault(row.lang, []).append(row.text)

@@ -69,6 +69,16 @@ def test_language_odd_rows(spark, odd, none):
     assert L.identify(unlabelled).collect() == []
 
 
+def test_languages_with_long_or_late_texts_are_learned(spark):
+    words = {"aa": "balo miku rena tosi", "bb": "zgry wplk drne hsto", "cc": "ouvi eaul iqua oeno"}
+    rows = [(i, "aa", f"{words['aa']} " * 5) for i in range(40)] + [(100 + i, "bb", f"{words['bb']} " * (2500 + i)) for i in range(4)]
+    rows += [(200 + i, "cc", [None, "", "12 34"][i % 3]) for i in range(400)] + [(600 + i, "cc", f"{words['cc']} " * 5) for i in range(8)]
+    rows += [(1000, None, words["aa"]), (1001, None, words["bb"]), (1002, None, words["cc"])]
+    got = {r.doc_id: r.lang_pred for r in L.identify(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()}
+    assert [got[i] for i in (1000, 1001, 1002)] == ["aa", "bb", "cc"]
+    assert {got[100 + i] for i in range(4)} == {"bb"} and len(got) == len(rows)
+
+
 def test_toxic_words_are_found(spark):
     rng = np.random.default_rng(1)
     words = ["".join(rng.choice(list("aeiourst"), 5)) for _ in range(300)]

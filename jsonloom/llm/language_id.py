@@ -7,6 +7,9 @@ name. Texts are parsed in segments of SEGMENT characters, side by side in numpy
 arrays, so that a very long text costs no more for a character than a short
 one; a phrase ends at the end of a segment.
 
+Every letter of the labelled text has a symbol of its own. Transitions by the
+commonest ones are in a dense table, those by the rest in a hash table.
+
 Texts count as lower-case letters, with one space for whatever is between
 them. Null texts and texts without letters are ``und`` with score 0. The score
 is the second smallest number of phrases over the sum of the two smallest; 1 if
@@ -19,6 +22,7 @@ characters whole. A language that has only longer texts learns the shortest one.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices
+from .common import HashIndex, crc_mod, slices
 
-#: Rows and characters that a language is learned from, at most, and letters told apart.
-MAX_ROWS, BUDGET, ALPHABET = 200, 40_000, 120
+#: Rows and characters that a language is learned from, at most.
+MAX_ROWS, BUDGET = 200, 40_000
+#: Letters and entries of the dense table, at most; other transitions are hashed.
+DENSE, ENTRIES = 120, 1 << 25
 SEGMENT = 256
 SPACE, OTHER, PAD = 0, 1, 2
 
@@ -64,26 +70,22 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class Parser:
-    """All languages' automata in one table of transitions."""
+    """All languages' automata: a table of transitions by common letters, and a hash table of those by rare ones."""
 
-    def __init__(self, taught: dict[str, list[str]], budget: int = BUDGET) -> None:
+    def __init__(self, taught: dict[str, list[str]], budget: int = BUDGET, dense: int = DENSE) -> None:
         self.langs = sorted(taught)
         letters: dict[str, int] = {}
-        for texts in taught.values():
-            for text in texts:
-                for c in text.lower():
-                    if c.isalpha():
-                        letters[c] = letters.get(c, 0) + 1
-        kept = sorted(letters, key=lambda c: (-letters[c], c))[:ALPHABET]
-        ids = {c: i + 3 for i, c in enumerate(kept)}
-        self.width = len(kept) + 3
+        for c, n in Counter(c for texts in taught.values() for text in texts for c in text).items():
+            if c.isalpha():
+                letters[c.lower()[0]] = letters.get(c.lower()[0], 0) + n
+        ids = {c: i + 3 for i, c in enumerate(sorted(letters, key=lambda c: (-letters[c], c)))}
         # letters only; each goes to its lower case, the first letter of it if there are several
-        self.symbol = np.zeros(0x110000, np.uint8)
+        self.symbol = np.zeros(0x110000, np.int32)
         for code in range(0x110000):
             c = chr(code)
             if c.isalpha():
                 self.symbol[code] = ids.get(c.lower()[0], OTHER)
-        parts, self.roots, base = [], [], 0
+        automata = []
         for lang in self.langs:
             symbols, left = [], budget
             texts = [self.symbols([text])[0].tolist() for text in taught[lang]]
@@ -93,11 +95,19 @@ class Parser:
                     left -= len(x) + 1
             if texts and not symbols:
                 symbols = [*min(texts, key=len), SPACE]
-            follow = suffix_automaton([x for x in symbols if x != OTHER])
+            automata.append(suffix_automaton(symbols))
+        states = sum(map(len, automata))
+        self.width = 3 + max(0, min(len(ids), dense, ENTRIES // max(states, 1) - 3))
+        parts, self.roots, base, keys, ends = [], [], 0, [], []
+        for follow in automata:
             to = np.full((len(follow), self.width), -1, np.int64)
             for s, edges in enumerate(follow):
                 for x, t in edges.items():
-                    to[s, x] = t
+                    if x < self.width:
+                        to[s, x] = t
+                    else:
+                        keys.append((s * self.width + base) << 20 | x)
+                        ends.append(t * self.width + base)
             # a transition gives the next state's row in the table; where a phrase ends, its complement
             start = np.where(to[0] >= 0, to[0], 0)
             part = np.where(to >= 0, to * self.width + base, ~(start * self.width + base))
@@ -106,6 +116,16 @@ class Parser:
             self.roots.append(base)
             base += part.size
         self.table = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        self.rare, self.rare_to = HashIndex(np.array(keys, np.int64)) if keys else None, np.array(ends, np.int32)
+
+    def by_rare(self, rows: np.ndarray, letters: np.ndarray, roots: np.ndarray) -> np.ndarray:
+        """What the table would give for rare letters."""
+        at = self.rare.find(rows.astype(np.int64) << 20 | letters)
+        out = self.rare_to[at]
+        if len(end := np.flatnonzero(at < 0)):
+            again = self.rare.find(roots[end].astype(np.int64) << 20 | letters[end])
+            out[end] = ~np.where(again >= 0, self.rare_to[again], roots[end])
+        return out
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The symbols of all texts, runs of spaces made one, and the number of symbols of each."""
@@ -124,15 +144,24 @@ class Parser:
         letters = np.bincount(of, x != SPACE, len(texts)) > 0
         pieces = -(-lens // SEGMENT)
         owner = np.repeat(np.arange(len(texts)), pieces)
-        grid = np.full((len(owner), SEGMENT), PAD, np.uint8)
+        grid = np.full((len(owner), SEGMENT), PAD, np.int32)
         inside = np.arange(len(x)) - np.repeat(np.cumsum(lens) - lens, lens)
         grid[np.repeat(np.cumsum(pieces) - pieces, lens) + inside // SEGMENT, inside % SEGMENT] = x
-        steps = np.ascontiguousarray(grid.T).astype(np.int32)
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(owner), 1)
+        steps = np.ascontiguousarray(grid.T)
+        roots = np.array(self.roots, np.int32)
+        state = np.repeat(roots[:, None], len(owner), 1)
         count = np.ones(state.shape, np.int32)
-        for step in steps:
-            state += step
-            to = self.table[state]
+        some_rare = (steps >= self.width).any(1) if self.rare is not None else np.zeros(SEGMENT, bool)
+        for step, mixed in zip(steps, some_rare, strict=True):
+            if mixed:
+                rare = np.flatnonzero(step >= self.width)
+                tops, rows, letter = np.repeat(roots, len(rare)), state[:, rare].ravel(), np.tile(step[rare], len(roots))
+                step = np.where(step >= self.width, OTHER, step)
+                to = self.table[state + step]
+                to[:, rare] = self.by_rare(rows, letter, tops).reshape(len(roots), -1)
+            else:
+                state += step
+                to = self.table[state]
             ended = to >> 31
             count -= ended
             state = to ^ ended

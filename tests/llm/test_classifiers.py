@@ -69,6 +69,20 @@ def test_language_odd_rows(spark, odd, none):
     assert L.identify(unlabelled).collect() == []
 
 
+def test_rare_letters_are_told_apart():
+    rng = np.random.default_rng(5)
+    common, letters = [chr(0x4E00 + i) for i in range(400)], [chr(0x10A0 + i) for i in range(30)]
+    taught = {"many": ["".join(rng.choice(common, 200)) + " " for _ in range(60)], "none": ["ΟΔΟΣ ab"], "rare": ["".join(rng.choice(letters[:15], 40))], "seldom": ["".join(rng.choice(letters[15:], 40))]}
+    parser = L.Parser(taught)
+    assert not (parser.symbol[[ord(c) for t in taught.values() for x in t for c in x]] == L.OTHER).any()
+    assert parser.predict([taught["rare"][0][5:25], taught["seldom"][0][5:25], taught["many"][3][:50], "δοσ"])[0] == ["rare", "seldom", "many", "none"]
+    texts = ["".join(rng.choice(common + letters + list("ab zé"), 700)), taught["rare"][0], taught["many"][0] + taught["many"][7], "日本"]
+    wide, narrow = L.Parser(taught, dense=10_000), L.Parser(taught, dense=0)
+    assert wide.rare is None and parser.rare is not None and narrow.width == 3
+    for other in (parser, narrow):
+        assert all(np.array_equal(a, b) for a, b in zip(wide.phrases(texts), other.phrases(texts), strict=True))
+
+
 def test_languages_with_long_or_late_texts_are_learned(spark):
     words = {"aa": "balo miku rena tosi", "bb": "zgry wplk drne hsto", "cc": "ouvi eaul iqua oeno"}
     rows = [(i, "aa", f"{words['aa']} " * 5) for i in range(40)] + [(100 + i, "bb", f"{words['bb']} " * (2500 + i)) for i in range(4)]

@@ -5,15 +5,19 @@ between digits belongs to the number, and a number ends where letters begin.
 Upper case of ASCII and Latin-1 goes to lower case. Numbers (in digits or as
 words) become <num>, a unit after one <unit>, a capitalised word inside a
 sentence <name>. Windows of WINDOW consecutive tokens are hashed with and
-without <name>, and documents are hash-joined with benchmark items on them.
+without <name>, and with <name> for capitalised words that begin a sentence, too;
+documents are hash-joined with benchmark items on them. Windows with more than
+half of their tokens in slots of numbers and units are hashed with their words
+as they are.
 Matches of a document and an item at the same offset are aligned: what stands
 in a slot of the item must always become the same in the document, so that a
 question with other numbers and names is caught; if it does not, only windows
-without slots count there. A document contains an item if matching windows
+without slots count there. The form with <name> at the start of sentences counts
+where it is consistent as well and covers more. A document contains an item if matching windows
 cover half of it, or LONG of its tokens.
 
-Items of 4 to WINDOW - 1 tokens are one window; shorter ones are ignored, since
-ordinary text holds them. Windows need at least half of their tokens outside slots.
+Items of 4 to WINDOW - 1 tokens are one window. Those of 2 or 3 are one window of
+their words as they are; an item of one word is found in a text of that word alone.
 Null and empty texts have no windows. Equal rows give equal results; null ids
 stay null.
 """
@@ -69,7 +73,7 @@ class Tokens:
         wide = (before == 0xC3) & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
         lower = np.where(_upper[data] | wide, data + 32, data).astype(np.uint64)
         if not n:
-            self.hash, self.number, self.unit, self.name = np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, bool)
+            self.hash, self.number, self.unit, self.name, self.capital = np.zeros(0, np.uint64), *(np.zeros(0, bool) for _ in range(4))
             return
         lens = self.end - self.start
         at = np.arange(len(data)) - np.repeat(np.append(0, self.start), np.diff(np.append(np.append(0, self.start), len(data))))
@@ -85,7 +89,8 @@ class Tokens:
             stops = np.cumsum(_stop[data])
             inner = np.append(False, (stops[self.start[1:]] == stops[self.end[:-1] - 1]) & (self.of[1:] == self.of[:-1]))
             capital = _upper[data[self.start]] | ((data[self.start] == 0xC3) & wide[np.minimum(self.start + 1, len(data) - 1)])
-            self.name = capital & inner & ~self.number & ~self.unit
+            self.capital = capital & ~self.number & ~self.unit
+            self.name = self.capital & inner
 
     def value(self, i: int) -> str:
         return bytes(self.data[self.start[i] : self.end[i]]).decode("utf-8", "replace").lower()
@@ -95,43 +100,54 @@ _special: tuple[np.ndarray, np.ndarray] | None = None
 _special = Tokens(NUMBERS).hash, Tokens(UNITS).hash
 
 
-def windows(tokens: Tokens, lengths: list[int], vocabulary: HashIndex | None) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray]]:
-    """For each length and form: starts, hashes, the length, and whether each token is in a slot."""
-    ends = np.repeat(tokens.first[1:], np.diff(tokens.first))
+def windows(tokens: Tokens, lengths: list[int], vocabulary: HashIndex | None) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray, bool]]:
+    """For each length and form: starts, hashes, the length, whether each token is in a slot, whether words that begin a sentence may be."""
+    total = np.diff(tokens.first)
+    ends = np.repeat(tokens.first[1:], total)
     known = np.ones(len(tokens.hash), bool) if vocabulary is None else vocabulary.find((tokens.hash >> np.uint64(1)).astype(np.int64)) >= 0
     plain = np.where(tokens.number, NUM, np.where(tokens.unit, UNIT, 0))
-    for named in (False, True):
-        slot = np.where(tokens.name, NAME, plain) if named else plain
+    within = lambda sums, at, n: sums[at + n - 1] - np.where(at > 0, sums[np.maximum(at - 1, 0)], 0)
+    heavy = np.cumsum(plain > 0)
+    for form in ("raw", "plain", "named", "initial"):
+        slot = {"raw": np.zeros_like(plain), "plain": plain, "named": np.where(tokens.name, NAME, plain), "initial": np.where(tokens.capital, NAME, plain)}[form]
         code = np.where(slot > 0, slot.astype(np.uint64), tokens.hash)
-        sums = {"bad": np.cumsum(~known & (slot == 0)), "slot": np.cumsum(slot > 0), "name": np.cumsum(slot == NAME)}
+        bad, held = np.cumsum(~known & (slot == 0)), np.cumsum(slot > 0)
+        # what makes it another window than those before
+        new = {"named": np.cumsum(tokens.name), "initial": np.cumsum(tokens.capital & ~tokens.name)}.get(form)
         for n in lengths:
             at = np.flatnonzero(np.arange(len(code)) + n <= ends)
-            inside = {k: v[at + n - 1] - np.where(at > 0, v[np.maximum(at - 1, 0)], 0) for k, v in sums.items()}
-            good = (inside["bad"] == 0) & (2 * inside["slot"] <= n)
-            if named:  # else it is the same window as before
-                good &= inside["name"] > 0
+            good = within(bad, at, n) == 0
+            if form == "raw":
+                if n >= SHORTEST:
+                    good &= 2 * within(heavy, at, n) > n
+                elif n == 1:
+                    good &= total[tokens.of[at]] == 1
+            else:
+                good &= (2 * within(held, at, n) <= n) & (n >= SHORTEST)
+            if new is not None:
+                good &= within(new, at, n) > 0
             at = at[good]
             if len(at):
-                yield at, window_hashes(code, n)[at] + np.uint64(n), n, slot
+                yield at, window_hashes(code, n)[at] + np.uint64(n), n, slot, form == "initial"
 
 
 def window_rows(texts: DataFrame, lengths: list[int], vocabulary: HashIndex | None) -> DataFrame:
-    """id, at (number of the token), length, hash, slots (texts of the tokens in slots, as 'place:value'), of texts with columns id, text."""
+    """id, at (number of the token), length, hash, slots (texts of the tokens in slots, as 'place:value'), n_tokens, initial (whether they may begin a sentence), of texts with columns id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             tokens = Tokens(batch.column(1).to_pylist())
-            for at, hashes, n, slot in windows(tokens, lengths, vocabulary):
+            for at, hashes, n, slot, initial in windows(tokens, lengths, vocabulary):
                 held = slot > 0
                 sums = np.cumsum(held)
                 some = sums[at + n - 1] - np.where(at > 0, sums[np.maximum(at - 1, 0)], 0) > 0
                 values = [[f"{j}:{tokens.value(i + j)}" for j in range(n) if held[i + j]] if s else [] for i, s in zip(at.tolist(), some.tolist(), strict=True)]
                 local = at - tokens.first[tokens.of[at]]
                 total = np.diff(tokens.first)[tokens.of[at]]
-                yield pa.record_batch([batch.column(0).take(pa.array(tokens.of[at])), pa.array(local), pa.array(np.full(len(at), n, np.int64)), pa.array(hashes.view(np.int64)), pa.array(values, pa.list_(pa.string())), pa.array(total)], ["id", "at", "length", "hash", "slots", "n_tokens"])
+                yield pa.record_batch([batch.column(0).take(pa.array(tokens.of[at])), pa.array(local), pa.array(np.full(len(at), n, np.int64)), pa.array(hashes.view(np.int64)), pa.array(values, pa.list_(pa.string())), pa.array(total), pa.array(np.full(len(at), initial))], ["id", "at", "length", "hash", "slots", "n_tokens", "initial"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.where("text IS NOT NULL").mapInArrow(run, f"id {kind}, at long, length long, hash long, slots array<string>, n_tokens long")
+    return texts.where("text IS NOT NULL").mapInArrow(run, f"id {kind}, at long, length long, hash long, slots array<string>, n_tokens long, initial boolean")
 
 
 def word_hashes(texts: DataFrame) -> DataFrame:
@@ -165,7 +181,7 @@ def located(texts: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_c
     items = benchmark.select(F.col(item_col).alias("id"), F.col("text").cast("string").alias("text"))
     words = word_hashes(items)
     size = words.agg(F.count_distinct("word").alias("n")).first()["n"]
-    short = sorted(r[0] for r in words.where((F.col("n_tokens") >= SHORTEST) & (F.col("n_tokens") < window)).select("n_tokens").distinct().collect())
+    short = sorted(r[0] for r in words.where(F.col("n_tokens") < window).select("n_tokens").distinct().collect())
     vocabulary = None
     if 0 < size <= MAX_VOCABULARY:
         known = HashIndex(words.select("word").distinct().toPandas()["word"].to_numpy())
@@ -173,7 +189,7 @@ def located(texts: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_c
         vocabulary = _Shared(shared)
     lengths = [*short, window]
     asked = window_rows(items, lengths, None).where((F.col("length") == window) | (F.col("length") == F.col("n_tokens")))
-    asked = asked.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), F.col("n_tokens").alias("n_item")).distinct()
+    asked = asked.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), F.col("n_tokens").alias("n_item"), F.col("initial").alias("item_initial")).distinct()
     if asked.count() <= MAX_BROADCAST:
         asked = F.broadcast(asked)
     rows = window_rows(texts, lengths, vocabulary).drop("n_tokens")
@@ -181,11 +197,16 @@ def located(texts: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_c
     place = F.struct(F.col("item_at").alias("at"), "length")
     pairs = F.expr("transform(item_slots, (v, i) -> named_struct('item', substring_index(v, ':', -1), 'doc', substring_index(slots[i], ':', -1)))")
     # at one offset: what an item's value becomes must be one value
+    initial = F.col("initial") | F.col("item_initial")
     aligned = joined.groupBy("id", "item_id", "n_item", (F.col("at") - F.col("item_at")).alias("offset")).agg(
-        F.collect_set(place).alias("all"), F.collect_set(F.when(F.size("slots") == 0, place)).alias("plain"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
-    )
-    good = F.size("pairs") == F.size(F.array_distinct(F.col("pairs.item")))
-    aligned = aligned.select("id", "item_id", "n_item", F.when(good, F.col("all")).otherwise(F.col("plain")).alias("places"), F.when(good, F.col("pairs")).otherwise(F.array().cast("array<struct<item:string,doc:string>>")).alias("pairs"))
+        F.collect_set(place).alias("all"), F.collect_set(F.when(~initial, place)).alias("inner"), F.collect_set(F.when(F.size("slots") == 0, place)).alias("plain"),
+        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("all_pairs"), F.array_distinct(F.flatten(F.collect_set(F.when(~initial, pairs)))).alias("pairs"),
+    )
+    one = lambda p: F.size(p) == F.size(F.array_distinct(F.col(f"{p}.item")))
+    none = F.array().cast("array<struct<item:string,doc:string>>")
+    aligned = aligned.select("id", "item_id", "n_item", "all", "all_pairs", one("all_pairs").alias("consistent"), F.when(one("pairs"), F.col("inner")).otherwise(F.col("plain")).alias("places"), F.when(one("pairs"), F.col("pairs")).otherwise(none).alias("pairs"))
+    wider = F.col("consistent") & F.expr(f"{covered('array_sort(all)')} > {covered('array_sort(places)')}")
+    aligned = aligned.select("id", "item_id", "n_item", F.when(wider, F.col("all")).otherwise(F.col("places")).alias("places"), F.when(wider, F.col("all_pairs")).otherwise(F.col("pairs")).alias("pairs"))
     whole = aligned.groupBy("id", "item_id", "n_item").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     whole = whole.withColumn("n_covered", F.expr(covered("places")))
     whole = whole.where((F.col("n_covered") >= LONG) | ((F.col("n_covered") > 0) & (F.col("n_covered") >= SHARE * F.col("n_item"))))

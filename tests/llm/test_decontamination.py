@@ -63,3 +63,20 @@ def test_query_against_brute_force(spark):
     for d, i in got - whole:
         words = texts[d].split()
         assert any(tuple(words[j : j + 8]) in grams[i] for j in range(len(words) - 7))
+
+
+def test_slot_heavy_and_very_short_items_by_their_words(spark):
+    b = bench(spark, "Compute 12 + 35 - 7 + 9 + 4", "What now, Ada?", "12 35", "Mississippi", "1 2 3 4 5 6 7 8 9 10")
+    d = docs(spark, "Please compute 12 + 35 - 7 + 9 + 4 today", "Compute 13 + 35 - 7 + 9 + 4", "so what now, ada? she said", "Mississippi", "the Mississippi", "count 1 2 3 4 5 6 7 8 9 10 up", "what then, ada?")
+    assert set(found(d, b)) == {(0, 0), (0, 2), (2, 1), (3, 3), (5, 4)}
+
+
+def test_names_that_begin_sentences(spark):
+    item = "Ana has 3 cats. Ben has 4 dogs. Who has more pets?"
+    d = docs(spark, item, item.replace("Ben", "Dan"), item.replace("Ana", "Eva").replace("Ben", "Dan").replace("3", "6"), "Ana has 3 cats. Ben sold 4 pigs. Who has less food?")
+    got = found(d, bench(spark, item))
+    assert set(got) == {(0, 0), (1, 0), (2, 0)}
+    assert not got[(0, 0)].changed and got[(1, 0)].changed and got[(2, 0)].changed
+    # words that begin sentences and change in several ways spoil nothing
+    long = "The farmer brought 12 apples to market on a cold morning in early spring. The baker sold 5 loaves."
+    assert (0, 0) in found(docs(spark, long.replace("The farmer", "A farmer").replace("12", "15")), bench(spark, long))

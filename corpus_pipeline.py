@@ -28,7 +28,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates (five words, similarity 0.8), the one with the smallest doc_id stays."""
     sweep(spark)
-    return near_dedup.near_duplicates(docs, similarity=0.8, keep=COLUMNS).where("kept").select(COLUMNS)
+    return near_dedup.near_duplicates(docs, similarity=0.8, keep=COLUMNS, count_links=False).where("kept").select(COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,8 @@ BANDS bands of ROWS registers put these into buckets. All pairs of a small bucke
 are candidates. In a large one, texts are compared with a centre; what is then
 outside its largest component is compared with all of it, in blocks. Candidates are linked if the Jaccard similarity of their sets of shingles,
 computed exactly, is at least ``similarity``; linked classes form components.
+``n_links`` counts the links of all pairs that share a bucket: those in a large
+bucket are counted in blocks, each pair in the first bucket that it shares.
 
 Null and empty texts have no shingle: each stands alone. Rows with equal doc_id
 and text count as one document and get the same answer.
@@ -35,6 +37,8 @@ BANDS, ROWS, WORDS = 20, 4, 5
 REGISTERS = BANDS * ROWS
 #: Buckets of up to so many classes are compared in full; larger ones with a centre first, and then in blocks of so many.
 SMALL, BLOCK = 8, 500
+#: Classes in a block of those whose links are counted.
+COUNTED = 1000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -131,13 +135,13 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def link(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Classes (ordinal, member_of: the class's smallest ordinal), links between classes (a > b), components of these."""
+def link(docs: DataFrame, similarity: float, count_links: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """Classes (ordinal, member_of: the class's smallest ordinal), links that make the components (a > b), components of these, n_links by ordinal."""
     signed, signed_path = stored(sign(docs))
     lead = signed.groupBy("set_a", "set_b").agg(F.min("ordinal").alias("member_of"))
     classes = checkpoint(signed.join(lead, ["set_a", "set_b"]).select("ordinal", "member_of"))
     heads = classes.where("ordinal = member_of").select("ordinal")
-    keys = signed.join(heads, "ordinal", "left_semi").select("ordinal", F.explode("bands").alias("bucket"))
+    keys = signed.join(heads, "ordinal", "left_semi").select("ordinal", F.posexplode("bands").alias("band", "bucket"))
     sizes = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("ordinal").alias("centre")).where("n > 1")
     members = checkpoint(keys.join(sizes, "bucket"))
     discard(docs.sparkSession, signed_path)
@@ -150,6 +154,12 @@ def link(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, Data
     pairs = star.unionByName(within).where("a > b").distinct()
     links = checkpoint(verified(pairs, texts, similarity))
     large = checkpoint(members.where(F.col("n") > SMALL).select("bucket", "ordinal"))
+    counts = None
+    if count_links:
+        near = links.join(within.where("a > b").distinct(), ["a", "b"], "left_semi")
+        counts = near.select("a").unionByName(near.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links"))
+        counts = checkpoint(counts.unionByName(counted(members, texts, similarity)).groupBy("a").agg(F.sum("n_links").alias("n_links")))
+        del near
     del signed, lead, heads, keys, sizes, members, involved, star, small, other, within, pairs
     discard(docs.sparkSession)
     own = components(links)
@@ -161,7 +171,55 @@ def link(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, Data
             own = components(links)
         del open_, found
         discard(docs.sparkSession)
-    return classes, links, own
+    return classes, links, own, counts
+
+
+def counted(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """a and n_links: links in large buckets, without those of pairs that share a small bucket, each in the first large one by band.
+
+    The pairs of a bucket are compared by two blocks at a time, and only sums
+    come back, so rows are no more than members times blocks.
+    """
+    shared = members.groupBy("ordinal").agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct("bucket", (F.col("n") <= SMALL).alias("small"))))).alias("of"))
+    slots = F.sequence(F.lit(0), F.lit(BANDS - 1))
+    shared = shared.select("ordinal", F.transform(slots, lambda j: F.coalesce(F.col("of")[j]["bucket"], F.lit(0))).alias("keys"), F.transform(slots, lambda j: F.when(F.isnull(F.col("of")[j]), 0).when(F.col("of")[j]["small"], 2).otherwise(1)).alias("kinds"))
+    blocks = F.ceil(F.col("n") / F.lit(COUNTED)).cast("int")
+    placed = members.where(F.col("n") > SMALL).select("bucket", "band", "ordinal", F.pmod(F.xxhash64("ordinal"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    placed = placed.select("bucket", "band", "ordinal", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    rows = placed.join(shared, "ordinal").join(texts, "ordinal")
+
+    def count(group: pa.Table) -> pa.Table:
+        n, band = group.num_rows, group.column("band")[0].as_py()
+        ids, block = group.column("ordinal").to_numpy(), group.column("block").to_numpy()
+        keys, kinds = (np.array(group.column(c).to_pylist()).reshape(n, BANDS) for c in ("keys", "kinds"))
+        # pairs that agree here are counted elsewhere
+        before = (kinds == 2) | ((kinds == 1) & (np.arange(BANDS) < band))
+        of, sh, _ = shingles(group.column("text").to_pylist())
+        _, sh = np.unique(sh, return_inverse=True)
+        size = np.bincount(of, minlength=n)
+        first = np.cumsum(size) - size
+        apart = group.column("low")[0].as_py() != group.column("high")[0].as_py()
+        links, mine = np.zeros(n, np.int64), np.zeros(int(sh.max()) + 1, bool)
+        for i in range(n):
+            others = np.flatnonzero(block > block[i]) if apart else np.arange(i + 1, n)
+            for j in np.flatnonzero(before[i]):
+                others = others[keys[others, j] != keys[i, j]]
+            if not len(others):
+                continue
+            own = sh[first[i] : first[i] + size[i]]
+            mine[own] = True
+            lens = size[others]
+            ends = np.cumsum(lens)
+            hits = mine[sh[np.repeat(first[others] - (ends - lens), lens) + np.arange(ends[-1])]]
+            common = np.add.reduceat(hits, ends - lens, dtype=np.int64)
+            mine[own] = False
+            good = others[common >= similarity * (lens + size[i] - common) - 1e-9]
+            links[i] += len(good)
+            links[good] += 1
+        some = links > 0
+        return pa.table([pa.array(ids[some]), pa.array(links[some])], ["a", "n_links"])
+
+    return rows.groupBy("bucket", "low", "high").applyInArrow(count, "a long, n_links long")
 
 
 def unsettled(large: DataFrame, own: DataFrame) -> DataFrame:
@@ -209,14 +267,14 @@ def remaining(open_: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return outside.groupBy("of_bucket", "of_block").cogroup(inside.groupBy("bucket", "block")).applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns: doc_id, those in ``keep``, component (the smallest doc_id in it), kept (the first row of its component), n_links (of its class to others, among the links that make the components), copies (documents in its class)."""
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, count_links: bool = True) -> DataFrame:
+    """Columns: doc_id, those in ``keep``, component (the smallest doc_id in it), kept (the first row of its component), n_links (of its class to others; without ``count_links``, among those that make the components), copies (documents in its class)."""
     extra = [c for c in keep or [] if c != id_col]
     carried = [f"keep_{i}" for i in range(len(extra))]
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(k) for c, k in zip(extra, carried, strict=True)))
     base = row_order(base)
-    classes, links, own = link(base, similarity)
-    degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links"))
+    classes, links, own, degree = link(base, similarity, count_links)
+    degree = degree if degree is not None else links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links"))
     copies = classes.groupBy(F.col("member_of").alias("head")).agg(F.count("*").alias("copies"))
     found = classes.join(copies, F.col("member_of") == F.col("head")).join(degree, F.col("member_of") == F.col("a"), "left").join(own, F.col("member_of") == F.col("node"), "left")
     found = found.select(F.col("ordinal").alias("own"), F.coalesce("component", "member_of").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "copies").dropDuplicates(["own"])

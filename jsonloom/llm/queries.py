@@ -82,7 +82,7 @@ SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(sum(gone),
 FROM d LEFT JOIN c ON d.doc_id = c.doc_id GROUP BY d.doc_id, d.ws
 """
 
-# n_links counts all links here; the query finds them all unless a bucket holds more than 8 classes
+# n_links counts all links here; the query counts those of all pairs that share a bucket, which signatures may miss
 ORACLE_SQL["op4_prob_min_hash"] = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]

@@ -93,3 +93,22 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 103: 100, 50: 50, 60: 50}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_links_are_all_counted(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = {}
+    for n in (70, 14, 4):
+        words = [rng.choice("abcdefgh") + str(rng.randrange(50)) for _ in range(120)]
+        for _ in range(n):
+            docs[len(docs)] = edited(rng, words, 0.012)
+    sets = {d: shingle_set(t) for d, t in docs.items()}
+    assert len(set(sets.values())) > 60
+    links = {a: len({sets[b] for b in docs if sets[b] != sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9}) for a in docs}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    for block in (1000, 25):
+        monkeypatch.setattr(N, "COUNTED", block)
+        rows = N.near_duplicates(df).collect()
+        # signatures miss hardly any pair
+        assert sum(abs(r.n_links - links[r.doc_id]) for r in rows) <= 0.002 * sum(links.values())
+        assert all(r.n_links <= links[r.doc_id] for r in rows)

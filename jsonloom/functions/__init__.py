@@ -9,15 +9,17 @@ document gives NULL.
 from __future__ import annotations
 
 import random
+import sys
 from collections.abc import Callable
 from decimal import Decimal
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import and_
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, IntegerType, StringType, VariantType, VariantVal
+from pyspark.sql.types import BinaryType, BooleanType, DataType, IntegerType, StringType, VariantType, VariantVal
 
 from .. import values
 from ..plans import compile as plan
@@ -25,6 +27,7 @@ from ..plans import evaluate
 from ..plans.paths import parse_key_path, parse_path
 from ..values import JsonError, Value
 from . import documents
+from .variant import to_variant
 
 U64 = (1 << 64) - 1
 
@@ -63,27 +66,22 @@ def _kept(x: Any) -> Value:
     return str(x)
 
 
-def _wide(x: Value) -> str:
-    """Text that parses to the same document, infinite numbers as ones too large."""
-    return values.render(x).replace("inf", "1e999") if isinstance(x, float) else _wide_container(x)
+class _Missing:
+    """Stands for NULL where None is the document null; workers know it by its name."""
 
-
-def _wide_container(x: Value) -> str:
-    if isinstance(x, list):
-        return f"[{','.join(map(_wide, x))}]"
-    if isinstance(x, dict):
-        return f"{{{','.join(f'{_strict(k)}:{_wide(v)}' for k, v in x.items())}}}"
-    return _strict(x) if isinstance(x, str) else values.render(x)
+    def __reduce__(self) -> str:
+        return "MISSING"
 
 
-def _strict(s: str) -> str:
-    import json
+MISSING = _Missing()
 
-    return json.dumps(s, ensure_ascii=False)
 
+def vectorised(f: Callable, returns: DataType, strict: bool = True) -> Callable:
+    """f on rows of Arrow batches as a UDF; VARIANT arguments come as values and go back as such, NULL in any gives NULL.
 
-def _python(f: Callable, returns: DataType, *args: Column, document: bool = False, strict: bool = True) -> Column:
-    """Apply f to rows in Arrow batches; VARIANT arguments come as values, NULL in any gives NULL."""
+    What f finds wrong is an error, or NULL without ``strict``.
+    """
+    document = isinstance(returns, VariantType)
 
     def one(row: tuple) -> Any:
         if any(x is None for x in row):
@@ -94,15 +92,23 @@ def _python(f: Callable, returns: DataType, *args: Column, document: bool = Fals
             if strict:
                 raise
             return None
-        return _wide(out) if document else out
+        if out is MISSING:
+            return None
+        return to_variant(out) if document else out
 
     def run(*cols: pd.Series) -> pd.Series:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEP))
         return pd.Series([one(row) for row in zip(*cols, strict=True)], dtype=object)
 
-    out = F.pandas_udf(run, StringType() if document else returns)(*args)
-    return F.parse_json(out) if document else out
+    return F.pandas_udf(run, returns)
+
 
+def _python(f: Callable, returns: DataType, *args: Column, strict: bool = True) -> Column:
+    return vectorised(f, returns, strict)(*args)
 
+
+#: Levels that documents may have in Python.
+DEEP = 20_000
 DOCUMENT = VariantType()
 
 
@@ -114,7 +120,7 @@ def parse(text: Column | str, lenient: bool = False) -> Column:
     c = _col(text)
     if not lenient:
         return F.try_parse_json(c)
-    return F.coalesce(F.try_parse_json(c), _python(values.parse, DOCUMENT, c, document=True, strict=False))
+    return F.coalesce(F.try_parse_json(c), _python(values.parse, DOCUMENT, c, strict=False))
 
 
 def parse_error(text: Column | str) -> Column:
@@ -137,7 +143,22 @@ def encode(doc: Column | str) -> Column:
 
 def decode(data: Column | str, text_too: bool = True) -> Column:
     """Wire bytes to document; also from text, unless ``text_too`` is false."""
-    return _python(lambda b: (values.from_slice if text_too else values.decode)(bytes(b)), DOCUMENT, _col(data), document=True)
+    return _python(decoder(text_too), DOCUMENT, _col(data))
+
+
+def try_decode(data: Column | str, text_too: bool = True) -> Column:
+    """As ``decode``; bytes that hold no document give NULL."""
+    return _python(decoder(text_too), DOCUMENT, _col(data), strict=False)
+
+
+def decoder(text_too: bool) -> Callable[[bytes], Value]:
+    def run(data: bytes) -> Value:
+        try:
+            return (values.from_slice if text_too else values.decode)(bytes(data))
+        except (UnicodeDecodeError, IndexError, RecursionError):
+            raise JsonError("InvalidWire") from None
+
+    return run
 
 
 def to_string(doc: Column | str) -> Column:
@@ -159,6 +180,18 @@ def to_json_object(doc: Column | str) -> Column:
     return F.when(is_object(doc), to_json(doc))
 
 
+def document(text: str) -> Column:
+    """A constant document."""
+    out = F.parse_json(F.lit(text))
+    out.__dict__["_document"] = values.parse(text)
+    return out
+
+
+def _constant(c: Any) -> Value:
+    """What a column from ``document`` holds; MISSING for other columns."""
+    return c.__dict__.get("_document", MISSING) if isinstance(c, Column) else MISSING
+
+
 def from_native(c: Column | str) -> Column:
     """A Spark value as document; maps, structs and arrays become objects and arrays."""
     return F.try_variant_get(F.to_variant_object(F.array(_col(c))), "$[0]", "variant")
@@ -166,7 +199,7 @@ def from_native(c: Column | str) -> Column:
 
 def rand_value(seed: int) -> Column:
     """A random document for each row; rows differ, and a seed repeats them for a given number of rows in a partition."""
-    return _python(lambda n: documents.random_value(random.Random(n)), DOCUMENT, F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), document=True)
+    return _python(lambda n: documents.random_value(random.Random(n)), DOCUMENT, F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)))
 
 
 # ---------------------------------------------------------------- path selection
@@ -179,8 +212,7 @@ def _path(text: str):  # noqa: ANN202
 
 def _selected(doc: Column | str, path: str | Column) -> plan.Nodes:
     if isinstance(path, Column):
-        hits = _python(lambda v, p: [_wide(x) for x in evaluate.select(_path(p), v)], ArrayType(StringType()), _col(doc), path)
-        return plan.Nodes(many=F.transform(hits, lambda s: F.parse_json(s)))
+        return plan.Nodes(many=plan.elements(_python(lambda v, p: evaluate.select(_path(p), v), DOCUMENT, _col(doc), path)))
     return plan.select(_path(path), _col(doc))
 
 
@@ -221,6 +253,16 @@ def path_match(doc: Column | str, path: str | Column) -> Column:
     return plan.match(_path(path), _col(doc))
 
 
+def path_text(path: Column | str) -> Column:
+    """A path as it is printed; what is no path is an error."""
+    return _python(lambda p: str(_path(p)), StringType(), _col(path))
+
+
+def key_path_text(path: Column | str) -> Column:
+    """A key path as it is printed."""
+    return _python(lambda p: str(_key_path(p)), StringType(), _col(path))
+
+
 # ---------------------------------------------------------------- access
 
 
@@ -244,7 +286,7 @@ def get_by_name(doc: Column | str, name: str | Column, ignore_case: bool = False
 
 def get_by_keypath(doc: Column | str, path: str | Column) -> Column:
     if isinstance(path, Column):
-        return F.parse_json(_python(lambda v, p: (lambda ok, x: _wide(x) if ok else None)(*evaluate.get_key(v, _key_path(p))), StringType(), _col(doc), path))
+        return _python(lambda v, p: (lambda ok, x: x if ok else MISSING)(*evaluate.get_key(v, _key_path(p))), DOCUMENT, _col(doc), path)
     v = _col(doc)
     for key in _key_path(path).keys:
         if isinstance(key.value, str) or key.quoted:
@@ -285,6 +327,11 @@ def array_length(doc: Column | str) -> Column:
 
 
 def contains(left: Column | str, right: Column | str) -> Column:
+    """Whether left holds all of right. A constant right side (``document``) is compiled; others are compared in Python."""
+    fixed = _constant(right)
+    if fixed is not MISSING:
+        v = _col(left)
+        return F.when(F.isnotnull(v), plan.part_of(v, fixed))
     return _python(documents.contains, BooleanType(), _col(left), _col(right))
 
 
@@ -299,13 +346,14 @@ def _keys(keys: list[str] | Column) -> Column:
 
 
 def exists_all_keys(doc: Column | str, keys: list[str] | Column) -> Column:
+    """Whether an object has all the members, or an array string elements, of these names; without names, true for every document."""
     names = _names(doc)
-    return F.forall(_keys(keys), lambda k: F.array_contains(names, k)) & plan.is_container(_col(doc))
+    return F.when(F.isnotnull(_col(doc)), F.forall(_keys(keys), lambda k: F.array_contains(names, k)))
 
 
 def exists_any_keys(doc: Column | str, keys: list[str] | Column) -> Column:
     names = _names(doc)
-    return F.exists(_keys(keys), lambda k: F.array_contains(names, k))
+    return F.when(F.isnotnull(_col(doc)), F.exists(_keys(keys), lambda k: F.array_contains(names, k)))
 
 
 def traverse_check_string(doc: Column | str, test: Callable[[str], bool]) -> Column:
@@ -391,9 +439,7 @@ def as_i64(doc: Column | str) -> Column:
 
 def as_u64(doc: Column | str) -> Column:
     """DECIMAL(20, 0)."""
-    v = _col(doc)
-    s = F.schema_of_variant(v)
-    n = F.when((s == "BIGINT") | s.rlike(r"^DECIMAL\(\d+,0\)$"), plan.get(v, "decimal(38,0)"))
+    n = plan.whole(_col(doc))
     return F.when((n >= 0) & (n <= F.lit(Decimal(U64))), n.cast("decimal(20,0)"))
 
 
@@ -479,8 +525,9 @@ def to_str(doc: Column | str) -> Column:
 
 def try_to_str(doc: Column | str) -> Column:
     v = _col(doc)
-    number = F.when(is_number(v), _python(documents.text_of, StringType(), F.when(is_number(v), v)))
-    return F.coalesce(as_str(v), as_bool(v).cast("string"), as_i64(v).cast("string"), number)
+    # only numbers with a fraction or beyond 64 bits are printed in Python
+    plain = F.coalesce(as_str(v), as_bool(v).cast("string"), as_u64(v).cast("string"), as_i64(v).cast("string"))
+    return F.coalesce(plain, _python(documents.text_of, StringType(), F.when(is_number(v) & F.isnull(plain), v)))
 
 
 # ---------------------------------------------------------------- construction and change
@@ -538,7 +585,10 @@ def delete_by_index(doc: Column | str, index: int | Column, strict: bool = True)
 
 
 def delete_by_keypath(doc: Column | str, path: str | Column, strict: bool = True) -> Column:
-    return _python(lambda v, p: documents.delete_by_keypath(v, _key_path(p)), DOCUMENT, _col(doc), _arg(path), document=True, strict=strict)
+    if isinstance(path, Column):
+        return _python(lambda v, p: documents.delete_by_keypath(v, _key_path(p)), DOCUMENT, _col(doc), path, strict=strict)
+    v = _col(doc)
+    return F.when(F.isnotnull(v), _fail(plan.is_container(v), plan.without(v, _key_path(path).keys), "InvalidJsonType", strict))
 
 
 def array_insert(doc: Column | str, pos: int | Column, new: Column | str) -> Column:
@@ -572,27 +622,71 @@ def object_pick(doc: Column | str, keys: list[str] | Column, strict: bool = True
     return F.when(F.isnotnull(v), _fail(F.isnotnull(m), _from_members(F.map_filter(m, lambda k, _: F.array_contains(ks, k))), "InvalidObject", strict))
 
 
+#: Levels down to which nulls are stripped by Catalyst, and elements up to which arrays are compared by it.
+NATIVE_DEPTH, NATIVE_SIZE = 3, 64
+
+
 def strip_nulls(doc: Column | str) -> Column:
-    return _python(documents.strip_nulls, DOCUMENT, _col(doc), document=True)
+    """Without members that are null, at any depth; null elements stay. What has nulls below NATIVE_DEPTH levels goes through Python."""
+    v = _col(doc)
+    has = lambda x: F.to_json(x).contains(":null")  # noqa: E731  # or a string that looks like it, which does no harm
+    native = F.when(has(v), plan.stripped(v, NATIVE_DEPTH)).otherwise(v)
+    return F.coalesce(_python(documents.strip_nulls, DOCUMENT, F.when(has(native), native)), native)
 
 
 # ---------------------------------------------------------------- arrays as multisets
 
 
+def _plain(*docs: Column) -> tuple[Column, list[Column]]:
+    """Whether all documents are small arrays of strings or all of 64-bit integers, and their elements as text: these alone are equal as documents if they are as text."""
+    kinds = [F.schema_of_variant(v) for v in docs]
+    own = lambda kind: reduce(and_, [(k == kind) | (F.size(plan.elements(v)) == 0) for k, v in zip(kinds, docs, strict=True)])
+    items = [F.try_variant_get(v, "$", "array<string>") for v in docs]
+    small = reduce(and_, [(F.size(a) <= NATIVE_SIZE) & (F.size(F.array_compact(a)) == F.size(a)) for a in items])
+    return F.coalesce((own("ARRAY<STRING>") | own("ARRAY<BIGINT>")) & small, F.lit(False)), items
+
+
+def _picked(v: Column, a: Column, keep: Callable) -> Column:
+    """The elements of an array for which ``keep`` (on their text and place) holds. No lambda in another: Spark loses UDFs over such expressions."""
+    return F.to_variant_object(F.filter(plan.elements(v), lambda _, i: keep(F.get(a, i), i)))
+
+
+def _count(a: Column, x: Column) -> Column:
+    return F.size(a) - F.size(F.array_remove(a, x))
+
+
+def _else_python(f: Callable, returns: DataType, plain: Column, native: Column, *docs: Column) -> Column:
+    """``native`` where it will do, else f in Python, which gets only those rows."""
+    known = reduce(and_, [F.isnotnull(v) for v in docs])
+    both = F.when(known & ~plain, F.to_variant_object(F.array(*docs)))
+    return F.coalesce(F.when(plain, native), _python(lambda pair: f(*pair), returns, both))
+
+
 def array_distinct(doc: Column | str) -> Column:
-    return _python(documents.array_distinct, DOCUMENT, _col(doc), document=True)
+    """An array's distinct elements; another document counts as an array of itself."""
+    v = _col(doc)
+    plain, (a,) = _plain(v)
+    return _else_python(documents.array_distinct, DOCUMENT, plain, _picked(v, a, lambda x, i: F.array_position(a, x) == i + 1), v)
 
 
 def array_intersection(left: Column | str, right: Column | str) -> Column:
-    return _python(documents.array_intersection, DOCUMENT, _col(left), _col(right), document=True)
+    """Elements of left that right has, each of right's used once."""
+    v, w = _col(left), _col(right)
+    plain, (a, b) = _plain(v, w)
+    return _else_python(documents.array_intersection, DOCUMENT, plain, _picked(v, a, lambda x, i: _count(F.slice(a, F.lit(1), i + 1), x) <= _count(b, x)), v, w)
 
 
 def array_except(left: Column | str, right: Column | str) -> Column:
-    return _python(documents.array_except, DOCUMENT, _col(left), _col(right), document=True)
+    """Elements of left that right lacks, each of right's used once."""
+    v, w = _col(left), _col(right)
+    plain, (a, b) = _plain(v, w)
+    return _else_python(documents.array_except, DOCUMENT, plain, _picked(v, a, lambda x, i: _count(F.slice(a, F.lit(1), i + 1), x) > _count(b, x)), v, w)
 
 
 def array_overlap(left: Column | str, right: Column | str) -> Column:
-    return _python(documents.array_overlap, BooleanType(), _col(left), _col(right))
+    v, w = _col(left), _col(right)
+    plain, (a, b) = _plain(v, w)
+    return _else_python(documents.array_overlap, BooleanType(), plain, F.arrays_overlap(a, b), v, w)
 
 
 # ---------------------------------------------------------------- order
@@ -604,10 +698,15 @@ def compare(left: Column | str, right: Column | str) -> Column:
 
 
 def sort_key(doc: Column | str) -> Column:
-    """Bytes that sort as the documents do, for ORDER BY, GROUP BY and joins by numeric equality."""
+    """Bytes that sort nearly as the documents do (see ``values.sort_key``); ``order_key`` is exact."""
     return _python(values.sort_key, BinaryType(), _col(doc))
 
 
+def order_key(doc: Column | str) -> Column:
+    """Bytes that sort as ``compare`` orders documents, for ORDER BY, GROUP BY and joins by numeric equality."""
+    return _python(values.order_bytes, BinaryType(), _col(doc))
+
+
 def sort_key_of_text(text: Column | str) -> Column:
     """As ``sort_key``, from text; what is no document sorts below all, by its bytes."""
 

@@ -1,9 +1,10 @@
 """Relational operators on document columns.
 
 VARIANT can't be grouped, sorted or joined on. These operators put a BINARY key
-beside it (wire bytes: equal documents; sort key: order and numeric equality)
-and leave the rest to Catalyst, so aggregates combine before the shuffle and
-joins are hash or sort-merge joins.
+beside it (wire bytes: equal documents; ``order_key``: order and numeric
+equality) and leave the rest to Catalyst, so aggregates combine before the
+shuffle and joins are hash or sort-merge joins. Columns that are added for a
+while get names that the tables don't have, so no column of theirs is lost.
 """
 
 from __future__ import annotations
@@ -14,56 +15,78 @@ from pyspark.sql import functions as F
 from .. import functions as J
 
 
-def _keyed(df: DataFrame, doc: str, key: str, numeric: bool) -> DataFrame:
-    return df.withColumn(key, J.sort_key(doc) if numeric else J.encode(doc))
+def _fresh(name: str, *tables: DataFrame) -> str:
+    """A name like this one that none of the tables has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _key(doc: str | Column, numeric: bool) -> Column:
+    return J.order_key(doc) if numeric else J.encode(doc)
 
 
 def group_by_document(df: DataFrame, doc: str, *aggregates: Column, numeric: bool = False) -> DataFrame:
     """One row for each document: the document, and the aggregates. ``numeric``: 1 and 1.0 are one."""
-    out = _keyed(df, doc, "document_key", numeric).groupBy("document_key").agg(F.any_value(doc).alias(doc), *aggregates)
-    return out.drop("document_key")
+    key = _fresh("document_key", df)
+    return df.withColumn(key, _key(doc, numeric)).groupBy(key).agg(F.any_value(doc).alias(doc), *aggregates).drop(key)
 
 
 def distinct_documents(df: DataFrame, doc: str, numeric: bool = False) -> DataFrame:
     return group_by_document(df.select(doc), doc, numeric=numeric)
 
 
-def order_by_document(df: DataFrame, doc: str, ascending: bool = True, limit: int | None = None) -> DataFrame:
-    """Sorted in the total order of documents; with a limit as a top-k, without a global sort."""
-    key = F.col("document_key")
-    out = _keyed(df, doc, "document_key", True).orderBy(key.asc() if ascending else key.desc())
-    return (out if limit is None else out.limit(limit)).drop("document_key")
+def order_by_document(df: DataFrame, doc: str, *then: Column, ascending: bool = True, limit: int | None = None) -> DataFrame:
+    """Sorted in the total order of documents, ties by ``then``; with a limit as a top-k, without a global sort."""
+    name = _fresh("document_key", df)
+    key = F.col(name)
+    out = df.withColumn(name, J.order_key(doc)).orderBy(key.asc() if ascending else key.desc(), *then)
+    return (out if limit is None else out.limit(limit)).drop(name)
 
 
 def join_on_document(left: DataFrame, right: DataFrame, left_doc: str, right_doc: str, how: str = "inner", numeric: bool = False) -> DataFrame:
     """Equi-join on documents; for semi and anti joins only left columns come back."""
-    a, b = _keyed(left, left_doc, "left_key", numeric), _keyed(right, right_doc, "right_key", numeric)
-    return a.join(b, F.col("left_key") == F.col("right_key"), how).drop("left_key", "right_key")
+    a, b = _fresh("left_key", left, right), _fresh("right_key", left, right)
+    out = left.withColumn(a, _key(left_doc, numeric)).join(right.withColumn(b, _key(right_doc, numeric)), F.col(a) == F.col(b), how)
+    return out.drop(a, b)
 
 
 def join_on_path(left: DataFrame, right: DataFrame, left_doc: str, path: str, right_key: str, how: str = "inner") -> DataFrame:
     """Join of what a path leads to, as text, with a string column: an ordinary equi-join."""
-    return left.withColumn("path_key", J.try_to_str(J.get_by_path_first(left_doc, path))).join(right, F.col("path_key") == F.col(right_key), how).drop("path_key")
+    key = _fresh("path_key", left, right)
+    return left.withColumn(key, J.try_to_str(J.get_by_path_first(left_doc, path))).join(right, F.col(key) == F.col(right_key), how).drop(key)
+
+
+def _mark(x: Column) -> Column:
+    """A scalar's text by kind; equal scalars have equal ones. A sign of its kind for a container."""
+    number = F.concat(F.lit("n"), J.as_f64(x).cast("string"))
+    other = F.concat(F.lit("s"), J.as_str(x))
+    return F.coalesce(number, other, F.when(J.is_null(x), "null"), F.concat(F.lit("b"), J.as_bool(x).cast("string")), F.when(J.is_array(x), "[]").otherwise("{}"))
 
 
 def join_on_containment(left: DataFrame, right: DataFrame, left_doc: str, right_doc: str) -> DataFrame:
     """Pairs whose left document contains the right one.
 
-    A document with members or strings at the top only goes to those that share
-    one of them: pairs are found by an equi-join on names and string elements,
-    and checked. Right documents without any meet all left ones.
+    Every right document has one mark that a left document must have, too: a
+    member's name, an element (or that there is one of its kind), the scalar
+    itself, or for an empty container its kind. Pairs are found by an equi-join
+    on marks, and checked; a mark that many share is split by the adaptive join.
     """
-    marks = lambda doc: F.coalesce(J.object_keys(doc), F.transform(J.array_values(doc), lambda x: F.to_json(x)))
-    a = left.withColumns({"left_row": F.monotonically_increasing_id(), "left_marks": marks(left_doc)})
-    mark = F.get(marks(right_doc), F.lit(0))
-    scalar = J.is_array(right_doc) | J.is_object(right_doc)
-    b = right.withColumn("mark", F.when(scalar & (J.is_object(right_doc) | F.forall(J.array_values(right_doc), lambda x: J.type_of(x).isin("string", "boolean", "null"))), mark))
-    some = a.withColumn("mark", F.explode(F.array_distinct("left_marks"))).join(b.where("mark IS NOT NULL"), "mark")
-    rest = a.crossJoin(F.broadcast(b.where("mark IS NULL"))) if b.where("mark IS NULL").limit(1).count() else None
-    out = some.drop("mark")
-    if rest is not None:
-        out = out.unionByName(rest.drop("mark"))
-    return out.where(J.contains(left_doc, right_doc)).drop("left_row", "left_marks")
+    named = lambda doc: F.transform(J.object_keys(doc), lambda k: F.concat(F.lit("k"), k))
+    items = lambda doc: F.transform(J.array_values(doc), lambda x: F.concat(F.lit("v"), _mark(x)))
+    whole = lambda doc: F.concat(F.lit("w"), _mark(F.col(doc)))
+    none = F.array().cast("array<string>")
+    # a scalar is part of itself and of arrays that have it
+    scalar = F.when(~(J.is_array(left_doc) | J.is_object(left_doc)), F.array(F.concat(F.lit("v"), _mark(F.col(left_doc)))))
+    all_marks = F.concat(F.coalesce(named(left_doc), items(left_doc), scalar, none), F.array(whole(left_doc)))
+    # of an array's elements a scalar says most
+    scalars = F.filter(items(right_doc), lambda m: ~m.isin("v[]", "v{}"))
+    asked = F.when(J.is_object(right_doc), F.coalesce(F.get(named(right_doc), F.lit(0)), whole(right_doc)))
+    asked = asked.when(J.is_array(right_doc), F.coalesce(F.get(scalars, F.lit(0)), F.get(items(right_doc), F.lit(0)), whole(right_doc))).otherwise(F.concat(F.lit("v"), _mark(F.col(right_doc))))
+    mark, own = _fresh("mark", left, right), _fresh("own_mark", left, right)
+    a = left.withColumn(mark, F.explode(F.array_distinct(all_marks)))
+    return a.join(right.withColumn(own, asked), F.col(mark) == F.col(own)).drop(mark, own).where(J.contains(left_doc, right_doc))
 
 
 def union_documents(left: DataFrame, right: DataFrame, doc: str) -> DataFrame:
@@ -72,15 +95,17 @@ def union_documents(left: DataFrame, right: DataFrame, doc: str) -> DataFrame:
 
 
 def intersect_documents(left: DataFrame, right: DataFrame, doc: str) -> DataFrame:
-    b = right.select(J.encode(doc).alias("right_key")).distinct()
-    a = _keyed(left.select(doc), doc, "left_key", False)
-    return distinct_documents(a.join(b, F.col("left_key") == F.col("right_key"), "left_semi").select(doc), doc)
+    return distinct_documents(_known(left, right, doc, "left_semi"), doc)
 
 
 def except_documents(left: DataFrame, right: DataFrame, doc: str) -> DataFrame:
-    b = right.select(J.encode(doc).alias("right_key")).distinct()
-    a = _keyed(left.select(doc), doc, "left_key", False)
-    return distinct_documents(a.join(b, F.col("left_key") == F.col("right_key"), "left_anti").select(doc), doc)
+    return distinct_documents(_known(left, right, doc, "left_anti"), doc)
+
+
+def _known(left: DataFrame, right: DataFrame, doc: str, how: str) -> DataFrame:
+    a, b = _fresh("left_key", left.select(doc)), _fresh("right_key", left.select(doc))
+    keys = right.select(J.encode(doc).alias(b)).distinct()
+    return left.select(doc, J.encode(doc).alias(a)).join(keys, F.col(a) == F.col(b), how).select(doc)
 
 
 def json_array_agg(doc: Column | str, order: Column | str) -> Column:

@@ -8,6 +8,7 @@ Python on executors; what a compiled path gives agrees with ``evaluate``.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column
@@ -185,6 +186,19 @@ def integer(v: Column) -> Column:
     return F.when(F.schema_of_variant(v) == "BIGINT", get(v, "bigint"))
 
 
+def whole(v: Column) -> Column:
+    """An integer of either sign, up to 64 bits, as DECIMAL(38, 0)."""
+    n = get(v, "decimal(38,0)")
+    s = F.schema_of_variant(v)
+    # within 64 bits with a sign, what is no BIGINT has been written with a fraction
+    large = s.rlike(r"^DECIMAL\(\d+,0\)$") & (n > F.lit(Decimal((1 << 63) - 1)))
+    return F.when((s == "BIGINT") | large, n)
+
+
+def as_decimal(n: int) -> Column:
+    return F.lit(Decimal(n)).cast("decimal(38,0)")
+
+
 def against(op: str, x: Column, value: Any) -> Column:
     """Whether a scalar node stands in that relation to a literal."""
     r = evaluate.RANKS[evaluate.kind(value)]
@@ -195,8 +209,9 @@ def against(op: str, x: Column, value: Any) -> Column:
         same = compared(op, get(x, "boolean"), F.lit(value))
     elif isinstance(value, str):
         same = compared(op, get(x, "string"), F.lit(value))
-    elif isinstance(value, int) and -(1 << 63) <= value < 1 << 63:
-        same = F.coalesce(compared(op, integer(x), F.lit(value).cast("bigint")), compared(op, get(x, "double"), F.lit(float(value))))
+    elif isinstance(value, int):
+        short = [compared(op, integer(x), F.lit(value).cast("bigint"))] if -(1 << 63) <= value < 1 << 63 else []
+        same = F.coalesce(*short, compared(op, whole(x), as_decimal(value)), compared(op, get(x, "double"), F.lit(float(value))))
     else:
         same = compared(op, get(x, "double"), F.lit(float(value)))
     own = rank(x)
@@ -207,7 +222,7 @@ def between(op: str, x: Column, y: Column) -> Column:
     """Whether two scalar nodes stand in that relation."""
     below, equal, above = (evaluate.TESTS[op](c) for c in (-1, 0, 1))
     a, b = rank(x), rank(y)
-    numbers = F.coalesce(compared(op, integer(x), integer(y)), compared(op, get(x, "double"), get(y, "double")))
+    numbers = F.coalesce(compared(op, integer(x), integer(y)), compared(op, whole(x), whole(y)), compared(op, get(x, "double"), get(y, "double")))
     same = F.when(a == 0, F.lit(equal)).when(a == 1, compared(op, get(x, "boolean"), get(y, "boolean"))).when(a == 2, numbers).otherwise(compared(op, get(x, "string"), get(y, "string")))
     return F.coalesce(F.when(a < b, F.lit(below)).when(a > b, F.lit(above)).when(a == b, same), F.lit(False))
 
@@ -258,3 +273,66 @@ def match(path: Path, doc: Column) -> Column:
 def exists(path: Path, doc: Column) -> Column:
     found = F.lit(True) if path.predicate is not None else walk(path.steps, doc, None).exists()
     return F.when(F.isnotnull(doc), found)
+
+
+# ---------------------------------------------------------------- whole documents
+
+
+def same_scalar(x: Column, value: Any) -> Column:
+    """Whether a document is that scalar."""
+    s = F.schema_of_variant(x)
+    if value is None:
+        return F.is_variant_null(x)
+    if isinstance(value, bool):
+        return (s == "BOOLEAN") & (get(x, "boolean") == F.lit(value))
+    if isinstance(value, str):
+        return (s == "STRING") & (get(x, "string") == F.lit(value))
+    if isinstance(value, int):
+        return F.coalesce(integer(x) == F.lit(value).cast("bigint") if -(1 << 63) <= value < 1 << 63 else whole(x) == as_decimal(value), F.lit(False))
+    return F.coalesce((kind(x) == "number") & F.isnull(whole(x)) & (get(x, "double") == F.lit(value)), F.lit(False))
+
+
+def part_of(x: Column, value: Any, top: bool = True) -> Column:
+    """Whether a document contains a constant one, in the sense of ``contains``."""
+    if isinstance(value, dict):
+        found = F.isnotnull(members(x)) if not value else F.lit(True)
+        for k, v in value.items():
+            child = F.try_variant_get(x, f'$["{k}"]', "variant") if plain_name(k) else F.try_element_at(members(x), F.lit(k))
+            found = found & part_of(child, v, False)
+        return F.coalesce(found, F.lit(False))
+    a = elements(x)
+    if isinstance(value, list):
+        found = F.isnotnull(a)
+        for y in value:
+            found = found & F.exists(a, _holding(y))
+        return F.coalesce(found, F.lit(False))
+    own = F.coalesce(same_scalar(x, value), F.lit(False))
+    return F.coalesce(F.exists(a, lambda e: F.coalesce(same_scalar(e, value), F.lit(False))), own) if top else own
+
+
+def _holding(value: Any):  # noqa: ANN202
+    return lambda e: part_of(e, value, False)
+
+
+def stripped(v: Column, depth: int) -> Column:
+    """Without members that are null, down to that depth."""
+    if not depth:
+        return v
+    m, a = members(v), elements(v)
+    kept = F.transform_values(F.map_filter(m, lambda _, x: ~F.is_variant_null(x)), lambda _, x: stripped(x, depth - 1))
+    return F.when(F.isnotnull(m), F.to_variant_object(kept)).when(F.isnotnull(a), F.to_variant_object(F.transform(a, lambda x: stripped(x, depth - 1)))).otherwise(v)
+
+
+def without(v: Column, keys: tuple) -> Column:
+    """Without what a chain of keys leads to; unchanged if it leads nowhere."""
+    if not keys:
+        return v
+    key, rest = keys[0], keys[1:]
+    if isinstance(key.value, int) and not key.quoted:
+        a = elements(v)
+        at = F.lit(key.value) if key.value >= 0 else F.size(a) + key.value
+        fewer = F.filter(a, lambda _, i: i != at) if not rest else F.transform(a, lambda x, i: F.when(i == at, without(x, rest)).otherwise(x))
+        return F.when(F.isnotnull(a), F.to_variant_object(fewer)).otherwise(v)
+    m, name = members(v), F.lit(str(key.value))
+    fewer = F.map_filter(m, lambda k, _: k != name) if not rest else F.transform_values(m, lambda k, x: F.when(k == name, without(x, rest)).otherwise(x))
+    return F.when(F.isnotnull(m), F.to_variant_object(fewer)).otherwise(v)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import functions as J
 from . import operators as R
+from . import sources, sql, streaming
 from .sql import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +44,12 @@ def event_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("id"), doc.alias("doc"))
 
 
+def user_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, event_type and {"props", "user"}."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", "event_type", J.build_object(user=J.from_native("user_id"), props=J.parse("props")).alias("doc"))
+
+
 def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id and {"items": [{"flag", "n", "part"}, ...], "key", "status"}, items sorted by number, part and flag."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus")
@@ -66,6 +73,47 @@ def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy(F.col("l_orderkey").alias("id")).agg(one(F.col("l_linenumber") <= 3).alias("a"), one(F.col("l_linenumber") > 1).alias("b"))
 
 
+#: Texts of documents of all kinds, in SQL that both engines read; 5 and 5.0 among them, names out of order, deep ones.
+MIXED_TEXT = (
+    "CASE event_id % 9 WHEN 0 THEN 'null' WHEN 1 THEN concat('[', event_id % 50, ',\"x\"]') WHEN 2 THEN concat('{\"b\":{\"c\":', event_id % 50, '},\"a\":[]}') "
+    "WHEN 3 THEN concat('\"s', lpad(concat('', event_id % 50), 2, '0'), '\"') WHEN 4 THEN concat('', event_id % 50) WHEN 5 THEN concat(event_id % 50, '.5') WHEN 6 THEN concat(event_id % 50, '.0') WHEN 7 THEN 'true' ELSE 'false' END"
+)
+#: Texts of objects whose members differ by row.
+PARTLY_TEXT = (
+    "concat('{\"id\":', event_id, CASE WHEN event_id % 2 = 0 THEN ',\"even\":true' ELSE '' END, CASE WHEN event_id % 3 = 0 THEN ',\"Third\":null' ELSE '' END, "
+    "CASE WHEN event_id % 5 = 0 THEN concat(',\"type\":\"', event_type, '\"') ELSE '' END, '}')"
+)
+
+
+def mixed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id and a document of any kind."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), J.parse(F.expr(MIXED_TEXT)).alias("doc"))
+
+
+def partly_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id and an object with some of the members id, even, Third, type."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), J.parse(F.expr(PARTLY_TEXT)).alias("doc"))
+
+
+def multisets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, and arrays a and b with repeated, null and nested elements, and with 1 beside 1.0."""
+    k = F.col("event_id") % 3
+    a = F.concat(F.lit("["), k, F.lit(',1,1.0,null,null,{"x":'), k, F.lit("}]"))
+    b = F.concat(F.lit('[1,null,{"x":'), F.col("event_id") % 2, F.lit("},"), k, F.lit("]"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), J.parse(a).alias("a"), J.parse(b).alias("b"))
+
+
+MIXED = f"t AS (SELECT event_id AS id, event_id % 9 AS kind, event_id % 50 AS k, {MIXED_TEXT} AS t FROM events)"
+#: Canonical text, level and number within a level.
+RANKED = (
+    f"{MIXED}, r AS (SELECT id, t, CASE WHEN kind = 2 THEN concat('{{\"a\":[],\"b\":{{\"c\":', k, '}}}}') ELSE t END AS canon, CASE json_type(t) WHEN 'NULL' THEN 7 WHEN 'ARRAY' THEN 6 WHEN 'OBJECT' THEN 5 WHEN 'VARCHAR' THEN 4 WHEN 'BOOLEAN' THEN CASE t WHEN 'true' THEN 2 ELSE 1 END ELSE 3 END AS level, "
+    "CASE WHEN kind IN (0, 7, 8) THEN 0 WHEN kind = 5 THEN k + 0.5 ELSE k END AS num FROM t)"
+)
+PARTLY = f"t AS (SELECT event_id AS id, {PARTLY_TEXT} AS t FROM events)"
+MULTISETS = (
+    "m AS (SELECT event_id AS id, [CAST(event_id % 3 AS VARCHAR), '1', '1.0', 'null', 'null', concat('{\"x\":', event_id % 3, '}')] AS a, ['1', 'null', concat('{\"x\":', event_id % 2, '}'), CAST(event_id % 3 AS VARCHAR)] AS b FROM events), "
+    "u AS (SELECT id, b, unnest(a) AS x, generate_subscripts(a, 1) AS pos FROM m), n AS (SELECT id, x, pos, row_number() OVER (PARTITION BY id, x ORDER BY pos) AS nth, len(list_filter(b, lambda y: y = x)) AS there FROM u)"
+)
 ITEMS = "items AS (SELECT l_orderkey AS id, list_sort(list({'n': l_linenumber, 'part': l_partkey, 'flag': l_returnflag})) AS items FROM lineitem GROUP BY 1), docs AS (SELECT id, o_orderstatus AS status, items FROM items JOIN orders ON o_orderkey = id)"
 EVENTS = "e AS (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)"
 SPARSE = "s AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS seg, c_nationkey AS nation FROM customer)"
@@ -157,6 +205,46 @@ def path_wildcard_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_docs(spark, sf_dir).select("id", F.to_json(J.get_by_path_array("doc", "$.*")).alias("members"))
 
 
+@query(f"WITH {EVENTS} SELECT event_id AS id, event_type AS colon, event_type AS bracket, event_type AS quoted, event_type AS bare, k AS deep, '{{\"id\":' || event_id || ',\"props\":{{\"k\":' || k || '}},\"type\":\"' || event_type || '\",\"user\":' || user_id || '}}' AS empty FROM e")
+def path_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A member's name after a colon, in brackets, quoted and bare; and the empty path, which is the document."""
+    text = lambda p: J.as_str(J.get_by_path_first("doc", p))
+    return event_docs(spark, sf_dir).select(
+        "id", text("$:type").alias("colon"), text('$["type"]').alias("bracket"), text('$."type"').alias("quoted"), text("type").alias("bare"), J.as_i64(J.get_by_path_first("doc", '$["props"]:k')).alias("deep"), J.to_string(J.get_by_path_first("doc", "")).alias("empty")
+    )
+
+
+@query(f"WITH {ITEMS} SELECT id, '[]' AS negative, items[1].part AS no_root, CASE WHEN len(items) > 1 THEN '[' || items[-2].part || ']' ELSE '[]' END AS before_last, items[len(items)].n AS lax FROM docs")
+def path_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A negative place hits nothing; a path may begin with a step; ``[*]`` lets other documents pass."""
+    d = order_docs(spark, sf_dir).select("id", "doc", J.get_by_name("doc", "items").alias("items"))
+    return d.select(
+        "id", F.to_json(J.get_by_path_array("items", "$[-1].part")).alias("negative"), J.as_i64(J.get_by_path_first("items", "[0].part")).alias("no_root"),
+        F.to_json(J.get_by_path_array("items", "$[last - 1].part")).alias("before_last"), J.as_i64(J.get_by_path_first("doc", "$[*].items[last].n[*]")).cast("int").alias("lax"),
+    )
+
+
+@query("SELECT event_id AS id, user_id < value AS number_below, true AS text_above_number, value >= user_id AS mirrored, event_type >= 'purchase' AS text, event_id < user_id AS whole FROM events")
+def path_value_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order of values in predicates, by kind first."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    doc = J.build_object(id=J.from_native("event_id"), u=J.from_native("user_id"), v=J.from_native("value"), t=J.from_native("event_type"))
+    e = e.select(F.col("event_id").alias("id"), doc.alias("doc"))
+    test = lambda p: J.path_match("doc", p)
+    return e.select("id", test("$.u < $.v").alias("number_below"), test("$.t > $.v").alias("text_above_number"), test("$.v >= $.u").alias("mirrored"), test('$.t >= "purchase"').alias("text"), test("$.id < $.u").alias("whole"))
+
+
+@query(f"WITH {EVENTS} SELECT event_id AS id, '$.' || event_type || '[*]?(@.k > ' || k || ' && exists(@.u)).v' AS chain, '$.k + ' || k AS sum, '$.k == ' || k || ' || $.t != \"' || event_type || '\"' AS predicate, '{{' || event_type || ',' || k || ',\"q\"}}' AS keys FROM e")
+def path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths as they are printed, arithmetic among them; and key paths."""
+    k, kind = J.as_i64(J.get_by_path_first("doc", "$.k")).cast("string"), F.col("event_type")
+    say = lambda *parts: J.path_text(F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]))
+    return events(spark, sf_dir).select(
+        F.col("event_id").alias("id"), say("$.", kind, " [ * ] ? (@.k>", k, "&&exists( @.u )).v").alias("chain"), say("$.k  +", k).alias("sum"), say("$.k==", k, '||$.t<>"', kind, '"').alias("predicate"),
+        J.key_path_text(F.concat(F.lit("{ "), kind, F.lit(" , "), k, F.lit(', "q" }'))).alias("keys"),
+    )
+
+
 @query("SELECT event_id AS id, CAST(CASE event_type WHEN 'click' THEN event_id ELSE user_id END AS BIGINT) AS value FROM events")
 def path_from_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.when(J.as_str(J.get_by_name("doc", "type")) == "click", "$.id").otherwise("$.user")
@@ -166,9 +254,9 @@ def path_from_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- access
 
 
-@query("SELECT event_id AS id, 'id,props,type,user' AS keys FROM events")
+@query(f"WITH {PARTLY} SELECT id, array_to_string(list_sort(json_keys(t)), ',') AS keys FROM t")
 def object_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_docs(spark, sf_dir).select("id", F.array_join(J.object_keys("doc"), ",").alias("keys"))
+    return partly_docs(spark, sf_dir).select("id", F.array_join(J.object_keys("doc"), ",").alias("keys"))
 
 
 @query(
@@ -195,12 +283,22 @@ def array_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ITEMS} SELECT id, status = 'O' AS status_o, len(list_filter(items, lambda x: x.flag = 'A')) > 0 AS has_a FROM docs")
 def contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_docs(spark, sf_dir).select("id", J.contains("doc", lit('{"status":"O"}')).alias("status_o"), J.contains("doc", lit('{"items":[{"flag":"A"}]}')).alias("has_a"))
+    return order_docs(spark, sf_dir).select("id", J.contains("doc", J.document('{"status":"O"}')).alias("status_o"), J.contains("doc", J.document('{"items":[{"flag":"A"}]}')).alias("has_a"))
+
+
+@query("SELECT event_id AS id, event_type = 'view' AND (event_id % 2 = 0) = (event_id % 3 = 0) AS holds FROM events")
+def contains_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The right side differs by row."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    flag = lambda n: (F.col("event_id") % n == 0).cast("string")
+    left = J.parse(F.concat(F.lit('{"t":["'), "event_type", F.lit('",{"even":'), flag(2), F.lit(',"more":1}]}')))
+    right = J.parse(F.concat(F.lit('{"t":["view",{"even":'), flag(3), F.lit("}]}")))
+    return e.select(F.col("event_id").alias("id"), J.contains(left, right).alias("holds"))
 
 
-@query(f"WITH {SPARSE} SELECT id, true AS all_keys, false AS more_keys FROM s")
+@query(f"WITH {PARTLY} SELECT id, list_has_all(json_keys(t), ['even', 'Third']) AS all_keys, list_has_all(json_keys(t), ['id', 'x']) AS more_keys, list_has_all(json_keys(t), CAST([] AS VARCHAR[])) AS no_keys FROM t")
 def exists_all_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sparse_docs(spark, sf_dir).select("id", J.exists_all_keys("doc", ["seg", "nation"]).alias("all_keys"), J.exists_all_keys("doc", ["seg", "x"]).alias("more_keys"))
+    return partly_docs(spark, sf_dir).select("id", J.exists_all_keys("doc", ["even", "Third"]).alias("all_keys"), J.exists_all_keys("doc", ["id", "x"]).alias("more_keys"), J.exists_all_keys("doc", []).alias("no_keys"))
 
 
 @query(f"WITH {FLAGS} SELECT id, list_contains(a, 'R') OR list_contains(a, 'X') AS any_key FROM f")
@@ -217,17 +315,38 @@ def traverse_check_string(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {SPARSE} SELECT id, seg IS NULL AS seg_null, seg IS NOT NULL AS seg_string, true AS nation_number, true AS nation_i64, true AS nation_u64, true AS nation_f64, "
-    "false AS nation_boolean, true AS doc_object, false AS doc_array FROM s"
+    f"WITH {MIXED}, j AS (SELECT id, t, json_type(t) AS j FROM t) SELECT id, j = 'NULL' AS a_null, j = 'VARCHAR' AS a_string, j IN ('UBIGINT', 'BIGINT', 'DOUBLE') AS a_number, j IN ('UBIGINT', 'BIGINT') AS an_i64, "
+    "j IN ('UBIGINT', 'BIGINT') AS a_u64, j IN ('UBIGINT', 'BIGINT', 'DOUBLE') AS an_f64, j = 'BOOLEAN' AS a_boolean, j = 'OBJECT' AS an_object, j = 'ARRAY' AS an_array FROM j"
 )
 def is_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seg, nation = J.get_by_name("doc", "seg"), J.get_by_name("doc", "nation")
-    return sparse_docs(spark, sf_dir).select(
-        "id", J.is_null(seg).alias("seg_null"), J.is_string(seg).alias("seg_string"), J.is_number(nation).alias("nation_number"), J.is_i64(nation).alias("nation_i64"), J.is_u64(nation).alias("nation_u64"),
-        J.is_f64(nation).alias("nation_f64"), J.is_boolean(nation).alias("nation_boolean"), J.is_object("doc").alias("doc_object"), J.is_array("doc").alias("doc_array"),
+    return mixed_docs(spark, sf_dir).select(
+        "id", J.is_null("doc").alias("a_null"), J.is_string("doc").alias("a_string"), J.is_number("doc").alias("a_number"), J.is_i64("doc").alias("an_i64"), J.is_u64("doc").alias("a_u64"),
+        J.is_f64("doc").alias("an_f64"), J.is_boolean("doc").alias("a_boolean"), J.is_object("doc").alias("an_object"), J.is_array("doc").alias("an_array"),
     )
 
 
+@query(f"WITH {MIXED} SELECT a.id, (CASE WHEN json_type(a.t) IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'NUMBER' ELSE json_type(a.t) END) = (CASE WHEN json_type(b.t) IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'NUMBER' ELSE json_type(b.t) END) AS same FROM t a JOIN t b ON b.id = a.id + 1")
+def same_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an event's document is of the kind of the next one's."""
+    a, b = mixed_docs(spark, sf_dir), mixed_docs(spark, sf_dir).select((F.col("id") - 1).alias("id"), F.col("doc").alias("next"))
+    return a.join(b, "id").select("id", J.same_kind("doc", "next").alias("same"))
+
+
+@query(f"WITH {MIXED}, j AS (SELECT id, t, json_type(t) AS j FROM t) SELECT id, CASE WHEN j = 'BOOLEAN' THEN t = 'true' END AS bool, CASE WHEN j IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN t END AS number, CASE WHEN j IN ('UBIGINT', 'BIGINT') THEN t END AS u64, CASE WHEN j IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(t AS DOUBLE) END AS f64, CASE WHEN j = 'VARCHAR' THEN json_extract_string(t, '$') END AS str FROM j")
+def as_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_docs(spark, sf_dir).select("id", J.as_bool("doc").alias("bool"), J.to_string(J.as_number("doc")).alias("number"), J.as_u64("doc").cast("string").alias("u64"), J.as_f64("doc").alias("f64"), J.as_str("doc").alias("str"))
+
+
+@query("SELECT event_id AS id, CAST(CAST(9223372036854775800 AS HUGEINT) + event_id AS VARCHAR) AS u64, CAST(CASE WHEN event_id < 8 THEN 9223372036854775800 + event_id END AS BIGINT) AS i64, CAST(event_id AS VARCHAR) AS from_text, event_id > 7 AS above FROM events")
+def to_u64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integers on both sides of the largest one with a sign."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"))
+    big = J.parse((F.col("id").cast("decimal(20,0)") + F.lit(9223372036854775800)).cast("string"))
+    made = e.select("id", J.build_object(n=big).alias("doc"), J.from_native(F.col("id").cast("string")).alias("text"))
+    n = J.get_by_name("doc", "n")
+    return made.select("id", J.to_u64(n).cast("string").alias("u64"), J.try_to_i64(n).alias("i64"), J.to_u64("text").cast("string").alias("from_text"), J.path_match("doc", "$.n > 9223372036854775807").alias("above"))
+
+
 @query(f"WITH {SPARSE} SELECT id, seg IS NULL AS seg_null, seg AS seg_str, CAST(nation AS BIGINT) AS i64, CAST(nation AS DOUBLE) AS f64, CAST(nation AS VARCHAR) AS u64, true AS no_bool FROM s")
 def as_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg, nation = J.get_by_name("doc", "seg"), J.get_by_name("doc", "nation")
@@ -340,6 +459,12 @@ def array_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags(spark, sf_dir).select("id", F.array_join(F.transform(J.array_values(J.array_except("a", "b")), lambda x: J.as_str(x)), "").alias("doc"))
 
 
+@query(f"WITH {MULTISETS} SELECT id, '[' || string_agg(x, ',' ORDER BY pos) FILTER (nth = 1) || ']' AS once, '[' || coalesce(string_agg(x, ',' ORDER BY pos) FILTER (nth <= there), '') || ']' AS both, '[' || coalesce(string_agg(x, ',' ORDER BY pos) FILTER (nth > there), '') || ']' AS rest, coalesce(bool_or(there > 0), false) AS overlap FROM n GROUP BY id")
+def multisets_of_mixed_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = multisets(spark, sf_dir)
+    return m.select("id", J.to_string(J.array_distinct("a")).alias("once"), J.to_string(J.array_intersection("a", "b")).alias("both"), J.to_string(J.array_except("a", "b")).alias("rest"), J.array_overlap("a", "b").alias("overlap"))
+
+
 @query(f"WITH {FLAGS} SELECT id, list_has_any(a, b) AS overlap FROM f")
 def array_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags(spark, sf_dir).select("id", J.array_overlap("a", "b").alias("overlap"))
@@ -359,6 +484,38 @@ def order_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", J.as_i64(J.get_by_name("doc", "k")).alias("k"))
 
 
+@query(f"WITH {RANKED} SELECT a.id, CAST(sign(CASE WHEN a.level <> b.level THEN a.level - b.level ELSE a.num - b.num END) AS INTEGER) AS c FROM r a JOIN r b ON b.id = a.id + 1")
+def compare_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event's document of any kind against the next one's."""
+    a, b = mixed_docs(spark, sf_dir), mixed_docs(spark, sf_dir).select((F.col("id") - 1).alias("id"), F.col("doc").alias("next"))
+    return a.join(b, "id").select("id", J.compare("doc", "next").alias("c"))
+
+
+@query("SELECT event_id AS id, CAST(sign(CAST(user_id AS DOUBLE) - value) AS INTEGER) AS c, CAST(sign(user_id - event_id) AS INTEGER) AS whole FROM events")
+def compare_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    user = J.from_native("user_id")
+    return e.select(F.col("event_id").alias("id"), J.compare(user, J.from_native("value")).alias("c"), J.compare(user, J.from_native("event_id")).alias("whole"))
+
+
+@query(f"WITH {RANKED} SELECT id, canon AS doc FROM r ORDER BY level DESC, num DESC, id LIMIT 2000")
+def order_by_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top 2000 of documents of all kinds."""
+    return R.order_by_document(mixed_docs(spark, sf_dir), "doc", F.col("id"), ascending=False, limit=2000).select("id", J.to_string("doc").alias("doc"))
+
+
+@query(f"WITH {RANKED} SELECT canon AS doc, count(*) AS n, min(id) AS first_id FROM r GROUP BY 1")
+def group_by_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = R.group_by_document(mixed_docs(spark, sf_dir), "doc", F.count("*").alias("n"), F.min("id").alias("first_id"))
+    return out.select(J.to_string("doc").alias("doc"), "n", "first_id")
+
+
+@query(f"WITH {RANKED} SELECT count(*) AS n, min(id) AS first_id FROM r GROUP BY level, num")
+def group_by_number_of_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """5 and 5.0 in one group."""
+    return R.group_by_document(mixed_docs(spark, sf_dir), "doc", F.count("*").alias("n"), F.min("id").alias("first_id"), numeric=True).select("n", "first_id")
+
+
 @query(f"WITH {EVENTS} SELECT k, count(*) AS n, min(event_id) AS first_id FROM e GROUP BY 1")
 def group_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = R.group_by_document(events(spark, sf_dir), "doc", F.count("*").alias("n"), F.min("event_id").alias("first_id"))
@@ -377,10 +534,11 @@ def join_on_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.join_on_document(e, bought, "doc", "other").select("event_id", J.as_i64(J.get_by_name("other", "k")).alias("k"))
 
 
-@query(f"WITH {EVENTS} SELECT event_id FROM e WHERE k NOT IN (SELECT k FROM e WHERE event_id < 50)")
+@query(f"WITH {EVENTS} SELECT event_id FROM e a WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.event_type = 'purchase' AND b.k = a.k AND b.user_id = a.user_id)")
 def anti_join_on_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
-    return R.join_on_document(e, e.where("event_id < 50").select(F.col("doc").alias("other")), "doc", "other", "left_anti").select("event_id")
+    """Events whose user and k no purchase has."""
+    e = user_docs(spark, sf_dir)
+    return R.join_on_document(e, e.where("event_type = 'purchase'").select(F.col("doc").alias("other")), "doc", "other", "left_anti").select("event_id")
 
 
 @query("SELECT o_orderkey AS id, o_orderpriority AS priority FROM orders JOIN nation ON CAST(o_custkey % 25 AS INTEGER) = n_nationkey WHERE n_regionkey = 1")
@@ -396,12 +554,16 @@ def join_on_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.join_on_containment(sparse_docs(spark, sf_dir), n, "doc", "asked").select("id", F.col("n_name").alias("name"))
 
 
-@query(f"WITH {EVENTS} SELECT 'union' AS op, k FROM e WHERE event_id < 40 OR event_id % 7 = 0 GROUP BY k UNION ALL SELECT 'intersect', k FROM (SELECT k FROM e WHERE event_id < 40 INTERSECT SELECT k FROM e WHERE event_id % 7 = 0) UNION ALL SELECT 'except', k FROM (SELECT k FROM e WHERE event_id % 7 = 0 EXCEPT SELECT k FROM e WHERE event_id < 40)")
+@query(
+    f"WITH {EVENTS}, a AS (SELECT DISTINCT user_id AS u, k FROM e WHERE event_type = 'purchase'), b AS (SELECT DISTINCT user_id AS u, k FROM e WHERE event_type = 'click') SELECT 'union' AS op, u, k FROM (SELECT * FROM a UNION SELECT * FROM b) "
+    "UNION ALL SELECT 'intersect', u, k FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'except', u, k FROM (SELECT * FROM b EXCEPT SELECT * FROM a)"
+)
 def set_operations_on_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
-    a, b = e.where("event_id < 40"), e.where("event_id % 7 = 0")
+    """Sets of the documents of purchases and clicks."""
+    e = user_docs(spark, sf_dir)
+    a, b = e.where("event_type = 'purchase'"), e.where("event_type = 'click'")
     sets = {"union": R.union_documents(a, b, "doc"), "intersect": R.intersect_documents(a, b, "doc"), "except": R.except_documents(b, a, "doc")}
-    parts = [d.select(F.lit(op).alias("op"), J.as_i64(J.get_by_name("doc", "k")).alias("k")) for op, d in sets.items()]
+    parts = [d.select(F.lit(op).alias("op"), J.as_i64(J.get_by_name("doc", "user")).alias("u"), J.as_i64(J.get_by_path_first("doc", "$.props.k")).alias("k")) for op, d in sets.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -418,22 +580,56 @@ def to_pretty_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", J.to_pretty_string("doc").alias("doc"))
 
 
-@query(f"WITH {EVENTS} SELECT event_id, '{{\"k\":' || k || '}}' AS doc, lower(hex(blob '\\x40\\x00\\x00\\x01\\x10\\x00\\x00\\x01')) AS head FROM e")
+@query(f"WITH {RANKED} SELECT id, canon AS doc, format('{{:08x}}', CASE json_type(t) WHEN 'ARRAY' THEN 2147483648 + json_array_length(t) WHEN 'OBJECT' THEN 1073741824 + len(json_keys(t)) ELSE 536870913 END) AS head FROM r")
 def encode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wire = events(spark, sf_dir).select("event_id", J.encode("doc").alias("wire"))
-    return wire.select("event_id", J.to_string(J.decode("wire")).alias("doc"), F.lower(F.hex(F.substring("wire", 1, 8))).alias("head"))
+    wire = mixed_docs(spark, sf_dir).select("id", J.encode("doc").alias("wire"))
+    return wire.select("id", J.to_string(J.decode("wire", text_too=False)).alias("doc"), F.lower(F.hex(F.substring("wire", 1, 4))).alias("head"))
+
+
+@query(f"WITH {RANKED} SELECT id, canon AS from_text, CASE WHEN json_type(t) IN ('ARRAY', 'OBJECT') THEN CAST(NULL AS VARCHAR) END AS cut FROM r WHERE json_type(t) IN ('ARRAY', 'OBJECT')")
+def decode_text_or_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text where wire bytes are asked for, and wire bytes that lack the last one."""
+    e = mixed_docs(spark, sf_dir).where(J.is_array("doc") | J.is_object("doc"))
+    wire = e.select("id", F.to_json("doc").cast("binary").alias("text"), J.encode("doc").alias("wire"))
+    cut = F.expr("substring(wire, 1, length(wire) - 1)")
+    return wire.select("id", J.to_string(J.decode("text")).alias("from_text"), J.to_string(J.try_decode(cut)).alias("cut"))
+
 
+@query(f"WITH {RANKED} SELECT id, canon AS doc, CASE WHEN json_type(t) = 'OBJECT' THEN canon END AS object_only FROM r")
+def to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_docs(spark, sf_dir).select("id", J.to_json("doc").alias("doc"), J.to_json_object("doc").alias("object_only"))
 
-@query(f"WITH {EVENTS} SELECT event_id, CAST(dense_rank() OVER (ORDER BY k) AS INTEGER) AS place FROM e WHERE event_id < 500")
+
+@query("SELECT event_id AS id, '{\"a\":[' || event_id || ',null],\"m\":{\"' || event_type || '\":' || user_id || '},\"s\":\"' || event_type || '\",\"t\":' || (event_id % 2 = 0) || '}' AS doc FROM events")
+def from_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structs, maps, arrays and scalars of Spark as documents."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    row = F.struct(F.array(F.col("event_id"), F.lit(None)).alias("a"), F.create_map("event_type", "user_id").alias("m"), F.col("event_type").alias("s"), (F.col("event_id") % 2 == 0).alias("t"))
+    return e.select(F.col("event_id").alias("id"), J.to_string(J.from_native(row)).alias("doc"))
+
+
+@query(f"WITH {EVENTS} SELECT event_id AS id, '{{\"' || event_type || '\":' || user_id || ',\"k\":' || k || '}}' AS doc FROM e WHERE event_type < 'k' UNION ALL SELECT event_id, '{{\"k\":' || k || ',\"' || event_type || '\":' || user_id || '}}' FROM e WHERE event_type > 'k'")
+def build_object_from(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names from columns; of the two values for k the last stays."""
+    e = events(spark, sf_dir)
+    user, k = J.from_native("user_id"), J.get_by_name("doc", "k")
+    return e.select(F.col("event_id").alias("id"), J.to_string(J.build_object_from(F.array(F.lit("k"), F.col("event_type"), F.lit("k")), F.array(user, user, k))).alias("doc"))
+
+
+@query(f"WITH {EVENTS} SELECT event_id, CAST(dense_rank() OVER (ORDER BY k) AS INTEGER) AS place FROM e")
 def sort_key_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).where("event_id < 500").withColumn("key", J.sort_key("doc"))
+    e = events(spark, sf_dir).withColumn("key", J.sort_key("doc"))
     place = e.select("key").distinct().withColumn("place", F.dense_rank().over(Window.orderBy("key")))
     return e.join(place, "key").select("event_id", "place")
 
 
-@query()
+@query("SELECT count(*) AS n, count(*) AS known, true AS small, true AS varied FROM events")
 def rand_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).select("event_id", J.to_string(J.rand_value(11)).alias("doc"))
+    """What holds of random documents: one for each row, of a known kind, of five members at most, and of all kinds."""
+    made = events(spark, sf_dir).select(J.rand_value(11).alias("doc"))
+    kind = J.type_of("doc")
+    size = F.coalesce(J.array_length("doc"), F.size(J.object_keys("doc")))
+    return made.agg(F.count("*").alias("n"), F.count_if(kind.isin("null", "boolean", "number", "string", "array", "object")).alias("known"), F.max(F.coalesce(F.nullif(size, F.lit(-1)), F.lit(0))).between(1, 5).alias("small"), (F.count_distinct(kind) == 6).alias("varied"))
 
 
 @query(f"WITH {EVENTS} SELECT event_type, event_id, k FROM e QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY k DESC, event_id) <= 3")
@@ -454,3 +650,35 @@ def conversation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = F.sort_array(F.collect_list(F.struct("turn", "role")))
     docs = c.groupBy(F.col("conv_id").alias("id")).agg(F.to_variant_object(turns).alias("doc"))
     return docs.select("id", J.array_length("doc").cast("bigint").alias("n"), F.to_json(J.get_by_path_array("doc", "$[*].role")).alias("roles"))
+
+
+# ---------------------------------------------------------------- sources, streaming, SQL
+
+
+@query(f"WITH {EVENTS} SELECT event_id, k FROM e")
+def read_parquet_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.read_parquet_text(spark, f"{sf_dir}/events.parquet", "props").select("event_id", J.as_i64(J.get_by_name("doc", "k")).alias("k"))
+
+
+@query(f"WITH {EVENTS} SELECT CAST(floor(epoch(ts) / 604800) AS BIGINT) AS week, CAST(k AS VARCHAR) AS key, count(*) AS n FROM e GROUP BY 1, 2")
+def event_time_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming aggregate over a table at rest."""
+    out = streaming.windowed_counts(events(spark, sf_dir), "ts", "doc", "$.k")
+    return out.select((F.unix_timestamp(F.col("window.start")) / 604800).cast("bigint").alias("week"), "key", "n")
+
+
+@query(f"WITH {RANKED} SELECT id, canon AS doc, CASE json_type(t) WHEN 'ARRAY' THEN CAST(json_array_length(t) AS INTEGER) END AS n, CASE WHEN kind_ IN (1, 2) THEN k END AS k, level FROM (SELECT r.*, id % 9 AS kind_, CAST(id % 50 AS BIGINT) AS k FROM r)")
+def sql_scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql.register(spark)
+    docs = mixed_docs(spark, sf_dir)
+    return docs.select(
+        "id", F.expr("jl_to_string(doc)").alias("doc"), F.expr("jl_array_length(doc)").alias("n"), F.expr("coalesce(jl_as_i64(jl_get_by_index(doc, 0)), jl_as_i64(jl_get_by_keypath(doc, '{b,c}')))").alias("k"),
+        F.expr("CASE jl_type_of(doc) WHEN 'null' THEN 7 WHEN 'array' THEN 6 WHEN 'object' THEN 5 WHEN 'string' THEN 4 WHEN 'number' THEN 3 ELSE if(jl_to_bool(doc), 2, 1) END").alias("level"),
+    )
+
+
+@query(f"WITH {ITEMS}, u AS (SELECT id, unnest(items) AS item, generate_subscripts(items, 1) - 1 AS pos FROM docs) SELECT id, CAST(pos AS INTEGER) AS pos, item.part AS part, 'flag,n,part' AS keys FROM u")
+def sql_table_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql.register(spark)
+    items = "SELECT o.id, e.pos, e.value FROM (SELECT id, jl_get_by_name(doc, 'items') AS items FROM {orders}) o, LATERAL jl_array_each(o.items) e"
+    return spark.sql(f"SELECT i.id, i.pos, max(CASE WHEN m.key = 'part' THEN jl_as_i64(m.value) END) AS part, array_join(array_sort(collect_list(m.key)), ',') AS keys FROM ({items}) i, LATERAL jl_object_each(i.value) m GROUP BY i.id, i.pos", orders=order_docs(spark, sf_dir))

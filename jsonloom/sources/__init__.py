@@ -18,16 +18,21 @@ def read_json_files(spark: SparkSession, path: str, name: str = "doc", lenient:
     return spark.read.text(path, wholetext=True).select(J.parse("value", lenient).alias(name))
 
 
+def read_json_variant(spark: SparkSession, path: str, name: str = "doc", **options: str) -> DataFrame:
+    """One document a line through Spark's own JSON reader (``singleVariantColumn``), which takes its options; it is strict."""
+    return spark.read.options(singleVariantColumn=name, **options).json(path)
+
+
 def read_parquet_text(spark: SparkSession, path: str, column: str, name: str = "doc") -> DataFrame:
     """A Parquet table with a text column parsed to documents beside its other columns."""
     df = spark.read.parquet(path)
     return df.select(*[c for c in df.columns if c != column], J.parse(column).alias(name))
 
 
-def read_wire(spark: SparkSession, path: str, column: str = "wire", name: str = "doc") -> DataFrame:
-    """A Parquet table with a column of wire bytes."""
+def read_wire(spark: SparkSession, path: str, column: str = "wire", name: str = "doc", tolerant: bool = False) -> DataFrame:
+    """A Parquet table with a column of wire bytes; damaged ones are an error, or NULL if ``tolerant``."""
     df = spark.read.parquet(path)
-    return df.select(*[c for c in df.columns if c != column], J.decode(column).alias(name))
+    return df.select(*[c for c in df.columns if c != column], (J.try_decode if tolerant else J.decode)(column).alias(name))
 
 
 def write_json_lines(df: DataFrame, path: str, doc: str = "doc") -> None:

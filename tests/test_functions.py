@@ -2,6 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from jsonloom import functions as J
+from jsonloom import values
+from jsonloom.functions import documents
 from jsonloom.values import render
 
 
@@ -11,35 +13,53 @@ def run(spark, f, *docs):
     return render(J.from_variant(out)) if type(out).__name__ == "VariantVal" else out
 
 
-OBJ = '{"a":1,"b":{"c":null,"d":[1,null]},"e":"x"}'
+SHIP = '{"name":"Vega","hold":{"cargo":null,"crates":[7,null]},"berth":40}'
+EMPTY = lambda text: F.parse_json(F.lit(text))
 CASES = [
-    (lambda v: J.get_by_index(v, 1), ["[1,2]"], "2"), (lambda v: J.get_by_index(v, 2), ["[1,2]"], None), (lambda v: J.get_by_index(v, 0), ['{"a":1}'], None),
-    (lambda v: J.get_by_name(v, "aa", ignore_case=True), ['{"Aa":1,"aA":2,"aa":3}'], "3"), (lambda v: J.get_by_name(v, "AA", ignore_case=True), ['{"aA":2,"Aa":1,"aa":3}'], "1"), (lambda v: J.get_by_name(v, "q\"'"), ['{"q\\"\'":7}'], "7"),
-    (lambda v: J.get_by_keypath(v, "{b,d,-2}"), [OBJ], "1"), (lambda v: J.get_by_keypath(v, "{}"), ["[1]"], "[1]"), (lambda v: J.get_by_keypath(v, "{b,c}"), [OBJ], "null"), (lambda v: J.get_by_keypath(v, "{b,0}"), [OBJ], None),
-    (lambda v: J.get_by_keypath(v, F.lit("{b,d,0}")), [OBJ], "1"), (lambda v: J.get_by_path(v, F.lit("$.b.d[*]")), [OBJ], "[1,null]"), (lambda v: J.get_by_path_array(v, "$.none"), [OBJ], "[]"),
-    (J.object_keys, [OBJ], ["a", "b", "e"]), (J.object_keys, ["[1]"], None), (J.array_length, ["[1,2,3]"], 3), (J.array_length, [OBJ], None),
-    (J.contains, ["[1,[1,3],\"a\"]", '"a"'], True), (J.contains, ["[1,[1,3]]", "[[1]]"], True), (J.contains, ["[[1,3]]", "[1,3]"], False), (J.contains, ['[{"a":1}]', '{"a":1}'], False), (J.contains, [OBJ, '{"b":{"d":[1]}}'], True),
-    (J.contains, ["[1]", "[1.0]"], False), (J.contains, ["[1,2]", "[2,2,1]"], True),
-    (lambda v: J.exists_all_keys(v, ["a", "e"]), [OBJ], True), (lambda v: J.exists_all_keys(v, ["a"]), ['["a",1]'], True), (lambda v: J.exists_all_keys(v, []), ["5"], False), (lambda v: J.exists_any_keys(v, ["z", "e"]), [OBJ], True),
-    (lambda v: J.exists_any_keys(v, ["a"]), ['"a"'], False), (lambda v: J.traverse_check_string(v, lambda s: s == "d"), [OBJ], True), (lambda v: J.traverse_check_string(v, lambda s: s == "no"), [OBJ], False),
-    (J.type_of, ["null"], "null"), (J.type_of, ["1.5"], "number"), (J.type_of, ["[]"], "array"), (J.type_of, ["{}"], "object"), (J.type_of, ['"s"'], "string"), (J.type_of, ["true"], "boolean"),
-    (J.as_i64, ["1"], 1), (J.as_i64, ["1.0"], None), (J.as_i64, ["18446744073709551615"], None), (J.as_u64, ["18446744073709551615"], 2**64 - 1), (J.as_u64, ["-1"], None), (J.as_f64, ["1"], 1.0), (J.as_bool, ["1"], None), (J.as_str, ['"a\\"b"'], 'a"b'),
-    (J.as_null, ["null"], True), (J.as_null, ["1"], None), (J.as_number, ['"1"'], None), (J.as_number, ["7"], "7"), (J.is_i64, ["1.0"], False), (J.is_u64, ["1"], True), (J.is_f64, ["1"], True),
-    (J.try_to_bool, ['"TRUE"'], True), (J.try_to_bool, ["1"], None), (J.try_to_i64, ['"+12"'], 12), (J.try_to_i64, ["true"], 1), (J.try_to_i64, ["1.5"], None), (J.try_to_i64, ['"1.5"'], None), (J.try_to_u64, ['"-1"'], None), (J.try_to_u64, ["false"], 0),
-    (J.try_to_f64, ['".5"'], 0.5), (J.try_to_f64, ['"inf"'], float("inf")), (J.try_to_f64, ['" 1"'], None), (J.try_to_str, ["1.0"], "1.0"), (J.try_to_str, ["1e20"], "1e20"), (J.try_to_str, ["true"], "true"), (J.try_to_str, ["[1]"], None),
-    (lambda a, b: J.build_array(a, b), ["null", '{"k":1}'], '[null,{"k":1}]'), (lambda a, b: J.build_object(z=a, k=b), ["1", "[2]"], '{"k":[2],"z":1}'),
-    (lambda a, b: J.build_object_from(F.array(F.lit("k"), F.lit("k")), F.array(a, b)), ["1", "2"], '{"k":2}'),
-    (J.concat, ["null", "null"], "[null,null]"), (J.concat, ['"asd"', "[1,2]"], '["asd",1,2]'), (J.concat, ['{"a":1,"b":2}', "[1]"], '[{"a":1,"b":2},1]'), (J.concat, ['{"a":1,"b":2,"d":10}', '{"a":3,"b":4}'], '{"a":3,"b":4,"d":10}'),
-    (lambda v: J.delete_by_name(v, "1"), ['["1","2",1,"1"]'], '["2",1]'), (lambda v: J.delete_by_name(v, "b"), ['{"b":2}'], "{}"), (lambda v: J.delete_by_name(v, "b", strict=False), ["1"], None),
-    (lambda v: J.delete_by_index(v, -4), ["[1,2,3]"], "[1,2,3]"), (lambda v: J.delete_by_index(v, -1), ["[1,2,3]"], "[1,2]"),
-    (lambda v: J.delete_by_keypath(v, "{b,0,d}"), ['{"a":1,"b":[{"c":1,"d":10},2,3]}'], '{"a":1,"b":[{"c":1},2,3]}'), (lambda v: J.delete_by_keypath(v, "{b,20,c,e}"), ['{"a":1,"b":[1]}'], '{"a":1,"b":[1]}'),
-    (lambda v: J.array_insert(v, -1, F.parse_json(F.lit("9"))), ["[1,2]"], "[1,9,2]"), (lambda v: J.array_insert(v, 10, F.parse_json(F.lit("9"))), ["1"], "[1,9]"), (lambda v: J.array_insert(v, -10, F.parse_json(F.lit("9"))), ["[1]"], "[9,1]"),
-    (lambda v: J.object_insert(v, "b", F.parse_json(F.lit("9"))), ['{"a":1}'], '{"a":1,"b":9}'), (lambda v: J.object_insert(v, "a", F.parse_json(F.lit("9")), update=True), ['{"a":1}'], '{"a":9}'), (lambda v: J.object_insert(v, "a", F.parse_json(F.lit("9")), strict=False), ['{"a":1}'], None),
-    (lambda v: J.object_delete(v, ["a", "q"]), ['{"a":1,"b":2}'], '{"b":2}'), (lambda v: J.object_pick(v, ["a", "q"]), ['{"a":1,"b":2}'], '{"a":1}'), (J.strip_nulls, [OBJ], '{"a":1,"b":{"d":[1,null]},"e":"x"}'), (J.strip_nulls, ['{"a":null}'], "{}"),
-    (J.array_distinct, ["[1,1.0,null,null,1,{\"a\":1},{\"a\":1}]"], '[1,1.0,null,{"a":1}]'), (J.array_distinct, ["5"], "[5]"), (J.array_intersection, ['["A","B","B","B","C"]', '["B","B"]'], '["B","B"]'), (J.array_except, ['["A","B","B","B","C"]', '["B","B"]'], '["A","B","C"]'),
-    (J.array_overlap, ["[null,1]", "[null]"], True), (J.array_overlap, ["[1]", "2"], False), (J.compare, ["[1,2]", "null"], -1), (J.to_string, ['{"b":1.50,"a":"\\n\\u0001"}'], '{"a":"\\n\x01","b":1.5}'),
-    (J.to_pretty_string, ['{"a":[1]}'], '{\n  "a": [\n    1\n  ]\n}'), (J.to_json_object, ["[1]"], None), (J.to_json_object, ['{"a":1}'], '{"a":1}'), (lambda v: J.decode(J.encode(v)), [OBJ], render({"a": 1, "b": {"c": None, "d": [1, None]}, "e": "x"})),
+    (lambda v: J.get_by_index(v, 1), ["[7,8]"], "8"), (lambda v: J.get_by_index(v, 2), ["[7,8]"], None), (lambda v: J.get_by_index(v, 0), ['{"x":7}'], None),
+    (lambda v: J.get_by_name(v, "xy", ignore_case=True), ['{"Xy":7,"xY":8,"xy":9}'], "9"), (lambda v: J.get_by_name(v, "XY", ignore_case=True), ['{"xY":8,"Xy":7,"xy":9}'], "7"), (lambda v: J.get_by_name(v, "w\"'"), ['{"w\\"\'":5}'], "5"),
+    (lambda v: J.get_by_keypath(v, "{hold,crates,-2}"), [SHIP], "7"), (lambda v: J.get_by_keypath(v, "{}"), ["[7]"], "[7]"), (lambda v: J.get_by_keypath(v, "{hold,cargo}"), [SHIP], "null"), (lambda v: J.get_by_keypath(v, "{hold,0}"), [SHIP], None),
+    (lambda v: J.get_by_keypath(v, F.lit("{hold,crates,0}")), [SHIP], "7"), (lambda v: J.get_by_keypath(v, F.lit("{hold,cargo}")), [SHIP], "null"), (lambda v: J.get_by_path(v, F.lit("$.hold.crates[*]")), [SHIP], "[7,null]"), (lambda v: J.get_by_path_array(v, "$.sail"), [SHIP], "[]"),
+    (J.object_keys, [SHIP], ["berth", "hold", "name"]), (J.object_keys, ["[7]"], None), (J.array_length, ["[7,8,9]"], 3), (J.array_length, [SHIP], None),
+    (J.contains, ['[4,[4,6],"y"]', '"y"'], True), (J.contains, ["[4,[4,6]]", "[[4]]"], True), (J.contains, ["[[4,6]]", "[4,6]"], False), (J.contains, ['[{"x":4}]', '{"x":4}'], False), (J.contains, [SHIP, '{"hold":{"crates":[7]}}'], True),
+    (J.contains, ["[4]", "[4.0]"], False), (J.contains, ["[4,6]", "[6,6,4]"], True),
+    (lambda v: J.exists_all_keys(v, ["name", "berth"]), [SHIP], True), (lambda v: J.exists_all_keys(v, ["x"]), ['["x",4]'], True), (lambda v: J.exists_all_keys(v, []), ["5"], True), (lambda v: J.exists_all_keys(v, ["x"]), ['"x"'], False), (lambda v: J.exists_all_keys(v, []), [None], None),
+    (lambda v: J.exists_any_keys(v, ["z", "berth"]), [SHIP], True), (lambda v: J.exists_any_keys(v, ["x"]), ['"x"'], False), (lambda v: J.exists_any_keys(v, []), ["[]"], False),
+    (lambda v: J.traverse_check_string(v, lambda s: s == "crates"), [SHIP], True), (lambda v: J.traverse_check_string(v, lambda s: s == "Ve"), [SHIP], False),
+    (J.type_of, ["null"], "null"), (J.type_of, ["2.5"], "number"), (J.type_of, ["[]"], "array"), (J.type_of, ["{}"], "object"), (J.type_of, ['"w"'], "string"), (J.type_of, ["false"], "boolean"),
+    (J.as_i64, ["6"], 6), (J.as_i64, ["6.0"], None), (J.as_i64, ["18446744073709551615"], None), (J.as_u64, ["18446744073709551615"], 2**64 - 1), (J.as_u64, ["-6"], None), (J.as_u64, ["6.0"], None), (J.as_f64, ["6"], 6.0), (J.as_bool, ["6"], None), (J.as_str, ['"w\\"x"'], 'w"x'),
+    (J.as_null, ["null"], True), (J.as_null, ["6"], None), (J.as_number, ['"6"'], None), (J.as_number, ["6"], "6"), (J.is_i64, ["6.0"], False), (J.is_u64, ["6"], True), (J.is_u64, ["6.0"], False), (J.is_f64, ["6"], True),
+    (J.try_to_bool, ['"FALSE"'], False), (J.try_to_bool, ["6"], None), (J.try_to_i64, ['"+67"'], 67), (J.try_to_i64, ["true"], 1), (J.try_to_i64, ["2.5"], None), (J.try_to_i64, ['"2.5"'], None), (J.try_to_u64, ['"-6"'], None), (J.try_to_u64, ["false"], 0),
+    (J.try_to_f64, ['".25"'], 0.25), (J.try_to_f64, ['"-inf"'], float("-inf")), (J.try_to_f64, ['" 6"'], None), (J.try_to_str, ["6.0"], "6.0"), (J.try_to_str, ["3e21"], "3e21"), (J.try_to_str, ["true"], "true"), (J.try_to_str, ["[6]"], None), (J.try_to_str, ["18446744073709551615"], "18446744073709551615"), (J.try_to_str, ["-6"], "-6"),
+    (lambda a, b: J.build_array(a, b), ["null", '{"w":6}'], '[null,{"w":6}]'), (lambda a, b: J.build_object(z=a, k=b), ["6", "[8]"], '{"k":[8],"z":6}'),
+    (lambda a, b: J.build_object_from(F.array(F.lit("w"), F.lit("w")), F.array(a, b)), ["6", "8"], '{"w":8}'),
+    (J.concat, ["null", "false"], "[null,false]"), (J.concat, ['"owl"', "[6,8]"], '["owl",6,8]'), (J.concat, ['{"p":6,"q":8}', "[6]"], '[{"p":6,"q":8},6]'), (J.concat, ['{"p":6,"q":8,"s":9}', '{"p":7,"q":5}'], '{"p":7,"q":5,"s":9}'),
+    (lambda v: J.delete_by_name(v, "owl"), ['["owl","elk",6,"owl"]'], '["elk",6]'), (lambda v: J.delete_by_name(v, "q"), ['{"q":8}'], "{}"), (lambda v: J.delete_by_name(v, "q", strict=False), ["6"], None),
+    (lambda v: J.delete_by_index(v, -4), ["[6,7,8]"], "[6,7,8]"), (lambda v: J.delete_by_index(v, -1), ["[6,7,8]"], "[6,7]"),
+    (lambda v: J.delete_by_keypath(v, "{hold,crates,1}"), [SHIP], '{"berth":40,"hold":{"cargo":null,"crates":[7]},"name":"Vega"}'), (lambda v: J.delete_by_keypath(v, "{hold,crates,9,x}"), ['{"hold":{"crates":[7]}}'], '{"hold":{"crates":[7]}}'),
+    (lambda v: J.delete_by_keypath(v, F.lit("{hold,cargo}")), [SHIP], '{"berth":40,"hold":{"crates":[7,null]},"name":"Vega"}'), (lambda v: J.delete_by_keypath(v, "{0,x}"), ['[{"x":1,"y":2},{"x":3}]'], '[{"y":2},{"x":3}]'), (lambda v: J.delete_by_keypath(v, "{}"), ["[6]"], "[6]"),
+    (lambda v: J.array_insert(v, -1, EMPTY("5")), ["[6,8]"], "[6,5,8]"), (lambda v: J.array_insert(v, 30, EMPTY("5")), ["6"], "[6,5]"), (lambda v: J.array_insert(v, -30, EMPTY("5")), ["[6]"], "[5,6]"),
+    (lambda v: J.object_insert(v, "q", EMPTY("5")), ['{"p":6}'], '{"p":6,"q":5}'), (lambda v: J.object_insert(v, "p", EMPTY("5"), update=True), ['{"p":6}'], '{"p":5}'), (lambda v: J.object_insert(v, "p", EMPTY("5"), strict=False), ['{"p":6}'], None),
+    (lambda v: J.object_delete(v, ["p", "t"]), ['{"p":6,"q":8}'], '{"q":8}'), (lambda v: J.object_pick(v, ["p", "t"]), ['{"p":6,"q":8}'], '{"p":6}'),
+    (J.strip_nulls, [SHIP], '{"berth":40,"hold":{"crates":[7,null]},"name":"Vega"}'), (J.strip_nulls, ['{"w":null}'], "{}"), (J.strip_nulls, ['[{"a":{"b":{"c":{"d":{"e":null,"f":":null"}}}}},null,6.0]'], '[{"a":{"b":{"c":{"d":{"f":":null"}}}}},null,6.0]'),
+    (J.array_distinct, ['[6,6.0,null,null,6,{"w":6},{"w":6}]'], '[6,6.0,null,{"w":6}]'), (J.array_distinct, ["6"], "[6]"), (J.array_distinct, ['["p","q","p"]'], '["p","q"]'), (J.array_distinct, ['["p",null,"p",null]'], '["p",null]'), (J.array_distinct, ["[]"], "[]"),
+    (J.array_intersection, ['["r","s","s","s","t"]', '["s","s","x"]'], '["s","s"]'), (J.array_except, ['["r","s","s","s","t"]', '["s","s"]'], '["r","s","t"]'), (J.array_intersection, ["[6,7,7]", "[7,8]"], "[7]"), (J.array_except, ["[6,7,7]", "[]"], "[6,7,7]"), (J.array_intersection, ["[6,7]", '["6"]'], "[]"),
+    (J.array_except, ["[[6],6.0]", "[6,[6]]"], "[6.0]"), (J.array_overlap, ["[null,6]", "[null]"], True), (J.array_overlap, ["[6]", "8"], False), (J.array_overlap, ['["p"]', '["q","p"]'], True), (J.array_overlap, ["[]", "[]"], False),
+    (J.compare, ["[6,8]", "null"], -1), (J.to_string, ['{"q":2.50,"p":"\\n\\u0001"}'], '{"p":"\\n\x01","q":2.5}'),
+    (J.to_pretty_string, ['{"p":[6]}'], '{\n  "p": [\n    6\n  ]\n}'), (J.to_json_object, ["[6]"], None), (J.to_json_object, ['{"p":6}'], '{"p":6}'), (lambda v: J.decode(J.encode(v)), [SHIP], '{"berth":40,"hold":{"cargo":null,"crates":[7,null]},"name":"Vega"}'),
 ]
+#: Constant right sides are compiled; they mean what they mean row by row.
+PARTS = ["{}", "[]", "6", "6.0", '"y"', "null", "true", '{"x":6}', '{"x":{}}', '{"x":[]}', '{"x":[{"y":null}]}', "[6]", "[6.0,6]", '["y",[6]]', "[[]]", "[{}]", '[{"x":6},null]', "18446744073709551615", '{"w\\"":1,"x":6}', "[true]"]
+WHOLES = [*PARTS, '{"x":[{"y":null,"z":1},6]}', '[6,"y",[6,7],{"x":6,"y":7},null,true,6.0]', '{"w\\"":1,"x":6,"y":2}', '{"x":{"x":6}}', "[[6],[[]],18446744073709551615]"]
+
+
+def test_constant_parts_are_contained_alike(spark):
+    df = spark.createDataFrame([(t,) for t in WHOLES], "t string").select("t", J.parse("t").alias("v"))
+    row = df.select("t", *(J.contains("v", J.document(p)).alias(f"c{i}") for i, p in enumerate(PARTS)))
+    assert "EvalPython" not in row._jdf.queryExecution().executedPlan().toString()
+    for r in row.collect():
+        for i, p in enumerate(PARTS):
+            assert r[f"c{i}"] == documents.contains(values.parse(r.t), values.parse(p)), (r.t, p)
 
 
 @pytest.mark.parametrize("case", range(len(CASES)))
@@ -61,13 +81,29 @@ def test_errors(spark, f, doc, what):
 
 
 def test_nulls_and_bad_text(spark):
-    df = spark.createDataFrame([(None,), ("[1,]",), ('{"a":1}',)], "t string")
+    df = spark.createDataFrame([(None,), ("[7,]",), ('{"a":1}',)], "t string")
     rows = df.select(J.path_exists(J.parse("t"), "$.a").alias("e"), J.get_by_path_first(J.parse("t"), "$.a").cast("string").alias("v"), J.parse_error("t").alias("x"), J.to_string(J.parse("t")).alias("s")).collect()
     assert [tuple(r) for r in rows] == [(None, None, None, None), (None, None, "expected value, pos 4", None), (True, "1", None, '{"a":1}')]
     lenient = spark.createDataFrame([('{ \\x0C "d": 5}',), ("x",)], "t string").select(J.to_string(J.parse("t", lenient=True)).alias("s"))
     assert [r["s"] for r in lenient.collect()] == ['{"d":5}', None]
 
 
+def test_damaged_and_odd_wire_bytes(spark):
+    nan, bad = values.encode([float("nan"), float("inf"), -0.5]), values.encode({"x": [6, "y"]})[:-1]
+    df = spark.createDataFrame([(bytearray(nan),), (bytearray(bad),), (None,), (bytearray(b"[6, 8]"),), (bytearray(b"\xff\xfe"),)], "w binary")
+    assert [r[0] for r in df.select(J.to_string(J.try_decode("w"))).collect()] == ["[NaN,inf,-0.5]", None, None, "[6,8]", None]
+    assert [r[0] for r in df.select(J.to_string(J.try_decode("w", text_too=False))).collect()] == ["[NaN,inf,-0.5]", None, None, None, None]
+    with pytest.raises(Exception, match="expected|EOF|Wire"):
+        df.select(J.to_string(J.decode("w"))).collect()
+
+
+def test_deep_documents(spark):
+    df = spark.createDataFrame([("[" * 400 + "]" * 400,), ("[" * 401 + "]" * 401,)], "t string").select(J.parse("t").alias("v"))
+    keys = [r[0] for r in df.select(J.order_key("v")).collect()]
+    assert keys[0] < keys[1] and df.select(J.sort_key("v")).count() == 2
+    assert [r[0] for r in df.select(F.length(J.to_string(J.decode(J.encode("v"))))).collect()] == [800, 802]
+
+
 def test_random_values_repeat(spark):
     make = lambda: [r[0] for r in spark.range(20, numPartitions=2).select(J.to_string(J.rand_value(5))).collect()]
     first = make()
@@ -75,10 +111,10 @@ def test_random_values_repeat(spark):
 
 
 def test_native_functions_have_no_python(spark):
-    df = spark.createDataFrame([(OBJ,)], "t string").select(J.parse("t").alias("v"))
+    df = spark.createDataFrame([(SHIP,)], "t string").select(J.parse("t").alias("v"))
     one = F.parse_json(F.lit("1"))
     native = [
-        J.get_by_path("v", "$.b.d[*]"), J.path_match("v", "$.a == 1"), J.get_by_keypath("v", "{b,d,0}"), J.get_by_name("v", "A", ignore_case=True), J.object_keys("v"), J.concat("v", one), J.delete_by_name("v", "a"),
+        J.get_by_path("v", "$.hold.crates[*]"), J.path_match("v", "$.berth == 40"), J.get_by_keypath("v", "{hold,crates,0}"), J.delete_by_keypath("v", "{hold,cargo}"), J.contains("v", J.document("[6]")), J.get_by_name("v", "A", ignore_case=True), J.object_keys("v"), J.concat("v", one), J.delete_by_name("v", "a"),
         J.array_insert("v", 0, one), J.object_insert("v", "n", one), J.object_pick("v", ["a"]), J.type_of("v"), J.try_to_i64("v"), J.exists_all_keys("v", ["a"]), J.build_array("v", one),
     ]
     plan = df.select(*(c.alias(f"c{i}") for i, c in enumerate(native)))._jdf.queryExecution().executedPlan().toString()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import contextlib
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -13,21 +13,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bytes of text that one step of a vectorised operator holds at a time.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that one step of a vectorised operator holds at a time; numpy needs up to a hundred times as much.
+SLICE_BYTES = 512 << 10
+#: Bytes of an Arrow batch between Spark and Python, about, and the setting for it with Spark's own value.
+BATCH_BYTES, BATCH_SETTING, BATCH_DEFAULT = "2m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+#: Has Spark drop the shuffles of an execution when it ends.
+CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, unless the session has a limit of its own: texts are long, and both sides hold whole batches."""
+    if spark.conf.get(BATCH_SETTING, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is executed inside leaves no shuffle files behind: its result is written elsewhere, and nothing reads its shuffles again."""
+    before = spark.conf.get(CLEANUP_SETTING, "false")
+    spark.conf.set(CLEANUP_SETTING, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP_SETTING, before)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that the session names.
 
-    Only a session that names none (as in tests) gets a folder of its own.
+    Only a local session that names none (as in tests) gets a folder of its own.
     """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_dropped(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -115,47 +137,75 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints, as ``checkpoint`` uses it."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="jsonloom-checkpoint-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="jsonloom-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
-_stored: list[str] = []
+class Work:
+    """Tables that an operator writes on the way to one result, in the shared folder.
+
+    Whoever has written the result clears them; those of a Work that nobody
+    clears go when the driver's Python ends. Other results are not touched.
+    """
+
+    _open: set[Work] = set()
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+        Work._open.add(self)
+
+    def store(self, df: DataFrame) -> DataFrame:
+        path = f"{checkpoint_dir(self.spark)}/{uuid.uuid4().hex}"
+        with shuffles_dropped(self.spark):
+            df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        jvm = self.spark.sparkContext._jvm
+        for path in [p for p, t in self.paths.items() if any(t is x for x in tables)]:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            del self.paths[path]
+
+    def clear(self) -> None:
+        self.drop(*self.paths.values())
+        Work._open.discard(self)
 
 
-def stored(df: DataFrame, sweep_later: bool = True) -> tuple[DataFrame, str]:
-    """Write a large intermediate result as a Parquet table in the shared folder; the table and its path, for ``discard``."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    if sweep_later:
-        _stored.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+@atexit.register
+def _clear_all() -> None:
+    for work in list(Work._open):
+        with contextlib.suppress(Exception):  # Spark may have ended before
+            work.clear()
 
 
-def discard(spark: SparkSession, *paths: str, rounds: int = 2) -> None:
-    """Delete stored tables that nothing reads any more, and let Spark drop the shuffles of plans that are gone."""
-    jvm = spark.sparkContext._jvm
-    for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        if path in _stored:
-            _stored.remove(path)
-    for _ in range(rounds):  # what the first round frees may hold what the second one does
-        gc.collect()
-        jvm.System.gc()
-        time.sleep(0.2)
+def fresh(name: str, taken: list[str]) -> str:
+    """A name like this one that is not taken."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
 
 
-def sweep(spark: SparkSession) -> None:
-    """Discard what operators have stored so far: for a caller who has written their results."""
-    discard(spark, *list(_stored))
+def kept_apart(keep: list[str], own: list[str]) -> list[str]:
+    """Names under which kept columns come back: their own, but with a line below if an operator's result has a column of that name."""
+    out: list[str] = []
+    for c in keep:
+        out.append(fresh(c, [*own, *out]))
+    return out
 
 
 def row_order(docs: DataFrame) -> DataFrame:
-    """Add ``ordinal``, a number in [0, 2**35) that orders documents by doc_id; rows that agree in doc_id and text share it.
+    """Add ``ordinal``, a number from 0 that orders documents by doc_id; rows that agree in doc_id and text share it.
 
     Where they may do so, a column ``text_key`` is added, too.
 
-    Ids that are such numbers and unique are taken as they are. Otherwise ids
+    Ids that are unique numbers from 0 to below 2**35 are taken as they are. Otherwise ids
     and hashes of texts are sorted by range and numbered from the sizes of the
     ranges, null ids first.
     """

@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts fall into words: letters, digits, bytes beyond ASCII; a point or comma
-between digits belongs to the number, and a number ends where letters begin.
-Upper case of ASCII and Latin-1 goes to lower case. Numbers (in digits or as
+Texts fall into words: letters, digits, bytes beyond ASCII but for the blocks of
+punctuation (general, of Latin-1, CJK and full width); each CJK sign is a word.
+A point or comma between digits belongs to the number, and a number ends where
+letters begin. Upper case of ASCII and Latin-1 goes to lower case. Numbers (in digits or as
 words) become <num>, a unit after one <unit>, a capitalised word inside a
 sentence <name>. Windows of WINDOW consecutive tokens are hashed with and
 without <name>, and with <name> for capitalised words that begin a sentence, too;
@@ -18,8 +19,9 @@ cover half of it, or LONG of its tokens.
 
 Items of 4 to WINDOW - 1 tokens are one window. Those of 2 or 3 are one window of
 their words as they are; an item of one word is found in a text of that word alone.
-Null and empty texts have no windows. Equal rows give equal results; null ids
-stay null.
+Null and empty texts have no windows. Every document row gives its own results,
+equal rows equal ones; null ids stay null. Very long texts are looked at whole,
+empty tables give no rows, and other columns are dropped, so none clashes.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashIndex, mix, slices
-from .windows import window_hashes
+from .common import HashIndex, checkpoint, mix, slices, small_batches
+from .windows import BYTES, weights, window_hashes
 
 WINDOW, SHORTEST, LONG, SHARE = 8, 4, 13, 0.5
 #: Words of a benchmark that documents are held against before the join, and windows that are broadcast, at most.
@@ -48,6 +50,19 @@ _letter = _upper | ((_byte >= 97) & (_byte <= 122)) | (_byte >= 128) | (_byte ==
 _stop = np.isin(_byte, list(b'.!?:;"\n'))
 
 
+def punctuation(data: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Whether each byte belongs to a sign of U+00A0-BF (but for letters), U+2000-206F, U+3000-303F or the signs of U+FF01-FF65."""
+    third = np.append(after[1:], 0).astype(np.uint8)
+    two = (data == 0xC2) & (after >= 0xA0) & (after <= 0xBF) & ~np.isin(after, [0xAA, 0xB5, 0xBA])
+    wide = (data == 0xEF) & (((after == 0xBC) & ((third <= 0x8F) | ((third >= 0x9A) & (third <= 0xA0)) | (third >= 0xBB))) | ((after == 0xBD) & ((third <= 0x80) | ((third >= 0x9B) & (third <= 0xA5)))))
+    three = ((data == 0xE2) & ((after == 0x80) | (after == 0x81))) | ((data == 0xE3) & (after == 0x80)) | wide
+    lead = two | three
+    out = lead.copy()
+    out[1:] |= lead[:-1]
+    out[2:] |= three[:-2]
+    return out
+
+
 class Tokens:
     """Tokens of texts, end to end: a hash of the lower-case word, and whether it is a number, unit or name."""
 
@@ -55,11 +70,13 @@ class Tokens:
         raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
         self.data = data = np.frombuffer(b"\n".join([b"", *raw, b""]), np.uint8)
         before, after = np.append(0, data[:-1]).astype(np.uint8), np.append(data[1:], 0).astype(np.uint8)
-        digit, letter = _digit[data], _letter[data]
+        digit, letter = _digit[data], _letter[data] & ~punctuation(data, after)
         number = digit | (((data == 46) | (data == 44)) & _digit[before] & _digit[after])
         solid = letter | number
         number_before, solid_before = np.append(False, number[:-1]), np.append(False, solid[:-1])
-        begins = solid & (~solid_before | (number_before & letter & (data < 128)))
+        # a CJK sign is a word of its own
+        sign = letter & (((data >= 0xE4) & (data <= 0xE9)) | ((data == 0xE3) & (after >= 0x81)))
+        begins = solid & (~solid_before | (number_before & letter & (data < 128)) | sign | np.append([False] * 3, sign[:-3])[: len(sign)])
         self.start = np.flatnonzero(begins)
         ends = np.cumsum([len(r) + 1 for r in raw]) + 1 if raw else np.zeros(0, np.int64)
         self.first = np.append(0, np.searchsorted(self.start, ends)).astype(np.int64)
@@ -71,15 +88,14 @@ class Tokens:
         last = np.append(count[self.start[1:]] - 2, count[-1] - 1) if n else np.zeros(0, np.int64)
         self.end = solid_at[last] + 1 if n else np.zeros(0, np.int64)
         wide = (before == 0xC3) & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
-        lower = np.where(_upper[data] | wide, data + 32, data).astype(np.uint64)
+        lower = np.where(_upper[data] | wide, data + 32, data)
         if not n:
             self.hash, self.number, self.unit, self.name, self.capital = np.zeros(0, np.uint64), *(np.zeros(0, bool) for _ in range(4))
             return
         lens = self.end - self.start
         at = np.arange(len(data)) - np.repeat(np.append(0, self.start), np.diff(np.append(np.append(0, self.start), len(data))))
         longest = int(lens.max())
-        power = np.cumprod(np.full(longest, 0x100000001B3, np.uint64))
-        values = np.where(solid, (lower + np.uint64(1)) * power[np.minimum(at, longest - 1)], np.uint64(0))
+        values = np.where(solid, BYTES[lower] * weights(longest)[np.minimum(at, longest - 1)], np.uint64(0))
         self.hash = mix(np.add.reduceat(values, self.start) + lens.astype(np.uint64)) | np.uint64(8)
         self.number = (np.add.reduceat((solid & ~number).astype(np.int32), self.start) == 0)
         if _special is not None:
@@ -135,7 +151,7 @@ def window_rows(texts: DataFrame, lengths: list[int], vocabulary: HashIndex | No
     """id, at (number of the token), length, hash, slots (texts of the tokens in slots, as 'place:value'), n_tokens, initial (whether they may begin a sentence), of texts with columns id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             tokens = Tokens(batch.column(1).to_pylist())
             for at, hashes, n, slot, initial in windows(tokens, lengths, vocabulary):
                 held = slot > 0
@@ -154,7 +170,7 @@ def word_hashes(texts: DataFrame) -> DataFrame:
     """word (a 63-bit hash) and n_tokens for each text's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             tokens = Tokens(batch.column(0).to_pylist())
             total = np.diff(tokens.first)
             yield pa.record_batch([pa.array((tokens.hash >> np.uint64(1)).astype(np.int64)), pa.array(total[tokens.of])], ["word", "n_tokens"])
@@ -172,12 +188,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col:
 
     One row for each document row and item that it contains; documents without any have none.
     """
-    found = located(docs.select(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("key")).alias("id"), F.col(text_col).cast("string").alias("text")), benchmark, window, item_col)
-    return found.select(F.col("id.doc_id").alias("doc_id"), "item_id", "n_covered", "n_item", "n_slots", "changed")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    found = checkpoint(located(rows.select(F.struct("doc_id", "key").alias("id"), "text"), benchmark, window, item_col))
+    found = found.select(F.col("id.doc_id").alias("own_id"), F.col("id.key").alias("own_key"), "item_id", "n_covered", "n_item", "n_slots", "changed")
+    # rows equal in id and text have been one so far
+    if found.count() <= MAX_BROADCAST:
+        found = F.broadcast(found)
+    out = rows.select("doc_id", "key").join(found, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("key") == F.col("own_key")))
+    return out.drop("key", "own_id", "own_key")
 
 
 def located(texts: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_col: str = "item_id") -> DataFrame:
     """As ``matches``, for texts with columns id, text; one row for each id and item."""
+    small_batches(texts.sparkSession)
     items = benchmark.select(F.col(item_col).alias("id"), F.col("text").cast("string").alias("text"))
     words = word_hashes(items)
     size = words.agg(F.count_distinct("word").alias("n")).first()["n"]

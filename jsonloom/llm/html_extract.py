@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, slices
+from .common import checkpoint, slices, small_batches
 
 #: A class's tokens are in the template if so many pages of the host, and this share of them, have them.
 MIN_PAGES, MIN_SHARE = 5, 0.9
@@ -301,6 +301,7 @@ def extract(text: str, template: Template | None) -> str:
 
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """Columns page_id, url, text, n_chars, of pages with page_id, url, html."""
+    small_batches(pages.sparkSession)
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     known = checkpoint(templates(rows, min_pages, min_share))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HashIndex, crc_mod, slices
+from .common import HashIndex, crc_mod, kept_apart, slices, small_batches
 
 #: Rows and characters that a language is learned from, at most.
 MAX_ROWS, BUDGET = 200, 40_000
@@ -198,21 +198,29 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, budget: int = BUDGET) -> Pars
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, **options) -> DataFrame:
-    """Columns: doc_id, held_out (crc32 of the id modulo 4 is 2), lang_pred, score, and the columns in ``keep``."""
+    """Columns: doc_id, held_out (crc32 of the id modulo 4 is 2), lang_pred, score, and the columns in ``keep``.
+
+    Rows are kept as they are, repeated ones too; an empty table gives none, and
+    very long texts are parsed whole. A kept column whose name the result has
+    too comes back with a line below after its name.
+    """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     shared = spark.sparkContext.broadcast(fit(rows, **options))
     extra = [c for c in keep or [] if c not in ("doc_id", "text")]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *extra)
+    carried = [f"keep_{i}" for i in range(len(extra))]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(k) for c, k in zip(extra, carried, strict=True)))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 256 << 10):
             langs, score = shared.value.predict(batch.column(1).to_pylist())
             kept = [batch.column(0), *([batch.column(1)] if "text" in (keep or []) else []), *batch.columns[2:]]
             yield pa.record_batch([*kept, pa.array(langs, pa.string()), pa.array(score)], names)
 
     kinds = dict(rows.dtypes)
-    names = ["doc_id", *(["text"] if "text" in (keep or []) else []), *extra, "lang_pred", "score"]
+    names = ["doc_id", *(["text"] if "text" in (keep or []) else []), *carried, "lang_pred", "score"]
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names[:-2]) + ", lang_pred string, score double"
-    out = rows.mapInArrow(predict, schema)
-    return out.withColumn("held_out", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)))
+    out = rows.mapInArrow(predict, schema).withColumn("held_out", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)))
+    back = kept_apart(extra, ["doc_id", "text", "lang_pred", "score", "held_out"])
+    return out.withColumnsRenamed(dict(zip(carried, back, strict=True)))

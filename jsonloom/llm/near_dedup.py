@@ -11,13 +11,16 @@ one isn't, the horizon is doubled.
 Texts with equal sets of shingles form a class, and one of them stands for it.
 BANDS bands of ROWS registers put these into buckets. All pairs of a small bucket
 are candidates. In a large one, texts are compared with a centre; what is then
-outside its largest component is compared with all of it, in blocks. Candidates are linked if the Jaccard similarity of their sets of shingles,
-computed exactly, is at least ``similarity``; linked classes form components.
+outside its largest component is compared with all of it, a block of the one
+with a block of the other at a time. Candidates are linked if the Jaccard
+similarity of their sets of shingles, computed exactly, is at least ``similarity``; linked classes form components.
 ``n_links`` counts the links of all pairs that share a bucket: those in a large
 bucket are counted in blocks, each pair in the first bucket that it shares.
 
 Null and empty texts have no shingle: each stands alone. Rows with equal doc_id
-and text count as one document and get the same answer.
+and text count as one document and get the same answer. Very long texts are
+signed whole, one at a time. An empty table gives no rows. A kept column whose
+name the result has too comes back with a line below after its name.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, discard, mix, row_order, slices, stored
+from .common import Work, checkpoint, kept_apart, mix, row_order, slices, small_batches
 from .components import components
 from .windows import Words, window_hashes
 
@@ -39,6 +42,8 @@ REGISTERS = BANDS * ROWS
 SMALL, BLOCK = 8, 500
 #: Classes in a block of those whose links are counted.
 COUNTED = 1000
+#: Shares of the rows of a component in a join on it.
+SHARES = 32
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,7 +102,7 @@ def sign(docs: DataFrame) -> DataFrame:
     """ordinal; set_a, set_b: two hashes of the set of shingles; bands: a key for each band. Without shingles: no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             n = batch.num_rows
             of, sh, counts = shingles(batch.column(1).to_pylist())
             some = np.bincount(of, minlength=n) > 0
@@ -120,7 +125,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     right = texts.select(F.col("ordinal").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text_a", 1 << 20):
+        for batch in slices(batches, "text_a", 256 << 10):
             n = batch.num_rows
             of_a, a, _ = shingles(batch.column(2).to_pylist())
             of_b, b, _ = shingles(batch.column(3).to_pylist())
@@ -135,18 +140,18 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def link(docs: DataFrame, similarity: float, count_links: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+def link(docs: DataFrame, similarity: float, work: Work, count_links: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
     """Classes (ordinal, member_of: the class's smallest ordinal), links that make the components (a > b), components of these, n_links by ordinal."""
-    signed, signed_path = stored(sign(docs))
+    signed = work.store(sign(docs))
     lead = signed.groupBy("set_a", "set_b").agg(F.min("ordinal").alias("member_of"))
     classes = checkpoint(signed.join(lead, ["set_a", "set_b"]).select("ordinal", "member_of"))
     heads = classes.where("ordinal = member_of").select("ordinal")
     keys = signed.join(heads, "ordinal", "left_semi").select("ordinal", F.posexplode("bands").alias("band", "bucket"))
     sizes = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("ordinal").alias("centre")).where("n > 1")
     members = checkpoint(keys.join(sizes, "bucket"))
-    discard(docs.sparkSession, signed_path)
+    work.drop(signed)
     involved = members.select("ordinal").distinct()
-    texts, _ = stored(docs.select("ordinal", "text").join(involved, "ordinal", "left_semi").dropDuplicates(["ordinal"]))
+    texts = work.store(docs.select("ordinal", "text").join(involved, "ordinal", "left_semi").dropDuplicates(["ordinal"]))
     star = members.select(F.col("ordinal").alias("a"), F.col("centre").alias("b"))
     small = members.where(F.col("n") <= SMALL)
     other = small.select("bucket", F.col("ordinal").alias("b"))
@@ -159,9 +164,6 @@ def link(docs: DataFrame, similarity: float, count_links: bool = True) -> tuple[
         near = links.join(within.where("a > b").distinct(), ["a", "b"], "left_semi")
         counts = near.select("a").unionByName(near.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links"))
         counts = checkpoint(counts.unionByName(counted(members, texts, similarity)).groupBy("a").agg(F.sum("n_links").alias("n_links")))
-        del near
-    del signed, lead, heads, keys, sizes, members, involved, star, small, other, within, pairs
-    discard(docs.sparkSession)
     own = components(links)
     if large.limit(1).count():
         open_ = unsettled(large, own)
@@ -169,8 +171,6 @@ def link(docs: DataFrame, similarity: float, count_links: bool = True) -> tuple[
         if found.limit(1).count():
             links = checkpoint(links.unionByName(found).distinct())
             own = components(links)
-        del open_, found
-        discard(docs.sparkSession)
     return classes, links, own, counts
 
 
@@ -232,17 +232,20 @@ def unsettled(large: DataFrame, own: DataFrame) -> DataFrame:
 def remaining(open_: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Links between different components of a bucket: those that join each member outside its largest component.
 
-    Such members go to all blocks of their bucket, and each other member to one.
-    In a block, texts are compared through an index of shingles, and of the
-    links of a member to a component one comes back, so rows are no more than
-    members times components.
+    Both such members and all of them fall into blocks, and each block of the
+    ones meets each of the others, so a task holds two blocks of texts whatever
+    the bucket. There, texts are compared through an index of shingles, and of
+    the links of a member to a component one comes back.
     """
     sizes = open_.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    most = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    most = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("of"), F.max("n").alias("most"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    most = most.select("bucket", "main", blocks(F.col("of")).alias("blocks"), blocks(F.col("of") - F.col("most")).alias("asking"))
     known = open_.join(most, "bucket").join(texts, "ordinal")
-    inside = known.select("bucket", F.pmod(F.xxhash64("ordinal"), F.col("blocks")).cast("int").alias("block"), "ordinal", "component", "text")
-    outside = known.where("component <> main").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("ordinal").alias("asked"), F.col("component").alias("kind"), F.col("text").alias("asked_text"))
-    outside = outside.withColumnsRenamed({"bucket": "of_bucket", "block": "of_block"})
+    place = lambda n: F.pmod(F.xxhash64("ordinal"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    inside = known.select("bucket", place(F.col("blocks")).alias("block"), each(F.col("asking")).alias("by"), "ordinal", "component", "text")
+    outside = known.where("component <> main").select(F.col("bucket").alias("of_bucket"), each(F.col("blocks")).alias("of_block"), place(F.col("asking")).alias("of_by"), F.col("ordinal").alias("asked"), F.col("component").alias("kind"), F.col("text").alias("asked_text"))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple[int, int]] = []
@@ -264,22 +267,29 @@ def remaining(open_: DataFrame, texts: DataFrame, similarity: float) -> DataFram
                     found.append((max(me, ids[other]), min(me, ids[other])))
         return pa.table([pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return outside.groupBy("of_bucket", "of_block").cogroup(inside.groupBy("bucket", "block")).applyInArrow(compare, "a long, b long")
+    return outside.groupBy("of_bucket", "of_block", "of_by").cogroup(inside.groupBy("bucket", "block", "by")).applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, count_links: bool = True) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, count_links: bool = True, work: Work | None = None) -> DataFrame:
     """Columns: doc_id, those in ``keep``, component (the smallest doc_id in it), kept (the first row of its component), n_links (of its class to others; without ``count_links``, among those that make the components), copies (documents in its class)."""
+    small_batches(docs.sparkSession)
+    work = work or Work(docs.sparkSession)
     extra = [c for c in keep or [] if c != id_col]
     carried = [f"keep_{i}" for i in range(len(extra))]
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(k) for c, k in zip(extra, carried, strict=True)))
     base = row_order(base)
-    classes, links, own, degree = link(base, similarity, count_links)
+    classes, links, own, degree = link(base, similarity, work, count_links)
     degree = degree if degree is not None else links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links"))
     copies = classes.groupBy(F.col("member_of").alias("head")).agg(F.count("*").alias("copies"))
     found = classes.join(copies, F.col("member_of") == F.col("head")).join(degree, F.col("member_of") == F.col("a"), "left").join(own, F.col("member_of") == F.col("node"), "left")
     found = found.select(F.col("ordinal").alias("own"), F.coalesce("component", "member_of").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "copies").dropDuplicates(["own"])
-    names = base.select("ordinal", F.col("doc_id").alias("first_id")).dropDuplicates(["ordinal"])
-    found = found.join(names, F.col("component") == F.col("ordinal")).drop("ordinal")
+    if "text_key" not in base.columns:  # ordinals are the ids themselves
+        found = found.withColumn("first_id", F.col("component").cast(dict(base.dtypes)["doc_id"]))
+    else:  # a component may have very many rows, so its name goes to all shares of them
+        names = base.select("ordinal", F.col("doc_id").alias("first_id")).join(found.select("component").distinct(), F.col("ordinal") == F.col("component"), "left_semi").dropDuplicates(["ordinal"])
+        names = names.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+        salted = found.withColumn("own_share", F.pmod(F.xxhash64("own"), F.lit(SHARES)).cast("int"))
+        found = salted.join(names, (F.col("component") == F.col("ordinal")) & (F.col("own_share") == F.col("share"))).drop("ordinal", "share", "own_share")
     out = base.join(found, F.col("ordinal") == F.col("own"), "left")
     # of equal rows one stays; where ids are unique there are none
     first_row = F.lit(True) if "text_key" not in base.columns else F.row_number().over(Window.partitionBy("ordinal").orderBy("text_key")) == 1
@@ -287,4 +297,4 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
         "doc_id", *carried, F.when(F.isnull("own"), F.col("doc_id")).otherwise(F.col("first_id")).alias("component"),
         (F.coalesce(F.col("component") == F.col("ordinal"), F.lit(True)) & first_row).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"),
     )
-    return out.withColumnsRenamed(dict(zip(carried, extra, strict=True)))
+    return out.withColumnsRenamed(dict(zip(carried, kept_apart(extra, ["doc_id", "component", "kept", "n_links", "copies"]), strict=True)))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, small_batches
 
 SAMPLE, SAMPLE_VALUES, BRANCHES, LEAF, RECALL, BLOCK = 20_000, 4_000_000, 8, 32, 0.98, 8_000
 #: Queries of the sample that the number of visits is calibrated on.
@@ -122,6 +122,7 @@ def valid(vector: str) -> Column:
 def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
     """Columns query_id, rank (from 1), vec_id, score; the k nearest of every row that ``queries`` (on column vec_id) picks."""
     spark = vectors.sparkSession
+    small_batches(spark)
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.isnotnull("vec_id") & valid("v"))
     kind = dict(rows.dtypes)["vec_id"]
     empty = spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")

@@ -7,7 +7,9 @@ sequences of equal length form buckets: sequence ids are dense, and those of a
 bucket follow each other.
 
 Null and empty texts have the end id alone. Repeated rows are packed each for
-itself. Other columns are dropped, so their names cannot clash.
+itself, and an empty table gives no pieces. A very long text is cut like any
+other; a very long word is merged rank by rank, in time that grows with its
+length. Other columns are dropped, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HashIndex, checkpoint, slices
+from .common import HashIndex, checkpoint, slices, small_batches
 from .merging import NONE, merge
 
 #: The split that ``Encoder`` knows: contractions, runs of letters, single digits, runs of other signs.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words whose ids a worker remembers.
 CACHE = 400_000
+#: Characters of a word that is remembered, at most.
+LONGEST = 64
 #: Letters of Latin-1 in lower case, then signs of ASCII: two pre-tokens of which neither merges into the other.
 PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
 _encoders: dict[str, Encoder] = {}
@@ -98,6 +102,9 @@ class Encoder:
         if new:
             self.parts.update(zip(new, self.merged(new), strict=True))
         self.known.update((w, self.parts[a] + self.parts[b] if b else self.parts[a]) for w, a, b in plain)
+        for p in new:
+            if len(p) > LONGEST:
+                del self.parts[p]
         if rest:
             ids = self.tokenizer.encode_batch(rest, add_special_tokens=False)
             self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest, ids, strict=True))
@@ -142,6 +149,9 @@ def encode(texts: list[str | None], tokenizer_path: str, end_id: int) -> list[by
             ids[at] = known[word]
         ids.append(end)
         out.append(b"".join(ids))
+    for word in new:
+        if len(word) > LONGEST:
+            del known[word]
     return out
 
 
@@ -159,11 +169,12 @@ def decompose(docs: DataFrame, tokenizer_path: str | None = None, end_id: int =
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), {}
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             coded = encode(batch.column(1).to_pylist(), tokenizer_path, end_id)
             of, start, length, ids, total, place = [], [], [], [], [], []
             for i, x in enumerate(coded):
@@ -188,12 +199,15 @@ def assign_sequences(pieces: DataFrame) -> DataFrame:
     """Give every piece a dense sequence_id and offset 0; buckets in falling length.
 
     The pieces are materialised first, so that ids hold if a task runs again.
-    What is numbered in one place are counts by task and length.
+    What is numbered in one place are counts by task, for one length, and the
+    counts of all lengths.
     """
     pieces = checkpoint(pieces)
     counts = pieces.groupBy("length", "bucket_part").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy(F.desc("length"), "bucket_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("length", "bucket_part", F.coalesce(before, F.lit(0)).alias("first"))
+    before = lambda order: F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lengths = counts.groupBy("length").agg(F.sum("n").alias("n")).select("length", before(Window.orderBy(F.desc("length"))).alias("base"))
+    within = counts.select("length", "bucket_part", before(Window.partitionBy("length").orderBy("bucket_part")).alias("within"))
+    starts = within.join(F.broadcast(lengths), "length").select("length", "bucket_part", (F.col("base") + F.col("within")).alias("first"))
     numbered = pieces.join(starts, ["length", "bucket_part"])
     return numbered.withColumns({"sequence_id": F.col("first") + F.col("bucket_row"), "offset": F.lit(0).cast("long")}).drop("first", "bucket_part", "bucket_row")
 

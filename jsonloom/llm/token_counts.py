@@ -9,7 +9,9 @@ and what survives is counted. Counts of pre-tokens are kept in a cache whose
 size is bounded, and a text's count is the sum over its pre-tokens.
 
 Null text counts as empty (0 bytes, 0 tokens). Rows are kept as they are,
-repeated ones too; other columns are dropped, so their names cannot clash.
+repeated ones too; other columns are dropped, so their names cannot clash. A
+very long text is a slice of its own, and a very long pre-token is merged rank
+by rank, in time that grows with its length. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashIndex, Known, slices
+from .common import HashIndex, Known, slices, small_batches
 from .merging import NONE, merge
 
 MARK = "▁"
 #: Pre-tokens whose counts a worker remembers.
 CACHE = 600_000
+#: Characters of a pre-token that is remembered, at most.
+LONGEST = 64
 PRETOKEN = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -113,6 +117,9 @@ def counts(texts: list[str | None], model_path: str) -> np.ndarray:
         of = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
         n += np.bincount(of, [known[w] for w in known.missing], len(texts)).astype(np.int64)
         known.missing = []
+        for w in new:
+            if len(w) > LONGEST:
+                del known[w]
     return n
 
 
@@ -122,10 +129,11 @@ def count_tokens(docs: DataFrame, model_path: str | None = None, limit: int = 40
         import public_tokenizers
 
         model_path = public_tokenizers.path("piece_bpe_32k.model")
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             texts = batch.column(1).to_pylist()
             n_bytes = [len(t.encode()) if t else 0 for t in texts]
             n = counts(texts, model_path)

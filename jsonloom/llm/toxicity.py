@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashIndex, Known, crc_mod, mix, slices
+from .common import HashIndex, Known, crc_mod, mix, slices, small_batches
 
 MAX_LABELLED = 40_000
 ORDER = 6
@@ -156,6 +156,7 @@ def scorer(shared):  # noqa: ANN001, ANN201
 def score(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Columns: doc_id, held_out (crc32 of the id modulo 5 is 0), score, predicted."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     marks = marks.where(crc_mod("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))

@@ -12,6 +12,15 @@ _blank = np.zeros(256, bool)
 _blank[[0x20, *range(9, 14)]] = True
 
 
+def weights(n: int) -> np.ndarray:
+    """Odd numbers without order, one for each place: a sum with powers of one base would let some long words meet."""
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
+
+
+#: A number without order for each byte.
+BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a list of texts, end to end.
 
@@ -36,8 +45,7 @@ class Words:
         lens = self.end - self.start
         place = np.arange(len(self.data)) - np.repeat(np.append(0, self.start), np.diff(np.append(np.append(0, self.start), len(self.data))))
         longest = int(lens.max())
-        power = np.cumprod(np.full(max(longest, 1), 0x100000001B3, np.uint64))
-        values = (self.data.astype(np.uint64) + np.uint64(1)) * power[np.minimum(place, longest - 1)]
+        values = BYTES[self.data] * weights(longest)[np.minimum(place, longest - 1)]
         values[_blank[self.data]] = 0
         sums = np.add.reduceat(values, self.start)
         return mix(sums + lens.astype(np.uint64) * np.uint64(BASE))
@@ -64,6 +72,11 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def second_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Another hash of the same windows: with the first, 128 bits."""
+    return window_hashes(mix(words ^ np.uint64(0x5851F42D4C957F2D)), n)
+
+
 def shifted(x: np.ndarray, by: int) -> np.ndarray:
     """x[i + by] at i, 0 beyond the end."""
     out = np.zeros_like(x)

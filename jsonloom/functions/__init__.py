@@ -161,9 +161,17 @@ def decoder(text_too: bool) -> Callable[[bytes], Value]:
     return run
 
 
+def _printed(v: Column, f: Callable[[Value], str]) -> Column:
+    """Compact text as Spark prints it where that is the same, else by f in Python."""
+    text = F.to_json(v)
+    # Spark escapes all control characters, and orders names by UTF-16 units
+    same = F.coalesce(plan.simple(v) & ~text.contains("\\u00") & ~text.rlike(r"[\x{E000}-\x{10FFFF}]"), F.lit(False))
+    return F.coalesce(F.when(same, text), _python(f, StringType(), F.when(~same, v)))
+
+
 def to_string(doc: Column | str) -> Column:
     """Compact text, members in the order of their names."""
-    return _python(values.render, StringType(), _col(doc))
+    return _printed(_col(doc), values.render)
 
 
 def to_pretty_string(doc: Column | str) -> Column:
@@ -172,7 +180,7 @@ def to_pretty_string(doc: Column | str) -> Column:
 
 def to_json(doc: Column | str) -> Column:
     """Strict JSON text; an error for numbers that are not finite."""
-    return _python(lambda v: values.render(values.plain(v)), StringType(), _col(doc))
+    return _printed(_col(doc), lambda v: values.render(values.plain(v)))
 
 
 def to_json_object(doc: Column | str) -> Column:
@@ -689,7 +697,16 @@ def array_overlap(left: Column | str, right: Column | str) -> Column:
     return _else_python(documents.array_overlap, BooleanType(), plain, F.arrays_overlap(a, b), v, w)
 
 
-# ---------------------------------------------------------------- order
+# ---------------------------------------------------------------- order and identity
+
+
+def identity_key(doc: Column | str) -> Column:
+    """Bytes that are equal for equal documents alone, for GROUP BY, DISTINCT and joins: Spark's text where it is exact, else made in Python, which gives the same where both can."""
+    v = _col(doc)
+    simple = F.coalesce(plan.simple(v), F.lit(False))
+    return F.coalesce(F.when(simple, F.encode(F.to_json(v), "utf-8")), _python(values.identity_bytes, BinaryType(), F.when(~simple, v)))
+
+
 
 
 def compare(left: Column | str, right: Column | str) -> Column:

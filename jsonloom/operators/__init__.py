@@ -1,7 +1,7 @@
 """Relational operators on document columns.
 
 VARIANT can't be grouped, sorted or joined on. These operators put a BINARY key
-beside it (wire bytes: equal documents; ``order_key``: order and numeric
+beside it (``identity_key``: equal documents; ``order_key``: order and numeric
 equality) and leave the rest to Catalyst, so aggregates combine before the
 shuffle and joins are hash or sort-merge joins. Columns that are added for a
 while get names that the tables don't have, so no column of theirs is lost.
@@ -24,7 +24,7 @@ def _fresh(name: str, *tables: DataFrame) -> str:
 
 
 def _key(doc: str | Column, numeric: bool) -> Column:
-    return J.order_key(doc) if numeric else J.encode(doc)
+    return J.order_key(doc) if numeric else J.identity_key(doc)
 
 
 def group_by_document(df: DataFrame, doc: str, *aggregates: Column, numeric: bool = False) -> DataFrame:
@@ -104,8 +104,8 @@ def except_documents(left: DataFrame, right: DataFrame, doc: str) -> DataFrame:
 
 def _known(left: DataFrame, right: DataFrame, doc: str, how: str) -> DataFrame:
     a, b = _fresh("left_key", left.select(doc)), _fresh("right_key", left.select(doc))
-    keys = right.select(J.encode(doc).alias(b)).distinct()
-    return left.select(doc, J.encode(doc).alias(a)).join(keys, F.col(a) == F.col(b), how).select(doc)
+    keys = right.select(_key(doc, False).alias(b)).distinct()
+    return left.select(doc, _key(doc, False).alias(a)).join(keys, F.col(a) == F.col(b), how).select(doc)
 
 
 def json_array_agg(doc: Column | str, order: Column | str) -> Column:

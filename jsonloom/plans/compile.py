@@ -195,6 +195,11 @@ def whole(v: Column) -> Column:
     return F.when((s == "BIGINT") | large, n)
 
 
+def simple(v: Column) -> Column:
+    """Whether all scalars in a document are null, booleans, strings or BIGINT, and its arrays are not mixed: then its text says all. NULL for NULL."""
+    return ~F.schema_of_variant(v).rlike("DECIMAL|DOUBLE|FLOAT|VARIANT|DATE|TIME|BINARY|UUID|INTERVAL")
+
+
 def as_decimal(n: int) -> Column:
     return F.lit(Decimal(n)).cast("decimal(38,0)")
 

@@ -32,4 +32,4 @@ def distinct_documents(df: DataFrame, time: str, doc: str, late: str = "1 day")
     """Each document once as long as the watermark remembers it; a column ``event_time`` is added if the time had to be cast."""
     stamped, _ = _stamped(df, time, late)
     key = _fresh("document_key", stamped)
-    return stamped.withColumn(key, J.encode(doc)).dropDuplicatesWithinWatermark([key]).drop(key)
+    return stamped.withColumn(key, J.identity_key(doc)).dropDuplicatesWithinWatermark([key]).drop(key)

@@ -119,3 +119,20 @@ def test_native_functions_have_no_python(spark):
     ]
     plan = df.select(*(c.alias(f"c{i}") for i, c in enumerate(native)))._jdf.queryExecution().executedPlan().toString()
     assert "EvalPython" not in plan
+
+
+def test_identity_keys_and_text_are_the_same_in_both_ways(spark):
+    """Where Spark's own text serves as key or is printed, Python gives the same; documents that differ have different keys."""
+    import random
+
+    rng = random.Random(7)
+    strings = ["", "a", "\x00", "\x07\x1f", '"\\\\/', "\b\f\n\r\t", "é\x7f\u2028", "\ue000", "😀", "😀a", "null", ":null"]
+    scalar = lambda: rng.choice([None, True, False, rng.randrange(-5, 5), 2**63 - 1, -(2**63), 2**64 - 1, 0.5, 1e21, 3.0, *strings])
+    made = lambda d: scalar() if d == 0 or rng.random() < 0.3 else [made(d - 1) for _ in range(rng.randrange(4))] if rng.random() < 0.5 else {rng.choice(strings): made(d - 1) for _ in range(rng.randrange(4))}
+    docs = [made(3) for _ in range(400)]
+    df = spark.createDataFrame([(bytearray(values.encode(d)),) for d in docs], "w binary").select(J.decode("w").alias("v"))
+    df = df.select("v", F.parse_json(F.to_json("v")).alias("again")).select(J.identity_key("v").alias("k"), J.to_string("v").alias("t"), J.plan.simple(F.col("v")).alias("simple")).collect()
+    assert 100 < sum(r.simple for r in df) < 390
+    for d, r in zip(docs, df, strict=True):
+        assert bytes(r.k) == values.identity_bytes(d) and r.t == values.render(d)
+    assert len({bytes(r.k) for r in df}) == len({values.encode(d) for d in docs})

@@ -3,24 +3,30 @@
 Tokens are elements with their path of tags and classes, and text nodes with
 theirs. Tokens that share their occurrence vector over the pages of a host
 (how often each page has them) form a class; the vector is summed up into a
-fingerprint, so no task gathers a host's pages. Classes of several tokens that
-nearly all pages have are valid and make the host's template. Elements that
-occur once a page nest by their paths into regions; the main region is an
-article or main element, or else the one reached by following, from the body
-down, whatever holds most of the text that is not in links. Blocks in its slots
-are extracted; text nodes that belong to the template itself are not.
-
-Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts
-and hidden elements are left out by tag, role, class or id, wherever they are.
-Classes and ids count as a whole, those of headings not at all; and an element
-is never left out for them if it holds more than half of a page's text outside
-links or, unless it is inside a main element itself, an article or main element.
-On pages whose host has no template, and on those that lack its main region,
-articles, main elements or else the whole body count.
+fingerprint, so no task gathers a host's pages. Classes that nearly all pages
+have are valid. Nested in each other by the paths of their elements, they make the
+host's template, and each of its elements that a page has once is a slot for what
+is inside it, but not inside a deeper one.
+
+The main region is the slot of an article or main element, or else the one
+reached by following, from the body down, the slot that holds most of the text
+outside links. The slots in it are extracted, without those whose text is mostly links or
+whose element bears a class or id of what stands beside a text (SIDE_WORDS), and
+without the template's own text nodes, unless these are most of a page's region,
+which then is a copied article. On a page whose host has no template, or that
+lacks its main region, articles or main elements count, or else the whole body,
+without elements of such a class or id.
+
+Menus, footers, asides, forms, scripts and hidden elements are left out by tag or
+role wherever they are, headers outside articles. Classes and ids count as whole
+words and on containers only, never on headings, paragraphs, cells or inline elements; and an element is never
+left out for them if it holds more than half of a page's text outside links or,
+unless it is inside a main element itself, an article or main element.
 
 Null or empty html gives an empty text, and so do pages with no such text. A
 null or unusable url counts as a host of its own. Rows are kept as they are,
-repeated ones too. Truncated pages give what they have.
+repeated ones too, and an empty table gives none. Truncated pages give what they
+have, and very long ones are handled whole. Other columns are dropped, so none clashes.
 """
 
 from __future__ import annotations
@@ -53,11 +59,18 @@ SIDE_TAGS = frozenset("nav footer aside form button menu dialog head".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
 SIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner masthead header footer sidebar aside nav navbar navigation menu breadcrumb breadcrumbs pagination pager "
-    "comment comments disqus reply replies respond discussion notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
-    "related recommended recommendations widget toolbar copyright disclaimer legal skip search tags toc".split()
+    "comment comments disqus reply replies respond notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
+    "related recommended recommendations widget toolbar copyright disclaimer skip search tags toc".split()
 )
 MAIN_TAGS = frozenset(["article", "main"])
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that a class or id may leave out.
+CONTAINERS = frozenset("dd details div dl fieldset figure header hgroup ol section table ul".split())
+#: Elements that may be the region of the main text.
+REGIONS = frozenset("article center dd details dialog div dl fieldset main section table tbody td tr".split())
+#: A slot with this share of its text in links, at least, is a list of links.
+LINKED = 0.6
+#: From the body down, a slot with this share of the text outside links holds the main text.
+HOLDS = 0.6
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -72,12 +85,12 @@ def kind_of(tag: str, rest: str) -> tuple[str, bool, bool, bool]:
     key = (tag, rest)
     if (known := _kinds.get(key)) is None:
         a = attributes(rest) if rest else {}
-        words = set() if tag in HEADINGS else set(f"{a.get('class', '')} {a.get('id', '')}".lower().split())
+        words = set(f"{a.get('class', '')} {a.get('id', '')}".lower().split()) if tag in CONTAINERS else set()
         role = a.get("role", "").lower()
         hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
         main = tag in MAIN_TAGS or role in ("main", "article") or a.get("itemprop", "") == "articleBody"
         side = tag in SIDE_TAGS or role in SIDE_ROLES or hidden
-        named = bool(words & SIDE_WORDS) and not side and not main and tag not in ("html", "body")
+        named = bool(words & SIDE_WORDS) and not side and not main
         classes = ".".join(sorted(c for c in a.get("class", "").split() if not any(x.isdigit() for x in c)))
         known = (f"{tag}.{classes}" if classes else tag, side, named, main)
         if len(_kinds) > 20_000:
@@ -90,28 +103,25 @@ class Page:
     """The elements and blocks of a page.
 
     elements: path -> [count, characters of text inside, of those in links, whether it is main]
-    blocks: (text, path of the innermost element at its start, paths around it, whether a main element is around)
+    named: number -> (path, whether it is spared), of elements with a class or id of what stands beside a text
+    blocks: (text, path of the innermost element at its start, whether a main element is around, numbers of the named elements around)
     """
 
     def __init__(self, text: str) -> None:
-        #: Numbers of start tags that are not left out for their class or id.
-        self.spared: frozenset[int] = frozenset()
-        self.begin(text)
-        if spared := frozenset(i for i, size, holds in self.named if holds or 2 * size > self.stack[0][8] > 0):
-            self.spared = spared
-            self.begin(text)
-
-    def begin(self, text: str) -> None:
         self.elements: dict[str, list] = {}
-        self.blocks: list[tuple[str, tuple[str, ...], bool]] = []
+        self.blocks: list[tuple[str, str, bool, tuple[int, ...]]] = []
+        self.named: dict[int, tuple[str, bool]] = {}
         self.buffer: list[str] = []
+        self._named: list[tuple[int, str, int, bool]] = []
+        # of each open element: tag, path, left out, numbers of the main elements around with the named ones around these, in a link, characters, in links,
+        # characters outside links, whether a main element is inside, its number if it is named, numbers of the named elements around, whether a main element is around
+        self.stack: list[list] = [["", "", False, (), False, 0, 0, 0, False, 0, (), False]]
         self.opened = 0
-        # elements with such a class or id: number, characters outside links, whether they hold the main element
-        self.named: list[tuple[int, int, bool]] = []
-        # of each open element: tag, path, left out, main, in a link, characters, in links;
-        # left out by tag or role, characters outside links and such elements, whether a main element is inside, number if its class or id may leave it out, main with elements so left out
-        self.stack: list[list] = [["", "", False, False, False, 0, 0, False, 0, False, 0, False]]
         self.parse(text)
+        total = self.stack[0][7]
+        self.named = {i: (path, holds or 2 * size > total > 0) for i, path, size, holds in self._named}
+        # a main element inside what is left out is none
+        self.blocks = [(t, path, any(all(self.named[i][1] for i in around) for around in mains), names) for t, path, mains, names in self.blocks]
 
     def parse(self, text: str) -> None:
         at, n = 0, len(text)
@@ -143,14 +153,15 @@ class Page:
 
     def text(self, text: str) -> None:
         top = self.stack[-1]
-        if not (top[7] or top[4]):
-            top[8] += len(text.strip())
-        if not top[2]:
-            self.buffer.append(text)
-            size = len(text)
-            top[5] += size
-            if top[4]:
-                top[6] += size
+        if top[2]:
+            return
+        self.buffer.append(text)
+        size = len(text.strip())
+        top[5] += size
+        if top[4]:
+            top[6] += size
+        else:
+            top[7] += size
 
     def open(self, tag: str, rest: str) -> None:
         if tag in BLOCK:
@@ -169,17 +180,16 @@ class Page:
                 elif self.stack[x][0] in rule[1]:
                     break
         top = self.stack[-1]
-        name, hard, named, main = kind_of(tag, rest)
-        if tag == "header":
-            hard = hard or not top[11]
+        name, side, named, main = kind_of(tag, rest)
         self.opened += 1
-        hard = hard or top[7]
-        side = hard or (named and self.opened not in self.spared)
+        side = side or top[2] or (tag == "header" and not top[11])
+        main = main and not side
         # inline elements do not make a path
         path = f"{top[1]}/{name}" if tag in BLOCK else top[1]
-        self.stack.append([tag, path, side or top[2], (main and not side) or top[3], tag == "a" or top[4], 0, 0, hard, 0, main and not hard, self.opened if named and not hard else 0, (main and not hard) or top[11]])
+        names = (*top[10], self.opened) if named and not side else top[10]
+        self.stack.append([tag, path, side, (*top[3], names) if main else top[3], tag == "a" or top[4], 0, 0, 0, main, self.opened if named and not side else 0, names, main or top[11]])
         if tag in BLOCK:
-            known = self.elements.setdefault(path, [0, 0, 0, main and not (side or top[2])])
+            known = self.elements.setdefault(path, [0, 0, 0, main])
             known[0] += 1
 
     def close(self, tag: str) -> None:
@@ -192,14 +202,14 @@ class Page:
                 return
 
     def pop(self) -> None:
-        tag, path, _, _, _, size, linked, _, plain, holds, number, _ = self.stack.pop()
+        tag, path, _, _, _, size, linked, plain, holds, number, _, _ = self.stack.pop()
         top = self.stack[-1]
         top[5] += size
         top[6] += linked
-        top[8] += plain
-        top[9] = top[9] or holds
+        top[7] += plain
+        top[8] = top[8] or holds
         if number:
-            self.named.append((number, plain, holds and not top[11]))
+            self._named.append((number, path, plain, holds and not top[11]))
         if tag in BLOCK:
             known = self.elements[path]
             known[1] += size
@@ -210,7 +220,8 @@ class Page:
             text = " ".join(html.unescape("".join(self.buffer)).split())
             self.buffer = []
             if text:
-                self.blocks.append((text, self.stack[-1][1], self.stack[-1][3]))
+                top = self.stack[-1]
+                self.blocks.append((text, top[1], top[3], top[10]))
 
 
 def host_of(url: str | None) -> str:
@@ -232,7 +243,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
                 host = host_of(url)
                 page = Page(text)
                 tokens = {p: v for p, v in page.elements.items()}
-                for block, path, _ in page.blocks:
+                for block, path, _, _ in page.blocks:
                     tokens.setdefault(node_key(path, block), [0, 0, 0, False])[0] += 1
                 tokens[""] = [1, 0, 0, False]
                 for token, (count, size, linked, main) in tokens.items():
@@ -255,48 +266,111 @@ def occurrences(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    """host and its template: tokens of valid classes as structs (token, once, size, linked, main)."""
+    """host and its template: valid classes, each an array of tokens as structs (token, once, size, linked, main)."""
     tokens = checkpoint(occurrences(pages))
     hosts = tokens.where("token = ''").where(F.col("pages") >= min_pages).select("host", F.col("pages").alias("of"))
-    frequent = tokens.where("token <> '' AND host <> ''").join(hosts, "host").where(F.col("pages") >= min_share * F.col("of"))
+    # what few pages have goes before anything is dealt by host, so a host's share does not grow with its pages
+    known = tokens.where("token <> '' AND host <> ''").where(F.col("pages") >= min_pages)
+    frequent = known.join(hosts, "host").where(F.col("pages") >= min_share * F.col("of"))
     token = F.struct("token", (F.col("pages") == F.col("total")).alias("once"), "size", "linked", "main")
-    classes = frequent.groupBy("host", "pages", "total", "print").agg(F.collect_list(token).alias("tokens")).where(F.size("tokens") > 1)
-    return classes.groupBy("host").agg(F.sort_array(F.flatten(F.collect_list("tokens"))).alias("template"))
+    classes = frequent.groupBy("host", "pages", "total", "print").agg(F.sort_array(F.collect_list(token)).alias("tokens"))
+    return classes.groupBy("host").agg(F.sort_array(F.collect_list("tokens")).alias("template"))
 
 
-class Template:
-    """The main region of a host, and the text nodes that belong to its template."""
+def above(path: str, slots) -> str:  # noqa: ANN001
+    """The deepest of the slots that a path is in, or that it is; '' if there is none."""
+    while path and path not in slots:
+        path = path[: path.rindex("/")]
+    return path
+
+
+def tag_of(path: str) -> str:
+    return path[path.rindex("/") + 1 :].split(".", 1)[0]
+
+
+class Slots:
+    """A nest of slots, and the region of the main text in it.
+
+    elements: path -> (characters inside, of those in links, whether it is main)
+    """
+
+    def __init__(self, elements: dict[str, tuple[int, int, bool]]) -> None:
+        self.size = elements
+        self.below: dict[str, list[str]] = {}
+        for path in elements:
+            self.below.setdefault(above(path[: path.rindex("/")], elements), []).append(path)
+        # what a slot holds itself, without the slots in it
+        self.own = {p: tuple(elements[p][i] - sum(elements[c][i] for c in self.below.get(p, [])) for i in (0, 1)) for p in elements}
+        self.root = self._main()
+
+    def plain(self, path: str) -> int:
+        return self.size[path][0] - self.size[path][1]
 
-    def __init__(self, tokens: list[dict]) -> None:
-        self.nodes = {t["token"] for t in tokens if t["token"][0] == "\t" and t["once"]}
-        once = [t for t in tokens if t["token"][0] == "/" and t["once"]]
-        mains = [t for t in once if t["main"] and t["size"] > 0]
-        self.root = None
+    def _main(self) -> str | None:
+        mains = [p for p, (size, _, main) in self.size.items() if main and size > 0]
         if mains:
-            self.root = max(mains, key=lambda t: (t["size"] - t["linked"], -len(t["token"])))["token"]
-        else:
-            inside = lambda t: t["size"] - t["linked"]
-            bodies = [t for t in once if t["token"].endswith("/body")]
-            here = bodies[0] if bodies else None
-            while here is not None:
-                self.root = here["token"]
-                below = [t for t in once if t["token"].startswith(here["token"] + "/") and inside(t) >= 0.6 * inside(here) > 0]
-                here = min(below, key=lambda t: len(t["token"]), default=None)
+            return max(mains, key=lambda p: (self.plain(p), -len(p), p))
+        here = next((p for p in sorted(self.size) if tag_of(p) == "body"), None)
+        while here is not None:
+            inside = self.below.get(here, [])
+            deeper = [c for c in inside if tag_of(c) in REGIONS and self.plain(c) >= HOLDS * self.plain(here) > 0]
+            # what has a title of its own is whole
+            if not deeper or (tag_of(here) != "body" and any(tag_of(c) == "h1" for c in inside)):
+                return here
+            here = max(deeper, key=lambda p: (self.plain(p), p))
+        return None
+
+    def links(self, path: str) -> bool:
+        """Whether a slot inside the region is a list of links."""
+        size, linked = self.own[path]
+        return path != self.root and linked > LINKED * size > 0
+
+
+class Template:
+    """A host's classes, nested: the classes inside each, its slots, and the text nodes that belong to it."""
+
+    def __init__(self, classes: list[list[dict]]) -> None:
+        elements = [[t for t in c if t["token"][0] == "/"] for c in classes]
+        self.nodes = {t["token"] for c in classes for t in c if t["token"][0] == "\t" and t["once"]}
+        self.slots = Slots({t["token"]: (t["size"], t["linked"], t["main"]) for c in elements for t in c if t["once"]})
+        #: Every element that nearly all pages have, and the number of its class.
+        self.classes = {t["token"]: i for i, c in enumerate(elements) for t in c}
+        self.inside = {i: self._around(c) for i, c in enumerate(elements) if c}
+
+    def _around(self, tokens: list[dict]) -> int | None:
+        """The class that a class is nested in: that of the deepest element around all of its own."""
+        own = {t["token"] for t in tokens}
+        paths = sorted(own)
+        common = paths[0][: paths[0].rindex("/")]
+        while common and not all(p.startswith(common + "/") for p in paths):
+            common = common[: common.rindex("/")]
+        around = above(common, self.classes)
+        return self.classes[around] if around else None
 
     def extract(self, page: Page) -> list[str] | None:
-        """The blocks in the main region; None if the page lacks it."""
-        if self.root is None or self.root not in page.elements:
+        """The blocks in the slots of the main region; None if the page lacks it."""
+        root = self.slots.root
+        if root is None or root not in page.elements:
             return None
-        under = self.root + "/"
-        return [text for text, path, _ in page.blocks if (path == self.root or path.startswith(under)) and node_key(path, text) not in self.nodes]
+        # a name leaves out only what the template has
+        out = {i for i, (path, spared) in page.named.items() if not spared and path in self.classes and path != root and not root.startswith(path + "/")}
+        blocks = [(text, node_key(path, text) in self.nodes) for text, path, _, names in page.blocks if (path == root or path.startswith(root + "/")) and out.isdisjoint(names) and not self.slots.links(above(path, self.slots.size))]
+        fixed = sum(len(t) for t, own in blocks if own)
+        whole = 2 * fixed > sum(len(t) for t, _ in blocks)
+        return [t for t, own in blocks if whole or not own]
+
+
+def by_itself(page: Page) -> list[str]:
+    """The main text of a page without a template."""
+    out = {i for i, (_, spared) in page.named.items() if not spared}
+    blocks = [(text, main) for text, _, main, names in page.blocks if out.isdisjoint(names)]
+    return [text for text, main in blocks if main] or [text for text, _ in blocks]
 
 
 def extract(text: str, template: Template | None) -> str:
     page = Page(text)
     blocks = template.extract(page) if template else None
-    if not blocks:
-        blocks = [b for b, _, main in page.blocks if main] or [b for b, _, _ in page.blocks]
-    return "\n\n".join(blocks)
+    return "\n\n".join(by_itself(page) if blocks is None else blocks)
 
 
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -309,7 +383,7 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     size = known.agg(F.coalesce(F.sum(F.length(F.to_json("template"))), F.lit(0))).first()[0]
     few = None
     if size <= MAX_BROADCAST:
-        few = {r["host"]: [t.asDict() for t in r["template"]] for r in known.collect()}
+        few = {r["host"]: [[t.asDict() for t in c] for c in r["template"]] for r in known.collect()}
     else:
         rows = rows.join(known, "host", "left").select("page_id", "url", "html", "host", "template")
     shared = rows.sparkSession.sparkContext.broadcast(few)

@@ -1,17 +1,23 @@
 """Approximate nearest neighbours by a hierarchical k-means tree with best-bin-first search.
 
-A tree of spherical k-means is fitted on a sample of at most SAMPLE vectors and
+A tree of spherical k-means is fitted on a sample of about SAMPLE vectors and
 SAMPLE_VALUES numbers; every vector is put into a leaf. A query walks the tree
 through a priority queue of nodes by their cosine, so that leaves come nearest
 first, and visits as many as gave queries of the sample RECALL of their true
-neighbours among the sample. In the leaves it visits, all vectors are compared.
-A leaf is dealt in blocks of at most about BLOCK vectors, so a very common
-vector's leaf is shared by many tasks.
-
-Vectors that are null, zero, or hold null or non-finite components take no
-part, nor do those without an id, or with another length than most. Ids that
-equal the query's are not its candidates; a query id that is there repeatedly
-is asked once. Scores are cosines in double precision; ties go to the smaller id.
+neighbours among the sample, and more until they hold k vectors beside its own.
+In the leaves it visits, all vectors are compared.
+
+Leaves are dealt into bins of about BIN vectors, neighbours together, a larger
+leaf into several; queries into blocks of about ASKED. A task compares one bin
+with one block, so it is bounded whatever a leaf holds. A query's row goes to a
+bin once, with the leaves that it visits there.
+
+Vectors that are null, zero, or hold null or non-finite components take no part,
+nor do those without an id. Vectors of another length than most are compared with
+all of their length. A query id that is there repeatedly is asked once, by the
+vector with the smallest hash; one row with that id and vector, its own, is no
+candidate, the others are. Scores are cosines in double precision; ties go to
+the smaller id. An empty table gives no rows; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -26,7 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, small_batches
 
-SAMPLE, SAMPLE_VALUES, BRANCHES, LEAF, RECALL, BLOCK = 20_000, 4_000_000, 8, 32, 0.98, 8_000
+SAMPLE, SAMPLE_VALUES, BRANCHES, LEAF, RECALL = 40_000, 4_000_000, 64, 32, 0.96
+#: Vectors of a bin and queries of a block, about, and queries that are compared at a time.
+BIN, ASKED, STEP = 8_000, 4_000, 256
 #: Queries of the sample that the number of visits is calibrated on.
 CALIBRATION = 400
 
@@ -51,7 +59,7 @@ class Tree:
     def _split(self, node: int, x: np.ndarray) -> None:
         if len(x) <= 2 * LEAF:
             return
-        centres = x[self.rng.choice(len(x), BRANCHES, replace=False)]
+        centres = x[self.rng.choice(len(x), min(BRANCHES, len(x) // LEAF), replace=False)]
         for _ in range(10):
             near = (x @ centres.T).argmax(1)
             sums = np.zeros_like(centres)
@@ -83,20 +91,23 @@ class Tree:
             todo = todo[[bool(self.children[n]) for n in node[todo]]]
         return np.array([self.leaf_of[n] for n in node], np.int64)
 
-    def order(self, cosines: np.ndarray, visits: int) -> list[int]:
-        """The first leaves by best-bin-first, given the query's cosine to every centre."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < visits:
+    def order(self, cosines: np.ndarray, visits: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first leaves by best-bin-first, given the query's cosine to every centre; more of them until they hold ``least`` vectors."""
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and (len(out) < visits or (sizes is not None and held < least)):
             _, node = heapq.heappop(queue)
             if below := self.children[node]:
                 for c in below:
                     heapq.heappush(queue, (-cosines[c], c))
             else:
-                out.append(self.leaf_of[node])
+                leaf = self.leaf_of[node]
+                out.append(leaf)
+                held += int(sizes[leaf]) if sizes is not None else 0
         return out
 
     def calibrate(self, x: np.ndarray, k: int, recall: float) -> None:
-        """Set ``visits`` to the fewest leaves that hold that share of the true neighbours of some of the sample."""
+        """Set ``visits`` to the fewest leaves that hold that share of the true neighbours of some of the sample; copies count once."""
+        x = np.unique(x, axis=0)
         leaf = self.assign(x)
         asked = self.rng.choice(len(x), min(CALIBRATION, len(x)), replace=False)
         needed = []
@@ -126,13 +137,13 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.isnotnull("vec_id") & valid("v"))
     kind = dict(rows.dtypes)["vec_id"]
     empty = spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
-    sizes = rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "width").first()
-    if sizes is None:
+    widths = rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "width").first()
+    if widths is None:
         return empty
-    width, n = sizes["width"], sizes["n"]
-    rows = rows.where(F.size("v") == width)
-    share = min(sample, SAMPLE_VALUES // width + 1) / n
-    drawn = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))).select("v").toArrow().column("v").combine_chunks()
+    width, n = widths["width"], widths["n"]
+    common = F.size("v") == width
+    share = min(1.0, min(sample, SAMPLE_VALUES // width + 1) / n)
+    drawn = rows.where(common & (F.rand(7) < share)).select("v").toArrow().column("v").combine_chunks()
     tree = Tree(unit(matrix(drawn, width)) if len(drawn) else np.ones((1, width)))
     if len(drawn) > 1:
         tree.calibrate(unit(matrix(drawn, width)), k, recall)
@@ -140,50 +151,111 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaf = shared.value.assign(unit(matrix(batch.column(1), width)))
+            lens = batch.column(1).value_lengths().to_numpy()
+            leaf = -lens.astype(np.int64)
+            usual = lens == width
+            if usual.any():
+                leaf[usual] = shared.value.assign(unit(matrix(batch.column(1).filter(pa.array(usual)), width)))
             yield pa.record_batch([pa.array(leaf), *batch.columns], ["leaf", "vec_id", "v"])
 
+    placed = checkpoint(rows.mapInArrow(assign, f"leaf long, vec_id {kind}, v array<double>"))
+    # as many rows as the tree has leaves, and as there are other lengths
+    counts = placed.groupBy("leaf").agg(F.count("*").alias("n")).orderBy("leaf").collect()
+    bins, parts, at, held = {}, {}, 0, 0
+    sizes = np.zeros(len(tree.leaves), np.int64)
+    for leaf, size in counts:
+        if held and held + size > BIN:
+            at, held = at + 1, 0
+        bins[leaf], parts[leaf] = at, -(-size // BIN)
+        if leaf >= 0:
+            sizes[leaf] = size
+        held += size
+        if parts[leaf] > 1:
+            at, held = at + parts[leaf], 0
+    where = F.broadcast(spark.createDataFrame([(leaf, bins[leaf], parts[leaf]) for leaf in bins], "leaf long, bin int, parts int"))
+    asked = rows.where(queries).groupBy("vec_id").agg(F.min_by("v", F.struct(F.xxhash64("v"), "v")).alias("v"))
+    asked = checkpoint(asked)
+    blocks = -(-asked.count() // ASKED) or 1
+    route = spark.sparkContext.broadcast((bins, parts, sizes))
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
+        bins, parts, sizes = route.value
         for batch in batches:
-            cosines = unit(matrix(batch.column(1), width)) @ tree.centres.T
-            leaves = [tree.order(c, tree.visits) for c in cosines]
-            yield pa.record_batch([pa.array(leaves, pa.list_(pa.int64())), *batch.columns], ["leaves", "query_id", "v"])
+            rows_, to, leaves = [], [], []
+            for i, v in enumerate(batch.column(1)):
+                v = np.array(v.as_py())
+                visited = tree.order(tree.centres @ unit(v[None])[0], tree.visits, sizes, k + 1) if len(v) == width else [-len(v)]
+                by: dict[int, list[int]] = {}
+                for leaf in visited:
+                    for part in range(parts.get(leaf, 0)):
+                        by.setdefault(bins[leaf] + part, []).append(leaf)
+                rows_ += [i] * len(by)
+                to += by.keys()
+                leaves += by.values()
+            yield pa.record_batch([pa.array(to, pa.int32()), pa.array(leaves, pa.list_(pa.int64())), *(c.take(pa.array(rows_, pa.int64())) for c in batch.columns)], ["bin", "leaves", "query_id", "v"])
 
-    placed = checkpoint(rows.mapInArrow(assign, f"leaf long, vec_id {kind}, v array<double>"))
-    # at most one count for each leaf of a tree of bounded size
-    blocks = F.broadcast(placed.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")))
-    dealt = placed.join(blocks, "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "v")
-    asked = rows.where(queries).dropDuplicates(["vec_id"]).mapInArrow(visit, f"leaves array<long>, query_id {kind}, v array<double>")
-    asked = asked.select(F.explode("leaves").alias("leaf"), "query_id", "v").join(blocks, "leaf")
-    asked = asked.select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_id", "v")
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    dealt = placed.join(where, "leaf").select((F.col("bin") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int").alias("bin"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "leaf", "vec_id", "v")
+    asking = asked.mapInArrow(visit, f"bin int, leaves array<long>, query_id {kind}, v array<double>").withColumn("block", block("query_id"))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[list] = [[], [], []]
         if left.num_rows and right.num_rows:
-            q, x = (matrix(t.column("v").combine_chunks(), width) for t in (left, right))
-            ids, names = right.column("vec_id").to_numpy(), left.column("query_id").to_numpy()
-            nx = unit(x)
-            for i in range(len(q)):
-                near = nx @ unit(q[i : i + 1])[0]
-                near[ids == names[i]] = -np.inf
-                if len(near) > k:
-                    at = np.flatnonzero(near >= np.partition(near, -k)[-k] - 1e-9)
-                else:
-                    at = np.arange(len(near))
-                at = at[near[at] > -np.inf]
-                score = cosine(q[i], x[at])
-                best = np.lexsort((ids[at], -score))[:k]
-                found[0] += [names[i]] * len(best)
-                found[1] += ids[at[best]].tolist()
-                found[2] += score[best].tolist()
+            leaf, ids = right.column("leaf").to_numpy(), right.column("vec_id").to_numpy()
+            order = np.argsort(leaf, kind="stable")
+            leaf, ids = leaf[order], ids[order]
+            vectors = right.column("v").combine_chunks().take(pa.array(order))
+            kinds, starts = np.unique(leaf, return_index=True)
+            ends = np.append(starts[1:], len(leaf))
+            names, wanted = left.column("query_id").to_numpy(), left.column("leaves").to_pylist()
+            groups = {int(x): (int(a), int(b)) for x, a, b in zip(kinds, starts, ends, strict=True)}
+            lens = left.column("v").combine_chunks().value_lengths().to_numpy()
+            for size in np.unique(lens).tolist():
+                own = np.flatnonzero(lens == size)
+                of = {x: s for x, s in groups.items() if (x == -size if size != width else x >= 0)}
+                if not of:
+                    continue
+                low, high = min(a for a, _ in of.values()), max(b for _, b in of.values())
+                x, here = matrix(vectors.slice(low, high - low), size), ids[low:high]
+                nx = unit(x)
+                for begin in range(0, len(own), STEP):
+                    at = own[begin : begin + STEP]
+                    q = matrix(left.column("v").combine_chunks().take(pa.array(at)), size)
+                    for i, pick in zip(at, nearest_in(q, x, nx, here, names[at], [[(of[y][0] - low, of[y][1] - low) for y in wanted[j] if y in of] for j in at], k), strict=True):
+                        found[0] += [names[i]] * len(pick[0])
+                        found[1] += pick[0]
+                        found[2] += pick[1]
         return pa.table([pa.array(found[0], left.schema.field("query_id").type), pa.array(found[1], right.schema.field("vec_id").type), pa.array(found[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    pairs = asked.groupBy("leaf", "block").cogroup(dealt.groupBy("leaf", "block")).applyInArrow(compare, f"query_id {kind}, vec_id {kind}, score double")
+    pairs = asking.groupBy("bin", "block").cogroup(dealt.groupBy("bin", "block")).applyInArrow(compare, f"query_id {kind}, vec_id {kind}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def nearest_in(q: np.ndarray, x: np.ndarray, nx: np.ndarray, ids: np.ndarray, names: np.ndarray, spans: list[list[tuple[int, int]]], k: int) -> Iterator[tuple[list, list]]:
+    """For each query, ids and scores of the k nearest in its spans of x, but for one row with its own id and vector."""
+    near = np.full((len(q), len(x)), -np.inf)
+    nq = unit(q)
+    by: dict[tuple[int, int], list[int]] = {}
+    for i, own in enumerate(spans):
+        for span in own:
+            by.setdefault(span, []).append(i)
+    for (a, b), at in by.items():
+        near[at, a:b] = nq[at] @ nx[a:b].T
+    for i in range(len(q)):
+        row = near[i]
+        twin = np.flatnonzero((ids == names[i]) & (row > -np.inf))
+        twin = twin[(x[twin] == q[i]).all(1)]
+        row[twin[:1]] = -np.inf
+        at = np.flatnonzero(row > -np.inf)
+        if len(at) > k:
+            at = at[row[at] >= np.partition(row[at], -k)[-k] - 1e-9]
+        score = cosine(q[i], x[at])
+        best = np.lexsort((ids[at], -score))[:k]
+        yield ids[at[best]].tolist(), score[best].tolist()
+
+
 def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Cosines summed in the same order whatever else is in ``x``, so that equal vectors tie."""
     if not len(x):

@@ -1,15 +1,18 @@
 """Sharding by sampled splitters: records are range-partitioned on a sampled key, shards hold nearly equal bytes.
 
-The key is (hash of the text, hash of the row), so equal texts lie side by
-side. A sample of keys, drawn with chance proportional to size, gives quantile
+The key is (hash of the text, hash of the id), so equal texts lie side by side,
+and the shard of a document does not depend on how the table is split; the lowest
+bits of the latter differ for rows that are equal in both, which are
+interchangeable. A sample of keys, drawn with chance proportional to size, gives quantile
 boundaries of many more ranges than shards. A group of equal texts that takes
 several boundaries is overfull: it is subdivided by the hash of the row. All
 other boundaries are moved to the start of their group, so such groups stay
 whole. Exact sizes of the ranges then tell at which byte a record or group
 lies, and the shard that holds the middle of it takes it.
 
-Null texts count as empty. Rows that agree in every column that counts are
-interchangeable; each gets its own slot. Other columns are dropped.
+Null texts count as empty. Rows that agree in every column that counts each get
+a slot of their own. A very long text is one record, however large; an empty table
+gives no rows. Other columns are dropped.
 """
 
 from __future__ import annotations
@@ -25,13 +28,15 @@ from .common import checkpoint
 
 #: Ranges for each shard, and expected sampled keys for each range.
 RANGES, SAMPLES = 48, 8
+#: Bits of the hash of a row that tell equal rows apart.
+FREE_BITS = 16
 
 
 def splitters(rows: DataFrame, total: int, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     """Boundaries (text hash, row hash), at most ``ranges`` of them, from a sample of about ranges * SAMPLES keys."""
     share = total / (ranges * SAMPLES)
     # a record is drawn once for each multiple of `share` that it holds, and by chance for the rest
-    chance = F.pmod(F.xxhash64("row_hash", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
+    chance = F.pmod(F.xxhash64(F.shiftright("row_hash", FREE_BITS), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     drawn = rows.withColumn("times", F.floor(F.col("size") / share + chance)).where("times > 0")
     keys = drawn.select("text_hash", "row_hash", "times").toPandas().sort_values(["text_hash", "row_hash"], ignore_index=True)
     upto = np.cumsum(keys["times"].to_numpy())
@@ -52,7 +57,9 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     rows = rows.select("doc_id", (F.octet_length("text") + 16).cast("long").alias("size"), F.crc32(F.encode("text", "utf-8")).alias("text_crc32"), F.xxhash64("text").alias("text_hash"))
     # of equal rows, each gets a key of its own: a group of them must not be stuck on one
-    rows = rows.withColumn("row_hash", F.xxhash64("doc_id", "size", F.monotonically_increasing_id()))
+    free = (1 << FREE_BITS) - 1
+    own, apart = F.xxhash64("doc_id", "size"), F.xxhash64(F.monotonically_increasing_id())
+    rows = rows.withColumn("row_hash", own.bitwiseAND(F.lit(~free)).bitwiseOR(apart.bitwiseAND(F.lit(free))))
     rows = checkpoint(rows)
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     ranges = shards * RANGES
@@ -67,9 +74,9 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
             at = np.searchsorted(values, text_hash)
             in_range = np.append(first, len(text_cut))[at]
             own = (at < len(values)) & (np.append(values, 0)[at] == text_hash)
-            for i in np.flatnonzero(own):
-                a, b = first[at[i]], last[at[i]]
-                in_range[i] = a + np.searchsorted(row_cut[a:b], row_hash[i], side="right")
+            for group in np.unique(at[own]):
+                rows_, a, b = np.flatnonzero(own & (at == group)), first[group], last[group]
+                in_range[rows_] = a + np.searchsorted(row_cut[a:b], row_hash[rows_], side="right")
             yield x.assign(in_range=in_range.astype(np.int32), whole=~np.isin(text_hash, split))
 
     kept = "doc_id, size, text_crc32, text_hash, row_hash"

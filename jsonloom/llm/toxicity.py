@@ -10,9 +10,11 @@ root of the number of words, and a logistic function, fitted on labelled rows
 that were not counted, turns it into a score.
 
 Models are fitted on about MAX_LABELLED labelled rows at most, chosen by a hash
-of their id. Counts are document frequencies; six-character parts seen in one
-labelled document alone are left out. Null and empty texts get the score of a
-text without words. Labels that are null, and ids without text, teach nothing;
+of their id. Counts are document frequencies, of parts seen once, too: discounts
+and continuation counts rest on these. Models end at the borders of words, so an
+expression of several words counts by its words. Null and empty texts get the
+score of a text without words. Very long texts are scored whole, rows are kept as
+they are, an empty table gives none, and other columns are dropped. Labels that are null, and ids without text, teach nothing;
 of several labels of an id, the largest holds. If one class has no rows, the
 score is the smoothed share of toxic rows.
 """
@@ -181,7 +183,7 @@ def score(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
             yield pa.record_batch([pa.array([text[i : i + ORDER] for i in range(0, len(text), ORDER)]), pa.array(sums[0]), pa.array(sums[1])], ["gram", "ordinary", "toxic"])
 
     grams = taught.where(~fold).select("text", "toxic").mapInArrow(count, "gram string, ordinary long, toxic long")
-    grams = grams.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).where("ordinary + toxic > 1").toPandas()
+    grams = grams.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).toPandas()
     slope, intercept, shared = 0.0, None, None
     if (grams["toxic"] > 0).any() and (grams["ordinary"] > 0).any():
         grams = grams.sort_values("gram", ignore_index=True)

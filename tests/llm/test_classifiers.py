@@ -129,15 +129,81 @@ def test_toxicity_odd_rows(spark, odd, none):
     assert len({r.score for r in flat}) == 1
 
 
+class Plain:
+    """Kneser-Ney models of both classes with shared continuation counts, written out over dictionaries."""
+
+    def __init__(self, counts):
+        self.counts, self.grams, d = counts, set(counts[0]) | set(counts[1]), T.DISCOUNT
+        self.d, self.letters = d, {g[-1] for g in self.grams}
+
+    def shared(self, context, letter):
+        """The share of a letter among the kinds of parts that go on from a context."""
+        if context is None:
+            return 1 / len(self.letters)
+        k = len(context) + 1
+        kinds = {g[-k - 1 :] for g in self.grams}
+        total = sum(x[1:-1] == context for x in kinds)
+        below = self.shared(context[1:] if context else None, letter)
+        if not total:
+            return below
+        own = sum(x[1:] == context + letter for x in kinds)
+        follow = len({x[1:] for x in kinds if x[1:-1] == context})
+        return (max(own - self.d, 0) + self.d * follow * below) / total
+
+    def chance(self, label, context, letter):
+        n = self.counts[label]
+        total, follow = sum(v for g, v in n.items() if g[:-1] == context), sum(v > 0 and g[:-1] == context for g, v in n.items())
+        below = self.shared(context[1:], letter)
+        if not total:
+            return below
+        return max(n.get(context + letter, 0) - self.d, 0) / total + self.d * follow / total * below
+
+
+def small_models():
+    texts = [["aab", "aac", "aba", "bab", "aab", "c"], ["aab", "bca", "bb", "cab"]]
+    counts = [{}, {}]
+    for label, words in enumerate(texts):
+        chars, _ = T.grams_of(words)
+        for row in chars:
+            g = "".join(map(chr, row))
+            counts[label][g] = counts[label].get(g, 0) + 1
+    grams = sorted(set(counts[0]) | set(counts[1]))
+    n = [np.array([c.get(g, 0) for g in grams]) for c in counts]
+    return Plain(counts), T.Model(grams, *n), grams
+
+
 def test_models_sum_to_one():
     """The probabilities of all that may follow a known context sum to one, for both classes."""
-    words = ["aab", "aac", "aba", "bab", "aab"]
-    chars, of = T.grams_of(words)
-    grams = sorted({"".join(map(chr, row)) for row in chars})
-    n = np.array([sum("".join(map(chr, row)) == g for row in chars) for g in grams])
-    model = T.Model(grams, n, np.zeros(len(grams), int) + (np.arange(len(grams)) % 2))
-    assert np.isfinite(model.ratio).all() and np.isfinite(model.backoff).all()
-    assert model.weigh(["aab", "zzz"]).shape == (2,)
+    plain, _, grams = small_models()
+    for context in {g[:-1] for g in grams}:
+        for label in (0, 1):
+            assert abs(sum(plain.chance(label, context, x) for x in plain.letters) - 1) < 1e-12
+
+
+def test_model_against_brute_force():
+    """Ratios of parts, known and unknown, and what a text adds up to, against models that are written out."""
+    plain, model, _ = small_models()
+    words = ["aab", "abc", "bca", "ccc", "a", "zab", "cabba"]
+    expected = []
+    for w in words:
+        text, total = T.PAD * (T.ORDER - 1) + w + T.END, 0.0
+        for i in range(T.ORDER - 1, len(text)):
+            context, letter = text[i - T.ORDER + 1 : i], text[i]
+            if letter in plain.letters or any(g[:-1] == context for g in plain.grams):
+                total += np.log(plain.chance(1, context, letter) / plain.chance(0, context, letter))
+        expected.append(np.logaddexp(np.log1p(-T.SHARE), np.log(T.SHARE) + total))
+    assert np.allclose(model.weigh(words), expected, atol=1e-12)
+    got = T.normalised([" ".join(words), "", None, "aab aab"], model, T.Known(0.0))
+    assert np.allclose(got, [sum(expected) / np.sqrt(len(words)), 0, 0, 2 * expected[0] / np.sqrt(2)])
+
+
+def test_parts_seen_once_count(spark):
+    """A rare toxic word that one labelled document has makes a text with it more suspicious than one without."""
+    rows = [(i, f"plain words about day {i % 9} and night", 0) for i in range(300)] + [(1000 + i, f"plain words with vile{'xyz'[i % 3]} in them", 1) for i in range(60)] + [(2000, "plain words with grobnik in them", 1)]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows] + [(3001, "words about grobnik and day"), (3002, "words about gardens and day")], "doc_id long, text string")
+    marks = spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in T.score(docs, marks).collect()}
+    assert remainder(2000, 25) >= 5 and got[3001] > got[3002]
 
 
 @pytest.mark.parametrize("slope", [0.5, 3.0])
@@ -147,3 +213,10 @@ def test_logistic(slope):
     y = (rng.random(4000) < 1 / (1 + np.exp(-(slope * x - 1)))).astype(float)
     a, b = T.fit_logistic(x, y)
     assert abs(a - slope) < 0.35 and abs(b + 1) < 0.3
+
+
+def test_kept_columns_with_names_of_results(spark):
+    docs = spark.createDataFrame([(1, "some words", "en", 7.0, "x")], "doc_id long, text string, lang string, score double, lang_pred string")
+    out = L.identify(docs, keep=["text", "score", "lang_pred"])
+    row = out.collect()[0].asDict()
+    assert row["score_"] == 7.0 and row["lang_pred_"] == "x" and row["lang_pred"] == "en" and row["text"] == "some words"

@@ -1,7 +1,8 @@
 import html
 import re
+from collections import Counter
 
-from jsonloom.llm.html_extract import Page, extract, host_of, main_text
+from jsonloom.llm.html_extract import Page, Template, extract, host_of, main_text, node_key, templates
 from jsonloom.llm.queries import QUERIES
 
 FULL = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -69,3 +70,69 @@ def test_template_of_an_article_in_a_named_element(spark):
     page = "<html><body><div class='top'>Home</div><div class='layout sidebar'><article><p>page {i} has text of its own</p></article></div><div class='ad'>Buy {i}</div></body></html>"
     rows = [(i, f"https://a.example/{i}", page.format(i=i), "t", "h", 1) for i in range(8)]
     assert {r.page_id: r.text for r in main_text(pages(spark, rows)).collect()} == {i: f"page {i} has text of its own" for i in range(8)}
+
+
+def test_probes_keep_their_text():
+    assert extract('<article><h2 id="pagination">Pagination</h2><p>Use it.</p></article>', None) == "Pagination\n\nUse it."
+    page = '<article><h2 id="comments-in-python">Comments</h2><p>Shares of <span class="share">12.40</span> rose</p><section class="discussion">So what</section><p class="legal">By law</p><p class="notice">Mind it</p></article>'
+    assert extract(page, None) == "Comments\n\nShares of 12.40 rose\n\nSo what\n\nBy law\n\nMind it"
+    # a name on a container that stands beside a text still leaves it out
+    assert extract('<article><p>Text of some length here</p><div class="share">Send it</div><ul class="tags"><li>x</ul></article>', None) == "Text of some length here"
+
+
+def test_pages_without_articles(spark):
+    """The test pages with all telling tags and classes taken away: the template alone finds the main text."""
+    sf = "/root/testdata/sf0.1"
+    source = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    hosts = Counter(host_of(r.url) for r in source)
+    many = [r for r in source if hosts[host_of(r.url)] >= 8]
+    assert len(many) > 500
+    bare = lambda h: h.replace("<article>", '<div class="mid">').replace("</article>", "</div>").replace("<nav>", '<div class="top">').replace("</nav>", "</div>").replace("<footer>", '<div class="low">').replace("</footer>", "</div>").replace('class="ad"', 'class="box"')
+    rows = [(r.page_id, r.url, bare(r.html), "t", "h", 1) for r in many]
+    got = {r.page_id: r.text for r in main_text(pages(spark, rows)).collect()}
+    whole = {r.page_id: extract(r.html, None) for r in many}
+    assert all(got[i] == whole[i] for i in whole)
+
+
+def test_classes_against_brute_force(spark):
+    """Tokens with equal occurrence vectors over the pages of a host, and no others, form a class."""
+    rows = [(i, f"https://h{i % 2}.example/{i}", f"<body><div class='a'><p>same</p></div><div class='b'>{'<p>x</p>' * (1 + i % 3)}</div><div class='c'><h1>t {i}</h1><p>text {i}</p></div>{'<div class=\"d\">now and then</div>' if i % 4 else ''}</body>", "t", "h", 1) for i in range(24)]
+    found = {r.host: {frozenset(t.token for t in c) for c in r.template} for r in templates(pages(spark, rows), 5, 0.9).collect()}
+    for host in ("h0.example", "h1.example"):
+        vectors, own = {}, [r for r in rows if host_of(r[1]) == host]
+        for k, r in enumerate(own):
+            page = Page(r[2])
+            counts = {p: v[0] for p, v in page.elements.items()}
+            for text, path, _, _ in page.blocks:
+                counts[node_key(path, text)] = counts.get(node_key(path, text), 0) + 1
+            for token, n in counts.items():
+                vectors.setdefault(token, [0] * len(own))[k] = n
+        classes = {}
+        for token, v in vectors.items():
+            if sum(x > 0 for x in v) >= 0.9 * len(own):
+                classes.setdefault(tuple(v), set()).add(token)
+        assert found[host] == {frozenset(c) for c in classes.values()}
+
+
+def test_classes_nest(spark):
+    rows = [(i, f"https://h.example/{i}", f"<body><div class='a'><ul>{'<li>x</li>' * (1 + i % 3)}</ul></div><div class='b'><p>text {i}</p></div></body>", "t", "h", 1) for i in range(12)]
+    template = Template([[t.asDict() for t in c] for c in templates(pages(spark, rows), 5, 0.9).first()["template"]])
+    items, outer = template.classes["/body/div.a/ul/li"], template.classes["/body/div.a/ul"]
+    assert template.inside[items] == outer and template.classes["/body/div.b"] == outer
+    assert set(template.slots.below["/body"]) == {"/body/div.a", "/body/div.b"}
+
+
+def test_names_leave_out_what_the_template_has(spark):
+    """A box of comments that the host's pages have goes; a section that one page has for itself stays."""
+    page = "<body><div class='top'>Home</div><div class='story'><h1>Title {i}</h1><p>A page with number {i} and a text that is its own.</p>{own}<div class='comments'><p>I agree with number {i}, whoever wrote it.</p></div></div></body>"
+    rows = [(i, f"https://h.example/{i}", page.format(i=i, own="<div class='related'>A method that one page alone describes in full.</div>" if i == 3 else ""), "t", "h", 1) for i in range(10)]
+    got = {r.page_id: r.text for r in main_text(pages(spark, rows)).collect()}
+    text = lambda i: f"Title {i}\n\nA page with number {i} and a text that is its own."
+    assert got == {i: text(i) + ("\n\nA method that one page alone describes in full." if i == 3 else "") for i in range(10)}
+
+
+def test_copied_articles_stay(spark):
+    """Text that nearly all pages of a host share is no template if it is most of the region."""
+    page = "<body><div class='top'>Home {i}</div><div class='story'><h1>One story</h1><p>The same long text on every page of this host, word for word.</p></div></body>"
+    rows = [(i, f"https://h.example/{i}", page.format(i=i), "t", "h", 1) for i in range(10)]
+    assert {r.text for r in main_text(pages(spark, rows)).collect()} == {"One story\n\nThe same long text on every page of this host, word for word."}

@@ -112,3 +112,42 @@ def test_links_are_all_counted(spark, monkeypatch):
         # signatures miss hardly any pair
         assert sum(abs(r.n_links - links[r.doc_id]) for r in rows) <= 0.002 * sum(links.values())
         assert all(r.n_links <= links[r.doc_id] for r in rows)
+
+
+def test_large_bucket_of_strangers_in_blocks(spark, monkeypatch):
+    """Texts that meet in one bucket without being alike, in small blocks on both sides."""
+    rng = random.Random(3)
+    docs = {}
+    for i in range(30):
+        words = [f"{rng.choice('abcdefgh')}{rng.randrange(40)}" for _ in range(60)]
+        for _ in range(5):
+            docs[len(docs)] = edited(rng, words, 0.02)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    open_ = spark.createDataFrame([(1, d, d - d % 5) for d in docs], "bucket long, ordinal long, component long")
+    monkeypatch.setattr(N, "BLOCK", 11)
+    texts = df.withColumnRenamed("doc_id", "ordinal")
+    # every document as a component of its own: all links but those inside components are to be joined
+    alone = open_.withColumn("component", open_["ordinal"])
+    links = {(r.a, r.b) for r in N.remaining(alone, texts, 0.8).collect()}
+    parent = {d: d for d in docs}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    assert {d: find(d) for d in docs} == brute(docs)
+    assert N.remaining(open_, texts, 0.8).collect() == []
+
+
+def test_clashing_and_salted_names(spark):
+    """Columns named as results, ids that repeat with other texts, so that components are named by a join."""
+    rows = [(i % 7, f"{'same words here in all of them ' * 3}", "k", 5) for i in range(40)] + [(3, "something else altogether that stands alone", "k", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component string, n_links int")
+    out = N.near_duplicates(df, keep=["component", "n_links"])
+    assert set(out.columns) == {"doc_id", "component", "kept", "n_links", "copies", "component_", "n_links_"}
+    got = out.collect()
+    assert {r.component_ for r in got} == {"k"} and {r.n_links_ for r in got} == {5} and sum(r.kept for r in got) == 2

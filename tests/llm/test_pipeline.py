@@ -48,3 +48,34 @@ def test_empty(spark, tmp_path):
         stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         assert docs.count() == 0
+
+
+def test_stages_on_odd_rows(spark, odd, none, tmp_path):
+    """Nulls, repeated rows, equal ids with other texts, very long texts and clashing columns pass through every stage."""
+    clash = odd.withColumnsRenamed({"length": "n_words", "score": "lang_pred", "ordinal": "kept", "n": "component"}).withColumn("n_chars", odd["length"].cast("long"))
+    for start, name in ((clash, "odd"), (clash.where("false"), "none")):
+        docs = start
+        for stage_name, stage in C.STAGES:
+            stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}/{stage_name}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}/{stage_name}")
+            if stage_name != C.STAGES[-1][0]:
+                assert docs.columns == C.COLUMNS
+        if name == "none":
+            assert docs.count() == 0
+    read = lambda s: spark.read.parquet(f"{tmp_path}/odd/{s}").collect()
+    assert sum(r.doc_id == 7 for r in read("language")) == 3 and sum(r.doc_id is None for r in read("language")) == 1
+    # of the equal texts of 1 and 7 one stays, and 7's other text with it; of the long texts one
+    kept = sorted((r.doc_id or 0) for r in read("near_duplicates"))
+    assert kept == [0, 1, 5, 7, 8, 9, 10, 11, 12]
+    assert len(read("benchmarks")) == len(read("substrings"))
+
+
+def test_a_stage_clears_only_what_the_stage_before_stored(spark):
+    from jsonloom.llm import near_dedup
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    other = near_dedup.near_duplicates(docs)  # a result that nobody has executed yet
+    C.known_language(spark, docs, SF)
+    C.one_of_each_group(spark, docs, SF)
+    C.without_benchmarks(spark, docs, SF)
+    assert other.count() == 200

@@ -51,3 +51,10 @@ def test_odd_rows(spark, odd, none):
     check(rows, 3)
     assert sorted(r["size"] for r in rows) == sorted(len((r.text or "").encode()) + 16 for r in odd.collect())
     assert shard(none).collect() == []
+
+
+def test_shards_do_not_depend_on_the_layout(spark):
+    rows = [(i, "hot text " * 20 if i % 3 == 0 else f"text {i // 2} " * (1 + i % 30)) for i in range(3000)] + [(7, "again and again")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    digest = lambda d: sorted((r.doc_id, r["size"], r.text_crc32, r.shard) for r in shard(d, shards=10).collect())
+    assert digest(df.repartition(3)) == digest(df.repartition(7).orderBy("text"))

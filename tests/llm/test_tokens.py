@@ -85,3 +85,52 @@ def test_packing_odd_rows(spark, odd, none):
     buckets = [r.length for r in sorted(rows, key=lambda r: r.sequence_id)]
     assert buckets == sorted(buckets, reverse=True)
     assert packing.pack(none).collect() == []
+
+
+def test_very_long_words_equal_the_library():
+    """A million letters without a break, within seconds: time grows with the length."""
+    import random
+    import time
+
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from jsonloom.llm import token_counts
+
+    rng = random.Random(6)
+    prose = "".join(rng.choice(["the", "un", "ing", "house", "water", "is", "a", "qu", "er", "s"]) for _ in range(330_000))[:1_000_000]
+    words = [prose, "ab" * 40_000 + "a", "a" * 70_001, "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(200_000)), "".join(rng.choice("的一是不了人我在有他这") for _ in range(50_000)), "x" * 97, "hello" * 20]
+    piece, word = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
+    library = sentencepiece.SentencePieceProcessor(model_file=piece)
+    began = time.process_time()
+    got = [int(token_counts.counts([w], piece)[0]) for w in words]
+    mine = time.process_time() - began
+    assert got == [len(library.encode(w)) for w in words]
+    tokenizer = Tokenizer.from_file(word)
+    plain = [w.lower() for w in words]
+    began = time.process_time()
+    ids = packing.encode(plain, word, 2)
+    mine += time.process_time() - began
+    assert mine < 60, mine
+    for x, w in zip(ids, plain, strict=True):
+        assert np.frombuffer(x, "<u4")[:-1].tolist() == tokenizer.encode(w, add_special_tokens=False).ids
+
+
+def test_merging_in_three_ways_is_one():
+    """Merges at random, also ones whose products meet in pairs of lower rank."""
+    from jsonloom.llm import merging
+
+    rng = np.random.default_rng(3)
+    for seed in range(60):
+        n = int(rng.integers(3, 7))
+        ranks = {(int(a), int(b)): r for r, (a, b) in enumerate(dict.fromkeys(map(tuple, rng.integers(0, n + 12, (30, 2)).tolist())))}
+        product = rng.integers(n, n + 12, len(ranks)) if seed % 2 else np.arange(n, n + len(ranks))
+        pair = lambda a, b, t=ranks: np.array([t.get((int(x), int(y)), merging.NONE) for x, y in zip(a, b, strict=True)], np.int64)
+        sym = rng.integers(0, n, 400)
+        seq = np.sort(rng.integers(0, 4, 400))
+        rounds = merging.by_rounds(sym.copy(), seq, pair, product)
+        ranked = merging.by_ranks(sym.copy(), seq, pair, product)
+        assert [x.tolist() for x in rounds] == [x.tolist() for x in ranked]
+        for s in range(4):
+            assert merging.by_queue(sym[seq == s].tolist(), pair, product).tolist() == rounds[0][rounds[1] == s].tolist()

@@ -88,3 +88,45 @@ def test_query_against_brute_force(spark):
     expected = brute(rows, 20)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in QUERIES["op2_level_wise_doubling"](spark, sf).collect()}
     assert got == {d: (*expected[(d, t)][:2], hashlib.sha256(expected[(d, t)][2].encode()).hexdigest()) for d, t in rows}
+
+
+def test_levels_from_any_start(spark):
+    """One level, two or three: the same words go."""
+    import random
+
+    from jsonloom.llm.substring_dedup import remove_repeats
+
+    rng = random.Random(9)
+    passages = [" ".join(f"{rng.choice('abc')}{rng.randrange(6)}" for _ in range(rng.randrange(8, 60))) for _ in range(12)]
+    rows = [(i, " ".join(rng.choice(passages) if rng.random() < 0.4 else f"w{rng.randrange(30)}" for _ in range(rng.randrange(1, 30)))) for i in range(80)] + [(80, None), (81, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    digest = lambda **how: {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in remove_repeats(df, window=20, **how).collect()}
+    ten = digest()
+    assert ten == digest(start=5) and sum(x[1] for x in ten.values()) > 100
+    alone = spark.createDataFrame([(i, " ".join(f"x{i}_{j}" for j in range(50))) for i in range(5)], "doc_id long, text string")
+    assert {r.n_removed for r in remove_repeats(alone, window=16, start=2).collect()} == {0}
+    for wrong in (3, 20, 40):
+        with pytest.raises(ValueError):
+            remove_repeats(df, window=20, start=wrong)
+
+
+def test_places_that_do_not_fit_are_an_error(spark):
+    from jsonloom.llm.substring_dedup import word_bits
+
+    assert word_bits(spark.createDataFrame([(7, "a b c d e f")], "ordinal long, text string")) == 3
+    with pytest.raises(ValueError, match="63 bits"):
+        word_bits(spark.createDataFrame([(1 << 61, "a b c d e f g h i")], "ordinal long, text string"))
+
+
+def test_words_of_two_letters_in_the_pattern_that_meets_modulo_two_to_64():
+    """Long words of two letters that sums with powers of one base take for equal."""
+    pattern = [bin(i).count("1") % 2 for i in range(2048)]
+    a, b = "".join("ab"[x] for x in pattern), "".join("ba"[x] for x in pattern)
+    assert len(set(Words([a, b]).hashes().tolist())) == 2
+
+
+def test_kept_columns_with_names_of_results(spark):
+    from jsonloom.llm.substring_dedup import remove_repeats
+
+    out = remove_repeats(spark.createDataFrame([(1, "a b", "own", 9)], "doc_id long, text string, kept string, n_removed int"), keep=["kept", "n_removed"])
+    assert [r.asDict() for r in out.collect()] == [{"doc_id": 1, "kept_": "own", "n_removed_": 9, "text": "a b", "kept": "a b", "n_words": 2, "n_removed": 0}]

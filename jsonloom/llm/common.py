@@ -43,13 +43,18 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the session names.
+    """Cut the lineage with a reliable checkpoint in the folder that the session names, for small results: its shuffles stay until Spark collects them.
 
     Only a local session that names none (as in tests) gets a folder of its own.
     """
     checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def first_row(df: DataFrame):  # noqa: ANN201
+    """The first row of a small result; its shuffles go at once."""
     with shuffles_dropped(df.sparkSession):
-        return df.checkpoint(eager=True)
+        return df.first()
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -211,7 +216,7 @@ def row_order(docs: DataFrame) -> DataFrame:
     """
     kind = dict(docs.dtypes)["doc_id"]
     if kind in ("bigint", "int", "smallint", "tinyint"):
-        found = docs.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.min("doc_id"), F.max("doc_id"), F.max("n"), F.count_if(F.isnull("doc_id"))).first()
+        found = first_row(docs.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.min("doc_id"), F.max("doc_id"), F.max("n"), F.count_if(F.isnull("doc_id"))))
         if found[0] is None or (found[0] >= 0 and found[1] < 1 << 35 and found[2] == 1 and not found[3]):
             return docs.withColumn("ordinal", F.col("doc_id").cast("long"))
     docs = docs.withColumn("text_key", F.xxhash64("text"))

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import Work, first_row
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, work: Work | None = None) -> DataFrame:
     """Columns node, component (its smallest node), of the links' ends; links have columns a, b.
 
     A node's neighbours are never gathered: each star is a minimum by node,
-    summed up before the shuffle, and a join. Every round is checkpointed.
+    summed up before the shuffle, and a join. Every round is written as a table,
+    and the one before deleted.
     """
-    pairs = checkpoint(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
+    work = work or Work(links.sparkSession)
+    pairs = work.store(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
     state = digest(pairs)
     while state[0]:
         # large star: larger neighbours go to the smallest one around
@@ -25,7 +27,8 @@ def components(links: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours go to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        pairs = checkpoint(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        done, pairs = pairs, work.store(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        work.drop(done)
         before, state = state, digest(pairs)
         if state == before:
             break
@@ -35,4 +38,4 @@ def components(links: DataFrame) -> DataFrame:
 
 def digest(pairs: DataFrame) -> tuple[int, int]:
     """Number of the pairs and a hash of their set."""
-    return tuple(pairs.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first())
+    return tuple(first_row(pairs.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)))))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Work, checkpoint, kept_apart, mix, row_order, slices, small_batches
+from .common import Work, kept_apart, mix, row_order, slices, small_batches
 from .components import components
 from .windows import Words, window_hashes
 
@@ -144,11 +144,11 @@ def link(docs: DataFrame, similarity: float, work: Work, count_links: bool = Tru
     """Classes (ordinal, member_of: the class's smallest ordinal), links that make the components (a > b), components of these, n_links by ordinal."""
     signed = work.store(sign(docs))
     lead = signed.groupBy("set_a", "set_b").agg(F.min("ordinal").alias("member_of"))
-    classes = checkpoint(signed.join(lead, ["set_a", "set_b"]).select("ordinal", "member_of"))
+    classes = work.store(signed.join(lead, ["set_a", "set_b"]).select("ordinal", "member_of"))
     heads = classes.where("ordinal = member_of").select("ordinal")
     keys = signed.join(heads, "ordinal", "left_semi").select("ordinal", F.posexplode("bands").alias("band", "bucket"))
     sizes = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("ordinal").alias("centre")).where("n > 1")
-    members = checkpoint(keys.join(sizes, "bucket"))
+    members = work.store(keys.join(sizes, "bucket"))
     work.drop(signed)
     involved = members.select("ordinal").distinct()
     texts = work.store(docs.select("ordinal", "text").join(involved, "ordinal", "left_semi").dropDuplicates(["ordinal"]))
@@ -157,20 +157,24 @@ def link(docs: DataFrame, similarity: float, work: Work, count_links: bool = Tru
     other = small.select("bucket", F.col("ordinal").alias("b"))
     within = small.select("bucket", F.col("ordinal").alias("a")).join(other, "bucket").select("a", "b")
     pairs = star.unionByName(within).where("a > b").distinct()
-    links = checkpoint(verified(pairs, texts, similarity))
-    large = checkpoint(members.where(F.col("n") > SMALL).select("bucket", "ordinal"))
+    links = work.store(verified(pairs, texts, similarity))
+    large = members.where(F.col("n") > SMALL).select("bucket", "ordinal")
     counts = None
     if count_links:
         near = links.join(within.where("a > b").distinct(), ["a", "b"], "left_semi")
         counts = near.select("a").unionByName(near.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links"))
-        counts = checkpoint(counts.unionByName(counted(members, texts, similarity)).groupBy("a").agg(F.sum("n_links").alias("n_links")))
-    own = components(links)
-    if large.limit(1).count():
-        open_ = unsettled(large, own)
-        found = checkpoint(remaining(open_, texts, similarity))
-        if found.limit(1).count():
-            links = checkpoint(links.unionByName(found).distinct())
-            own = components(links)
+        counts = work.store(counts.unionByName(counted(members, texts, similarity)).groupBy("a").agg(F.sum("n_links").alias("n_links")))
+    own = components(links, work)
+    if not large.isEmpty():
+        open_ = work.store(unsettled(large, own))
+        found = work.store(remaining(open_, texts, similarity))
+        work.drop(open_)
+        if not found.isEmpty():
+            links, before = work.store(links.unionByName(found).distinct()), links
+            own = components(links, work)
+            work.drop(before)
+        work.drop(found)
+    work.drop(members, texts)
     return classes, links, own, counts
 
 
@@ -226,7 +230,7 @@ def unsettled(large: DataFrame, own: DataFrame) -> DataFrame:
     """bucket, ordinal and component of the members of buckets that have not come together."""
     of = large.join(own, large["ordinal"] == own["node"], "left").select("bucket", "ordinal", F.coalesce("component", "ordinal").alias("component"))
     apart = of.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return checkpoint(of.join(apart.select("bucket"), "bucket"))
+    return of.join(apart.select("bucket"), "bucket")
 
 
 def remaining(open_: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:

@@ -34,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, checkpoint, kept_apart, row_order, slices, small_batches
+from .common import Work, first_row, kept_apart, row_order, slices, small_batches
 from .windows import TOP, Words, second_hashes, sliding, window_hashes
 
 
 def word_bits(docs: DataFrame) -> int:
     """Bits for the number of a word: a word and what divides it from the next take two bytes."""
-    found = docs.agg(F.max(F.octet_length("text")), F.max("ordinal")).first()
+    found = first_row(docs.agg(F.max(F.octet_length("text")), F.max("ordinal")))
     bits = max(1, ((found[0] or 0) // 2 + 1).bit_length())
     if (found[1] or 0).bit_length() + bits > 63:
         raise ValueError(f"{found[1] + 1} documents and texts of {found[0]} bytes do not fit into a place of 63 bits: cut the longest texts first")
@@ -137,14 +137,14 @@ def remove_repeats(docs: DataFrame, window: int = 20, start: int | None = None,
     while length < window:
         short = work.store(short_windows(asked, length, window, bits, before))
         # a table of its own, so that the join below has plain shuffles on both sides and a hot hash is split
-        again = checkpoint(short.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
+        again = work.store(short.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
         repeated = work.store(by_document(short.join(again, "hash", "left_semi"), "repeated", bits))
-        work.drop(short, *([marked] if marked is not None else []))
+        work.drop(short, again, *([marked] if marked is not None else []))
         before, length = length, 2 * length
         if length < window:
             marked = work.store(base.select("ordinal", "text").join(repeated, F.col("ordinal") == F.col("own")).drop("own").dropDuplicates(["ordinal"]))
             asked = marked
-            if not marked.limit(1).count():
+            if marked.isEmpty():
                 break
     marked = work.store(base.join(repeated, F.col("ordinal") == F.col("own"), "left").drop("own"))
     work.drop(repeated)

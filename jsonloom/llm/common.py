@@ -150,7 +150,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 class Work:
-    """Tables that an operator writes on the way to one result, in the shared folder.
+    """Tables that an operator writes on the way to one result, in the shared folder, and what it broadcasts for it.
 
     Whoever has written the result clears them; those of a Work that nobody
     clears go when the driver's Python ends. Other results are not touched.
@@ -159,7 +159,7 @@ class Work:
     _open: set[Work] = set()
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.paths = spark, {}
+        self.spark, self.paths, self.sent = spark, {}, []
         Work._open.add(self)
 
     def store(self, df: DataFrame) -> DataFrame:
@@ -178,8 +178,15 @@ class Work:
             target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
             del self.paths[path]
 
+    def send(self, value: object):  # noqa: ANN201
+        """A broadcast, destroyed with its files on the driver and all executors when this is cleared."""
+        self.sent.append(self.spark.sparkContext.broadcast(value))
+        return self.sent[-1]
+
     def clear(self) -> None:
         self.drop(*self.paths.values())
+        while self.sent:
+            self.sent.pop().destroy()
         Work._open.discard(self)
 
 

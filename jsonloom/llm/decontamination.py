@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashIndex, checkpoint, mix, slices, small_batches
+from .common import HashIndex, Work, checkpoint, mix, slices, small_batches
 from .windows import BYTES, weights, window_hashes
 
 WINDOW, SHORTEST, LONG, SHARE = 8, 4, 13, 0.5
@@ -199,7 +199,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col:
     return out.drop("key", "own_id", "own_key")
 
 
-def located(texts: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_col: str = "item_id") -> DataFrame:
+def located(texts: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_col: str = "item_id", work: Work | None = None) -> DataFrame:
     """As ``matches``, for texts with columns id, text; one row for each id and item."""
     small_batches(texts.sparkSession)
     items = benchmark.select(F.col(item_col).alias("id"), F.col("text").cast("string").alias("text"))
@@ -209,8 +209,7 @@ def located(texts: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_c
     vocabulary = None
     if 0 < size <= MAX_VOCABULARY:
         known = HashIndex(words.select("word").distinct().toPandas()["word"].to_numpy())
-        shared = texts.sparkSession.sparkContext.broadcast(known)
-        vocabulary = _Shared(shared)
+        vocabulary = _Shared((work or Work(texts.sparkSession)).send(known))
     lengths = [*short, window]
     asked = window_rows(items, lengths, None).where((F.col("length") == window) | (F.col("length") == F.col("n_tokens")))
     asked = asked.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), F.col("n_tokens").alias("n_item"), F.col("initial").alias("item_initial")).distinct()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HashIndex, crc_mod, kept_apart, slices, small_batches
+from .common import HashIndex, Work, crc_mod, kept_apart, slices, small_batches
 
 #: Rows and characters that a language is learned from, at most.
 MAX_ROWS, BUDGET = 200, 40_000
@@ -197,7 +197,7 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, budget: int = BUDGET) -> Pars
     return Parser(taught, budget)
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, **options) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, work: Work | None = None, **options) -> DataFrame:
     """Columns: doc_id, held_out (crc32 of the id modulo 4 is 2), lang_pred, score, and the columns in ``keep``.
 
     Rows are kept as they are, repeated ones too; an empty table gives none, and
@@ -207,7 +207,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    shared = spark.sparkContext.broadcast(fit(rows, **options))
+    shared = (work or Work(spark)).send(fit(rows, **options))
     extra = [c for c in keep or [] if c not in ("doc_id", "text")]
     carried = [f"keep_{i}" for i in range(len(extra))]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(k) for c, k in zip(extra, carried, strict=True)))

@@ -23,7 +23,7 @@ _before: dict[SparkSession, Work] = {}
 
 
 def begun(spark: SparkSession) -> Work:
-    """A stage begins: the result of the one before is written, so its tables can go."""
+    """A stage begins: the result of the one before is written, so its tables and broadcasts can go."""
     if spark in _before:
         _before[spark].clear()
     _before[spark] = Work(spark)
@@ -32,8 +32,7 @@ def begun(spark: SparkSession) -> Work:
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or without text, go; a language that is missing is filled in. Repeated rows stay."""
-    begun(spark)
-    out = language_id.identify(docs, keep=COLUMNS).where("lang_pred <> 'und'")
+    out = language_id.identify(docs, keep=COLUMNS, work=begun(spark)).where("lang_pred <> 'und'")
     return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
 
 
@@ -52,10 +51,9 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go, all rows of an id and text; null and empty texts stay."""
-    begun(spark)
-    key = F.xxhash64("text")
+    work, key = begun(spark), F.xxhash64("text")
     texts = docs.select(F.struct("doc_id", key.alias("key")).alias("id"), "text")
-    found = checkpoint(decontamination.located(texts, table(spark, sf_dir, "benchmark")).select("id.*").distinct().withColumnsRenamed({"doc_id": "own_id", "key": "own_key"}))
+    found = checkpoint(decontamination.located(texts, table(spark, sf_dir, "benchmark"), work=work).select("id.*").distinct().withColumnsRenamed({"doc_id": "own_id", "key": "own_key"}))
     if found.count() <= MAX_BROADCAST:
         found = F.broadcast(found)
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col("own_id")) & (key == F.col("own_key")), "left_anti").select(COLUMNS)

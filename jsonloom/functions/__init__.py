@@ -465,7 +465,7 @@ def _cast(doc: Column | str, out: Column, strict: bool) -> Column:
     v = _col(doc)
     if not strict:
         return out
-    return F.when(F.isnull(v), F.lit(None)).when(F.isnotnull(out), out).otherwise(F.raise_error(F.lit("InvalidCast")))
+    return F.when(F.isnotnull(v), F.coalesce(out, F.raise_error(F.lit("InvalidCast"))))
 
 
 def _to_bool(v: Column) -> Column:
@@ -473,9 +473,14 @@ def _to_bool(v: Column) -> Column:
     return F.coalesce(as_bool(v), F.when(s == "true", True).when(s == "false", False))
 
 
+def _by_kind(v: Column, kind: str, text: Callable[[Column], Column], own: Column) -> Column:
+    """A cast of strings by ``text``, of booleans as 0 and 1, and of the rest as they are."""
+    s = F.schema_of_variant(v)
+    return F.when(s == "STRING", text(plan.get(v, "string"))).when(s == "BOOLEAN", plan.get(v, "boolean").cast("int").cast(kind)).otherwise(own)
+
+
 def _to_int(v: Column, own: Column, kind: str, pattern: str) -> Column:
-    s = as_str(v)
-    return F.coalesce(own, as_bool(v).cast("int").cast(kind), F.when(s.rlike(pattern), s.try_cast(kind)))
+    return _by_kind(v, kind, lambda t: F.when(t.rlike(pattern), t.try_cast(kind)), own)
 
 
 def _to_u64(v: Column) -> Column:
@@ -487,10 +492,12 @@ FLOAT = r"^[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?)$"
 
 
 def _to_f64(v: Column) -> Column:
-    s = as_str(v)
-    low = F.lower(s)
-    odd = F.when(low.rlike(r"^\+?inf(inity)?$"), F.lit(float("inf"))).when(low.rlike(r"^-inf(inity)?$"), F.lit(float("-inf"))).when(low.rlike(r"^[+-]?nan$"), F.lit(float("nan")))
-    return F.coalesce(as_f64(v), as_bool(v).cast("int").cast("double"), F.when(s.rlike(FLOAT), s.try_cast("double")), odd)
+    def text(t: Column) -> Column:
+        low = F.lower(t)
+        odd = F.when(low.rlike(r"^\+?inf(inity)?$"), F.lit(float("inf"))).when(low.rlike(r"^-inf(inity)?$"), F.lit(float("-inf"))).when(low.rlike(r"^[+-]?nan$"), F.lit(float("nan")))
+        return F.when(t.rlike(FLOAT), t.try_cast("double")).otherwise(odd)
+
+    return _by_kind(v, "double", text, as_f64(v))
 
 
 def to_bool(doc: Column | str) -> Column:
@@ -533,9 +540,10 @@ def to_str(doc: Column | str) -> Column:
 
 def try_to_str(doc: Column | str) -> Column:
     v = _col(doc)
-    # only numbers with a fraction or beyond 64 bits are printed in Python
-    plain = F.coalesce(as_str(v), as_bool(v).cast("string"), as_u64(v).cast("string"), as_i64(v).cast("string"))
-    return F.coalesce(plain, _python(documents.text_of, StringType(), F.when(is_number(v) & F.isnull(plain), v)))
+    s = F.schema_of_variant(v)
+    # only numbers with a fraction, or too large for BIGINT, are printed in Python
+    odd = s.rlike("^(DECIMAL|DOUBLE|FLOAT)")
+    return F.when(odd, _python(documents.text_of, StringType(), F.when(odd, v))).when(~s.rlike("^(ARRAY|OBJECT|VOID)"), plan.get(v, "string"))
 
 
 # ---------------------------------------------------------------- construction and change

@@ -72,8 +72,9 @@ def key_of(chars: np.ndarray) -> np.ndarray:
 class Model:
     """Log ratios of the classes for known six-character parts, and of back-off weights for contexts."""
 
-    def __init__(self, grams: list[str], ordinary: np.ndarray, toxic: np.ndarray) -> None:
-        chars = np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
+    def __init__(self, grams: list[str] | str, ordinary: np.ndarray, toxic: np.ndarray) -> None:
+        text = grams if isinstance(grams, str) else "".join(grams)
+        chars = np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
         shared = np.full(len(chars), 1.0 / max(1, len(np.unique(chars[:, -1]))))
         for k in range(1, ORDER):  # probability after k - 1 characters, from the kinds of characters before
             of, context = key_of(chars[:, -k - 1 :]), key_of(chars[:, -k:-1])
@@ -183,11 +184,14 @@ def score(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
             yield pa.record_batch([pa.array([text[i : i + ORDER] for i in range(0, len(text), ORDER)]), pa.array(sums[0]), pa.array(sums[1])], ["gram", "ordinary", "toxic"])
 
     grams = taught.where(~fold).select("text", "toxic").mapInArrow(count, "gram string, ordinary long, toxic long")
-    grams = grams.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).toPandas()
+    grams = grams.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).toArrow().sort_by("gram")
     slope, intercept, shared = 0.0, None, None
-    if (grams["toxic"] > 0).any() and (grams["ordinary"] > 0).any():
-        grams = grams.sort_values("gram", ignore_index=True)
-        shared = spark.sparkContext.broadcast(Model(grams["gram"].tolist(), grams["ordinary"].to_numpy(), grams["toxic"].to_numpy()))
+    counts = [grams.column(c).to_numpy() for c in ("ordinary", "toxic")]
+    if all((n > 0).any() for n in counts):
+        # all parts end to end: no object for each
+        text = "".join(b"".join(chunk.cast(pa.binary()).to_pylist()).decode() for chunk in grams.column("gram").chunks)
+        del grams
+        shared = spark.sparkContext.broadcast(Model(text, *counts))
 
         def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             run = scorer(shared)

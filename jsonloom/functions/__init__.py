@@ -16,20 +16,19 @@ from functools import lru_cache, reduce
 from operator import and_
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, DataType, IntegerType, StringType, VariantType, VariantVal
+from pyspark.sql.pandas.types import is_variant, to_arrow_type
+from pyspark.sql.types import BinaryType, BooleanType, DataType, IntegerType, StringType, VariantType
 
 from .. import values
 from ..plans import compile as plan
 from ..plans import evaluate
 from ..plans.paths import parse_key_path, parse_path
 from ..values import JsonError, Value
-from . import documents
-from .variant import to_variant
-
-U64 = (1 << 64) - 1
+from . import documents, multisets
+from .variant import U64, from_variant, read, to_bytes  # noqa: F401
 
 
 def _col(c: Column | str) -> Column:
@@ -48,24 +47,6 @@ def _fail(ok: Column, out: Column, what: str, strict: bool) -> Column:
 # ---------------------------------------------------------------- in Python
 
 
-def from_variant(v: VariantVal) -> Value:
-    return _kept(v.toPython())
-
-
-def _kept(x: Any) -> Value:
-    if isinstance(x, Decimal):
-        if x.as_tuple().exponent < 0:
-            return float(x)
-        return int(x) if -(1 << 63) <= x <= U64 else float(x)
-    if isinstance(x, dict):
-        return {k: _kept(v) for k, v in x.items()}
-    if isinstance(x, list):
-        return [_kept(v) for v in x]
-    if x is None or isinstance(x, (bool, int, float, str)):
-        return x
-    return str(x)
-
-
 class _Missing:
     """Stands for NULL where None is the document null; workers know it by its name."""
 
@@ -76,35 +57,54 @@ class _Missing:
 MISSING = _Missing()
 
 
-def vectorised(f: Callable, returns: DataType, strict: bool = True) -> Callable:
+def _rows(column: pa.Array) -> list:
+    """An Arrow column as Python values, VARIANT as pairs of its value and metadata."""
+    if not (pa.types.is_struct(column.type) and is_variant(column.type)):
+        return column.to_pylist()
+    pairs = zip(column.field("value").to_pylist(), column.field("metadata").to_pylist(), strict=True)
+    return list(pairs) if not column.null_count else [p if there else None for p, there in zip(pairs, column.is_valid().to_pylist(), strict=True)]
+
+
+def _column(rows: list, returns: DataType) -> pa.Array:
+    """The reverse of ``_rows``."""
+    kind = to_arrow_type(returns)
+    if not isinstance(returns, VariantType):
+        return pa.array(rows, kind)
+    value, metadata = (pa.array([b"" if r is None else r[i] for r in rows], pa.binary()) for i in (0, 1))
+    return pa.StructArray.from_arrays([value, metadata], fields=list(kind), mask=pa.array([r is None for r in rows], pa.bool_()))
+
+
+def vectorised(f: Callable, returns: DataType, strict: bool = True, raw: bool = False) -> Callable:
     """f on rows of Arrow batches as a UDF; VARIANT arguments come as values and go back as such, NULL in any gives NULL.
 
-    What f finds wrong is an error, or NULL without ``strict``.
+    What f finds wrong is an error, or NULL without ``strict``. With ``raw``, f
+    takes one VARIANT as its value and metadata, and a VARIANT goes back as these.
     """
     document = isinstance(returns, VariantType)
 
     def one(row: tuple) -> Any:
-        if any(x is None for x in row):
-            return None
+        for x in row:
+            if x is None:
+                return None
         try:
-            out = f(*(from_variant(x) if isinstance(x, VariantVal) else x for x in row))
+            out = f(*row[0]) if raw else f(*(read(*x) if type(x) is tuple else x for x in row))
         except JsonError:
             if strict:
                 raise
             return None
         if out is MISSING:
             return None
-        return to_variant(out) if document else out
+        return to_bytes(out) if document and not raw else out
 
-    def run(*cols: pd.Series) -> pd.Series:
+    def run(*cols: pa.Array) -> pa.Array:
         sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEP))
-        return pd.Series([one(row) for row in zip(*cols, strict=True)], dtype=object)
+        return _column([one(row) for row in zip(*map(_rows, cols), strict=True)], returns)
 
-    return F.pandas_udf(run, returns)
+    return F.arrow_udf(run, returns)
 
 
-def _python(f: Callable, returns: DataType, *args: Column, strict: bool = True) -> Column:
-    return vectorised(f, returns, strict)(*args)
+def _python(f: Callable, returns: DataType, *args: Column, strict: bool = True, raw: bool = False) -> Column:
+    return vectorised(f, returns, strict, raw)(*args)
 
 
 #: Levels that documents may have in Python.
@@ -166,7 +166,8 @@ def _printed(v: Column, f: Callable[[Value], str]) -> Column:
     text = F.to_json(v)
     # Spark escapes all control characters, and orders names by UTF-16 units
     same = F.coalesce(plan.simple(v) & ~text.contains("\\u00") & ~text.rlike(r"[\x{E000}-\x{10FFFF}]"), F.lit(False))
-    return F.coalesce(F.when(same, text), _python(f, StringType(), F.when(~same, v)))
+    # f gives a text for each document it gets, so where it has none Spark's text is the same
+    return F.coalesce(_python(f, StringType(), F.when(~same, v)), text)
 
 
 def to_string(doc: Column | str) -> Column:
@@ -672,37 +673,37 @@ def _count(a: Column, x: Column) -> Column:
 
 
 def _else_python(f: Callable, returns: DataType, plain: Column, native: Column, *docs: Column) -> Column:
-    """``native`` where it will do, else f in Python, which gets only those rows."""
+    """``native`` where it will do, else f in Python, which gets only those rows; what it has found is asked first, as that costs nothing."""
     known = reduce(and_, [F.isnotnull(v) for v in docs])
     both = F.when(known & ~plain, F.to_variant_object(F.array(*docs)))
-    return F.coalesce(F.when(plain, native), _python(lambda pair: f(*pair), returns, both))
+    return F.coalesce(_python(f, returns, both, raw=True), F.when(plain, native))
 
 
 def array_distinct(doc: Column | str) -> Column:
     """An array's distinct elements; another document counts as an array of itself."""
     v = _col(doc)
     plain, (a,) = _plain(v)
-    return _else_python(documents.array_distinct, DOCUMENT, plain, _picked(v, a, lambda x, i: F.array_position(a, x) == i + 1), v)
+    return _else_python(multisets.array_distinct, DOCUMENT, plain, _picked(v, a, lambda x, i: F.array_position(a, x) == i + 1), v)
 
 
 def array_intersection(left: Column | str, right: Column | str) -> Column:
     """Elements of left that right has, each of right's used once."""
     v, w = _col(left), _col(right)
     plain, (a, b) = _plain(v, w)
-    return _else_python(documents.array_intersection, DOCUMENT, plain, _picked(v, a, lambda x, i: _count(F.slice(a, F.lit(1), i + 1), x) <= _count(b, x)), v, w)
+    return _else_python(multisets.array_intersection, DOCUMENT, plain, _picked(v, a, lambda x, i: _count(F.slice(a, F.lit(1), i + 1), x) <= _count(b, x)), v, w)
 
 
 def array_except(left: Column | str, right: Column | str) -> Column:
     """Elements of left that right lacks, each of right's used once."""
     v, w = _col(left), _col(right)
     plain, (a, b) = _plain(v, w)
-    return _else_python(documents.array_except, DOCUMENT, plain, _picked(v, a, lambda x, i: _count(F.slice(a, F.lit(1), i + 1), x) > _count(b, x)), v, w)
+    return _else_python(multisets.array_except, DOCUMENT, plain, _picked(v, a, lambda x, i: _count(F.slice(a, F.lit(1), i + 1), x) > _count(b, x)), v, w)
 
 
 def array_overlap(left: Column | str, right: Column | str) -> Column:
     v, w = _col(left), _col(right)
     plain, (a, b) = _plain(v, w)
-    return _else_python(documents.array_overlap, BooleanType(), plain, F.arrays_overlap(a, b), v, w)
+    return _else_python(multisets.array_overlap, BooleanType(), plain, F.arrays_overlap(a, b), v, w)
 
 
 # ---------------------------------------------------------------- order and identity
